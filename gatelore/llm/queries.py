@@ -7,7 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from gatelore.llm.common import UPPER, table
 from gatelore.llm.decontaminate import contamination
 from gatelore.llm.exact_dedup import exact_duplicates
+from gatelore.llm.packing import best_fit_pack
 from gatelore.llm.pii import personal_data_digest
+from gatelore.llm.token_store import read_digests, write_store
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(table(spark, sf_dir, "documents"), capacity=2048)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +28,16 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_digests(write_store(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
+    "op10_token_store": op10_token_store,
 }
 
 ORACLE_SQL = {

@@ -2,19 +2,35 @@
 
 A text is cut at its single blanks: a blank between two non-blank characters always begins a new pre-token of the
 byte-level vocabulary, so what lies between two such blanks can be encoded by itself. Each task keeps the ids of the
-pieces it has met (a bounded cache) and gives the tokenizer only new pieces, in batches. Texts with runs of blanks take
-the plain way, whole through the tokenizer. Both ways give the tokenizer's own ids, which tests hold against each other.
+pieces it has met (a bounded cache) and gives only new pieces to the tokenizer's model. Texts with runs of blanks, and
+the first piece of each text, go through the whole tokenizer. Both ways give the tokenizer's own ids, which tests hold against each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import struct
+from collections.abc import Iterable
 
 import numpy as np
+import regex
 
 CACHE_PIECES = 600_000
 LONGEST_CACHED = 48
-RUN = 4096
+
+
+#: Fixed value: how the byte-level vocabulary cuts a text before it is encoded.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The vocabulary's sign for each byte: printable bytes stand for themselves, the others follow from code point 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
+
+
+#: Pieces that are cut here and not by the tokenizer: ASCII and Latin-1 signs, with white space only inside.
+PLAIN = regex.compile(r"[!-~\u00C0-\u00FF](?:[!-~\u00C0-\u00FF\n]*[!-~\u00C0-\u00FF])?")
+STOPS = ".,"
+#: A blank before other white space: such texts go through the whole tokenizer.
+BLANK_THEN_SPACE = (" \n", " \t", " \r", " \x0b", " \x0c", " \x1c", " \x1d", " \x1e", " \x1f")
+ODD_SPACE = regex.compile(r" [\s\x85\xa0]")
 
 
 class Encoder:
@@ -28,21 +44,46 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.pattern = regex.compile(PATTERN)
+        self.stops = {c: self._word(c) for c in STOPS}
         self.seen: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> Iterable[bytes]:
         return (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
 
-    def _encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of pieces that follow a blank, joined into runs: one call's cost is shared by thousands of pieces."""
-        for first in range(0, len(pieces), RUN):
-            run = pieces[first : first + RUN]
-            e = self.tokenizer.encode(" " + " ".join(run), add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4")
-            ends = np.cumsum([len(p) + 1 for p in run])
-            cuts = np.searchsorted(np.array([x for x, _ in e.offsets]), ends)
-            for p, x, y in zip(run, [0, *cuts[:-1].tolist()], cuts.tolist()):
-                yield p, ids[x:y].tobytes()
+    def _word(self, pre: str) -> bytes:
+        """Ids of one pre-token."""
+        ids = [t.id for t in self.tokenizer.model.tokenize(pre.encode().decode("latin-1").translate(BYTE_SIGNS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that follow a blank. Words that pieces share are encoded once."""
+        out: dict[str, bytes] = {}
+        seen, parts, odd = self.seen, {}, []
+
+        def after_blank(word: str) -> bytes:
+            ids = seen.get(word) or out.get(word)
+            if ids is None:
+                ids = out[word] = self._word(" " + word)
+            return ids
+
+        for p in pieces:
+            body, end = (p[:-1], p[-1]) if p[-1] in STOPS and len(p) > 1 else (p, "")
+            if body.isalpha() and (body.isascii() or PLAIN.fullmatch(body)):
+                ids = after_blank(body)
+                out[p] = ids + self.stops[end] if end else ids
+            elif PLAIN.fullmatch(p):
+                first, *more = self.pattern.findall(" " + p)
+                ids = [after_blank(first[1:]) if len(first) > 1 else self._word(first)]
+                for pre in more:
+                    if pre not in parts:
+                        parts[pre] = self._word(pre)
+                    ids.append(parts[pre])
+                out[p] = b"".join(ids)
+            else:
+                odd.append(p)
+        out.update(zip(odd, self._encode([" " + p for p in odd])))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.seen) > CACHE_PIECES:
@@ -50,7 +91,7 @@ class Encoder:
         cut, plain, new = [], [], set()
         for t in texts:
             first, *pieces = (t or "").split(" ")
-            if "" in pieces:
+            if "" in pieces or (any(w in t for w in BLANK_THEN_SPACE) if t and t.isascii() else t and ODD_SPACE.search(t)):
                 cut.append(None)
                 plain.append(t)
             else:
@@ -58,7 +99,7 @@ class Encoder:
                 plain.append(first)
                 new.update(pieces)
         new.difference_update(self.seen)
-        now = dict(self._encode_pieces(list(new)))
+        now = self._encode_pieces(list(new))
         once = {p: now.pop(p) for p in [p for p in now if len(p) > LONGEST_CACHED]}
         self.seen.update(now)
         look = self.seen.__getitem__ if not once else (lambda p, seen=self.seen: once[p] if p in once else seen[p])
