@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from gatelore.llm.common import UPPER, table
 from gatelore.llm.decontaminate import contamination
 from gatelore.llm.exact_dedup import exact_duplicates
+from gatelore.llm.html_text import extract_main_text
+from gatelore.llm.language import identify_language
 from gatelore.llm.packing import best_fit_pack
 from gatelore.llm.pii import personal_data_digest
+from gatelore.llm.quality import score_quality
 from gatelore.llm.token_store import read_digests, write_store
 
 
@@ -28,6 +31,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(write_store(table(spark, sf_dir, "documents")))
 
@@ -37,6 +52,9 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
+    "op6_quality": op6_quality,
+    "op8_html_text": op8_html_text,
+    "op9_language": op9_language,
     "op10_token_store": op10_token_store,
 }
 
