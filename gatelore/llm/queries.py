@@ -9,9 +9,11 @@ from gatelore.llm.decontaminate import contamination
 from gatelore.llm.exact_dedup import exact_duplicates
 from gatelore.llm.html_text import extract_main_text
 from gatelore.llm.language import identify_language
+from gatelore.llm.near_dedup import near_duplicates
 from gatelore.llm.packing import best_fit_pack
 from gatelore.llm.pii import personal_data_digest
 from gatelore.llm.quality import score_quality
+from gatelore.llm.substring_dedup import remove_repeats
 from gatelore.llm.token_store import read_digests, write_store
 
 
@@ -31,10 +33,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -52,7 +62,9 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
+    "op5_near_dedup": op5_near_dedup,
     "op6_quality": op6_quality,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_html_text": op8_html_text,
     "op9_language": op9_language,
     "op10_token_store": op10_token_store,
