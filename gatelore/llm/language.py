@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = 1 << 14
-SAMPLE_ROWS = 3000
+FEATURES = 1 << 13
+SAMPLE_ROWS = 2500
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -45,11 +45,13 @@ class Model:
     """TF-IDF weights, class weights and temperature."""
 
     def __init__(self, langs: list[str], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float = 1.0):
-        self.langs, self.idf, self.weights, self.bias, self.temperature = langs, idf, weights, bias, temperature
+        self.langs, self.idf, self.weights, self.bias, self.temperature = langs, idf.astype(np.float32), weights, bias, temperature
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
+        x = np.log1p(counts, dtype=np.float32)
+        x *= self.idf
+        x /= np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), np.float32(1e-9))
+        return x
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return softmax((x @ self.weights + self.bias) / self.temperature)
@@ -62,9 +64,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def ftrl(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 4, batch: int = 16, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
     """Per-coordinate follow-the-regularised-leader; the last row is the bias, which is not penalised by L1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    z, n = np.zeros((x.shape[1], classes)), np.zeros((x.shape[1], classes))
-    pull = np.full((x.shape[1], 1), l1)
+    columns = x.shape[1] + 1
+    z, n = np.zeros((columns, classes)), np.zeros((columns, classes))
+    pull = np.full((columns, 1), l1)
     pull[-1] = 0
     rng, hot = np.random.default_rng(0), np.eye(classes)
 
@@ -76,7 +78,8 @@ def ftrl(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 4, batch: int
         for first in range(0, len(x), batch):
             rows = order[first : first + batch]
             w = weights()
-            g = x[rows].T @ (softmax(x[rows] @ w) - hot[y[rows]]) / len(rows)
+            some = np.hstack([x[rows], np.ones((len(rows), 1), x.dtype)])
+            g = some.T @ (softmax(some @ w) - hot[y[rows]]) / len(rows)
             sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / alpha
             z += g - sigma * w
             n += g * g
@@ -108,6 +111,7 @@ def train(counts: np.ndarray, langs: list[str], df: np.ndarray, n_docs: int) ->
     x, y = model.vectors(counts), np.array([names.index(k) for k in langs])
     held = np.arange(len(y)) % 5 == 4
     model.weights, model.bias = ftrl(x[~held], y[~held], len(names))
+    model.weights = model.weights.astype(np.float32)
     model.temperature = fit_temperature(x[held] @ model.weights + model.bias, y[held])
     return model
 
