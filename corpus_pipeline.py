@@ -26,16 +26,20 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
 
 
+def _with_ids_in(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``kept``; a null doc_id matches a null doc_id."""
+    ids = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the largest doc_id of each group of equal texts."""
-    kept = exact_duplicates(docs, keep="largest").filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Keep the largest doc_id of each group of equal texts (rows that repeat it stay together)."""
+    return _with_ids_in(docs, exact_duplicates(docs, keep="largest").filter("kept"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near duplicates."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Keep the smallest doc_id of each group of near duplicates, and documents without doc_id, which link with nothing."""
+    return _with_ids_in(docs, near_duplicates(docs).filter("kept OR doc_id IS NULL"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
