@@ -134,7 +134,8 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     wanted = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-    t = texts_of(docs, wanted).dropDuplicates(["doc_id"])
+    # a table of its own, so that adaptive execution may split the joins on a central document
+    t = stage(texts_of(docs, wanted).dropDuplicates(["doc_id"]), "texts")
     one = t.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     two = t.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     rows = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
