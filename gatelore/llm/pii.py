@@ -31,7 +31,8 @@ ADDED_KINDS = [
 NEARBY = 40
 CONTEXT_GAIN = 0.3
 PLACED = "struct<s:int,e:int,m:string,near:string>"
-SPAN = "struct<s:int,e:int,r:int,kind:string,score:double>"
+#: Spans sort by start, then by kind as listed.
+SPAN = "struct<s:int,r:int,e:int,kind:string,score:double>"
 
 
 def _digits(m: str) -> str:
@@ -69,7 +70,7 @@ def _spans(df: DataFrame, rank: int, kind: str, pattern: str, holds: str, words:
         a -> a.o)"""
     df = df.withColumn("_p", F.expr(placed))
     kept = f"""filter(transform(filter(_p, x -> {VALID[kind]}),
-        x -> named_struct('s', x.s, 'e', x.e, 'r', {rank}, 'kind', '{kind}',
+        x -> named_struct('s', x.s, 'r', {rank}, 'e', x.e, 'kind', '{kind}',
              'score', least(1.0D, {score}D + CASE WHEN x.near RLIKE '{words}' THEN {CONTEXT_GAIN}D ELSE 0.0D END))),
         y -> y.score >= {threshold}D)"""
     return df.withColumn(kind, F.expr(f"cast({kept} AS array<{SPAN}>)")).drop("_m", "_g", "_z", "_p")

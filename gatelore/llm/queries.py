@@ -70,10 +70,90 @@ QUERIES = {
     "op10_token_store": op10_token_store,
 }
 
+LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
+
+#: Kind, its pattern for an engine without look-around, the condition on a match x, words nearby, score.
+SQL_KINDS = [
+    ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+", "true", "mail|contact|write", 0.9),
+    ("ip", "[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)", "len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR right(p, 3)::INT > 255)) = 0", "address|host|server|login", 0.6),
+    (
+        "card",
+        "[0-9]([ -]?[0-9])+",
+        "length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(d), i, 1)::INT "
+        "ELSE 2 * substr(reverse(d), i, 1)::INT - CASE WHEN substr(reverse(d), i, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0",
+        "card|visa|credit|pay",
+        0.8,
+    ),
+    ("phone", "\\+[0-9][ ().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15", "phone|call|tel|mobile|fax", 0.7),
+    (
+        "iban",
+        "[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)",
+        "NOT regexp_matches(l, '[A-Za-z0-9]$') AND NOT regexp_matches(h, '^[A-Za-z0-9]') AND length(replace(x, ' ', '')) BETWEEN 15 AND 34 AND "
+        "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(x, ' ', ''), 5) || left(x, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ord(c) - 55 ELSE c::INT END)), "
+        "lambda a, c: CASE WHEN c > 9 THEN (a * 100 + c) % 97 ELSE (a * 10 + c) % 97 END) = 1",
+        "iban|bank|account|transfer",
+        0.9,
+    ),
+    (
+        "ssn",
+        "[0-9]{3}-[0-9]{2}-[0-9]{4}",
+        "NOT regexp_matches(l, '[0-9-]$') AND NOT regexp_matches(h, '^[0-9-]') AND left(x, 3) NOT IN ('000', '666') AND left(x, 1) <> '9' AND substr(x, 5, 2) <> '00' AND right(x, 4) <> '0000'",
+        "ssn|social security|taxpayer",
+        0.4,
+    ),
+]
+
+
+def _pii_sql() -> str:
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, '{k}' AS kind, {r} AS r, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d" for r, (k, p, *_) in enumerate(SQL_KINDS)
+    )
+    valid = " ".join(f"WHEN '{k}' THEN {v}" for k, _, v, *_ in SQL_KINDS)
+    words = " ".join(f"WHEN '{k}' THEN regexp_matches(near, '{w}')" for k, _, _, w, _ in SQL_KINDS)
+    score = " ".join(f"WHEN '{k}' THEN {s}" for k, *_, s in SQL_KINDS)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, *_ in SQL_KINDS[:4])
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
+        p AS (SELECT doc_id, kind, r, unnest(range(1, len(m) + 1)) AS i, m, g FROM f),
+        q AS (SELECT doc_id, kind, r, m[i] AS x, regexp_replace(m[i], '[^0-9]', '', 'g') AS d, right(g[i], 40) AS l, left(g[i + 1], 40) AS h,
+              list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0) AS s FROM p),
+        v AS (SELECT *, s + length(x) AS e, lower(l || ' ' || h) AS near FROM q WHERE CASE kind {valid} END),
+        w AS (SELECT *, least(1.0, CASE kind {score} END + CASE WHEN CASE kind {words} END THEN 0.3 ELSE 0 END)::DOUBLE AS score FROM v),
+        k AS (SELECT * FROM w WHERE r < 4 OR score >= 0.6),
+        a AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, r) FILTER (r < 4) AS base,
+              string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, r) AS spans, string_agg(round(score, 2)::VARCHAR, ',' ORDER BY s, r) AS scores FROM k GROUP BY 1)
+        SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in SQL_KINDS[:4])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+        FROM documents LEFT JOIN a USING (doc_id)"""
+
+
+_WORDS = "regexp_extract_all({}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
 ORACLE_SQL = {
     "op2_exact_dedup": f"""
-        WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents)
+        WITH d AS (SELECT doc_id, {LOWER} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op3_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format(LOWER)} AS w FROM documents), b AS (SELECT item_id, {_WORDS.format(LOWER)} AS w FROM benchmark),
+        bw AS (SELECT item_id, least(10, len(w)) AS m, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS q FROM b WHERE len(w) > 0),
+        win AS (SELECT m, array_to_string(w[q:q + m - 1], ' ') AS k, list(DISTINCT item_id) AS items FROM bw GROUP BY 1, 2),
+        dw AS (SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m),
+        hit AS MATERIALIZED (SELECT doc_id, p, win.m, items FROM dw JOIN win ON win.m = dw.m AND win.k = array_to_string(w[p:p + dw.m - 1], ' ')),
+        cov AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS x FROM hit) GROUP BY 1),
+        runs AS (SELECT doc_id, max(n) AS longest_run FROM (SELECT doc_id, x - rn AS island, count(*) AS n FROM (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY x) AS rn
+            FROM (SELECT DISTINCT doc_id, unnest(range(p, p + m)) AS x FROM hit)) GROUP BY 1, 2) GROUP BY 1),
+        it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, unnest(items)::VARCHAR AS i FROM hit) GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+            coalesce(longest_run, 0) AS longest_run FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN runs USING (doc_id)""",
+    "op4_pii": _pii_sql(),
+    "op5_near_dedup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS MATERIALIZED (SELECT x, y FROM pair JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+        u AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+        c(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT u.y, c.root FROM c JOIN u ON u.x = c.doc_id WHERE u.y > c.root),
+        r AS (SELECT doc_id, min(root) AS root FROM c GROUP BY 1)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, doc_id = root AS kept FROM r LEFT JOIN n USING (doc_id)""",
 }

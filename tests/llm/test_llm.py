@@ -88,6 +88,7 @@ def test_personal_data(spark, sample):
     odd = [
         (1, "é a@b.c_d@e.f, x..@y.z 4111 1111-1111 1111 and +1 (017) 555-7713"), (2, "1.2.3.4.5.6.7.8 999.1.1.1 0001.2.3.255 00256.1.1.1 1.2.3"), (3, "1" * 20000 + " " + "1 " * 9000 + "a" * 20000 + "@x" + ".c" * 9000),
         (4, "IBAN GB82WEST12345698765432 and DE89 3704 0044 0532 0130 00, bad GB82WEST12345698765433"), (5, "ssn 123-45-6789 but code 123-45-6789 later, " + "-" * 90 + " 123-45-6789"), (6, "+1((((( +123456789 +1 2 3 4 5 6 7 8 9 0 12345678"),
+        (7, "one start, two kinds: 4111111111111111@x.yz"),
     ]
     rows = sample + odd
     got = pii.personal_data_digest(docs_of(spark, rows)).collect()
