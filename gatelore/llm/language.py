@@ -144,10 +144,10 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATU
     if chosen is None:
         return None
     sample = usable.filter(F.xxhash64("doc_id") <= chosen).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).select("text", "lang").limit(sample_rows)
-    rows = sample.mapInArrow(lambda it: _sparse(it, features), "lang string, at array<int>, n array<int>").collect()
+    rows = sample.mapInArrow(lambda it: _sparse(it, features), "lang string, at binary, n binary").collect()
     counts = np.zeros((len(rows), features), dtype=np.float32)
     for k, r in enumerate(rows):
-        counts[k, r["at"]] = r["n"]
+        counts[k, np.frombuffer(r["at"], "<u4")] = np.frombuffer(r["n"], "<u4")
     return train(counts, [r["lang"] for r in rows], df[:-1], int(df[-1]))
 
 
@@ -156,9 +156,10 @@ def _sparse(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[pa.Rec
         at, n = [], []
         for t in b.column(0).to_pylist():
             c = ngram_counts(t, features)
-            at.append(np.flatnonzero(c))
-            n.append(c[at[-1]])
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["lang", "at", "n"])
+            here = np.flatnonzero(c)
+            at.append(here.astype("<u4").tobytes())
+            n.append(c[here].astype("<u4").tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["lang", "at", "n"])
 
 
 def predict(texts: list[str | None], model: Model | None, features: int = FEATURES) -> tuple[list[str], list[float]]:
