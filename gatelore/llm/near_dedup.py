@@ -41,7 +41,7 @@ WORDS = 5
 NUM, DEN = 75, 100
 COORDINATES, MINIMA = 32, 3
 SHORT_LIST = 12
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Odd multipliers of the hashes.
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
