@@ -145,6 +145,14 @@ round(CASE WHEN "min_from_PI" < 0 THEN -1.0 ELSE coalesce("min_from_PI" / nullif
 round(coalesce((fanin_2level - min(fanin_2level) OVER d) / nullif(max(fanin_2level) OVER d - min(fanin_2level) OVER d, 0), 0), 6) AS fanin_2level, round(in_type_cnt / 9.0, 6) AS in_type_cnt FROM feat WINDOW d AS (PARTITION BY design_id)""")(
     lambda c: rounded(X.scaled(masked_features(c).select("design_id", "gid", "level", "min_from_PI", "fanin_2level", "in_type_cnt"), ["level", "min_from_PI", "fanin_2level", "in_type_cnt"]), "level", "min_from_PI", "fanin_2level", "in_type_cnt")
 )
+
+
+def audit_gates(c: Circuit) -> DataFrame:
+    raw = staged(masked_features(c).select("design_id", "gid", "level", "fanin_2level"))
+    return rounded(N.audit_gates(c.gates, c.gates, raw, X.scaled(raw, ["level", "fanin_2level"]), ["level"]), "norm__level")
+
+
+circuit_query("audit_gates", FEATURE_PARTS + """ SELECT design_id, gid, gate_name, y, feat.level AS raw__level, fanin_2level AS raw__fanin_2level, round(coalesce(feat.level / nullif(max(feat.level) OVER (PARTITION BY design_id), 0), 0), 6) AS norm__level FROM feat JOIN gates USING (design_id, gid)""")(audit_gates)
 DESCRIPTORS = FEATURE_PARTS + ", " + COMPONENTS + """, pr AS (SELECT DISTINCT design_id, least(src, dst) AS low, greatest(src, dst) AS high FROM comb), pe AS (SELECT pr.design_id, component_id, count(*)::DOUBLE AS e FROM pr JOIN component c ON c.design_id = pr.design_id AND c.gid = pr.low GROUP BY 1, 2),
 dn AS (SELECT design_id, component_id, count(*)::DOUBLE AS n, """ + ", ".join(f"avg(is_{t}) AS share_{t}" for t in E.GATE_TYPES) + ", " + ", ".join(f'avg("{m}") AS "mean_{m}"' for m in X.MEANS) + """ FROM component JOIN feat USING (design_id, gid) GROUP BY 1, 2),
 descriptor AS (SELECT design_id, component_id, n AS node_count, coalesce(e, 0) AS edge_count, round(2 * coalesce(e, 0) / (n * (n - 1) + 1e-6), 6) AS density, 0.0::DOUBLE AS boundary_count, 0.0::DOUBLE AS boundary_ratio, """ + ", ".join(f"round(share_{t}, 6) AS share_{t}" for t in E.GATE_TYPES) + ", " + ", ".join(f'round("mean_{m}", 6) AS "mean_{m}"' for m in X.MEANS) + " FROM dn LEFT JOIN pe USING (design_id, component_id))"
@@ -180,7 +188,20 @@ SELECT design_id, gid, round(st[gid + 1], 6) AS p1 FROM fin JOIN gates USING (de
 circuit_query("random_simulation")(lambda c: M.random_simulation(c.gates, c.pins, edges_of(c), staged(I.levels(c.gates, comb_of(c))), cycles=64))
 
 STIMULUS_CYCLES = 4
-circuit_query("waveform_of_stimulus")(
+WAVE = f"""si AS (SELECT design_id, dst AS gid, list(src ORDER BY pin_pos) AS srcs FROM edges GROUP BY ALL),
+gi AS MATERIALIZED (SELECT g.design_id, g.gid, gtype, srcs, n_gates, d.d FROM gates g LEFT JOIN si USING (design_id, gid) LEFT JOIN (SELECT design_id, gid, max(driver) AS d FROM pins WHERE gtype = 'dff' AND pin = 'D' GROUP BY ALL) d USING (design_id, gid)),
+run(design_id, cycle, phase, gid, n, st) AS (SELECT DISTINCT design_id, 0::BIGINT, 1::BIGINT, -1::BIGINT, n_gates, list_transform(range(n_gates), lambda x: 0)::INT[] FROM gates UNION ALL
+SELECT r.design_id, r.cycle + (r.phase = 2 AND r.gid = r.n - 1)::INT, CASE WHEN r.gid = r.n - 1 THEN 3 - r.phase ELSE r.phase END, gi.gid, r.n,
+ list_concat(list_concat(r.st[1:gi.gid], [(CASE WHEN r.gid = r.n - 1 THEN 3 - r.phase ELSE r.phase END = 1) AND gtype <> 'dff' AND srcs IS NULL
+  AND (gi.gid * 7 + (r.cycle + (r.phase = 2 AND r.gid = r.n - 1)::INT) * 3 + r.design_id) % 2 = 1
+  OR (CASE WHEN r.gid = r.n - 1 THEN 3 - r.phase ELSE r.phase END = 1) AND gtype <> 'dff' AND srcs IS NOT NULL AND
+   CASE gtype WHEN 'and' THEN list_min(list_transform(srcs, lambda x: r.st[x + 1])) WHEN 'nand' THEN 1 - list_min(list_transform(srcs, lambda x: r.st[x + 1])) WHEN 'or' THEN list_max(list_transform(srcs, lambda x: r.st[x + 1]))
+    WHEN 'nor' THEN 1 - list_max(list_transform(srcs, lambda x: r.st[x + 1])) WHEN 'xor' THEN list_sum(list_transform(srcs, lambda x: r.st[x + 1])) % 2 WHEN 'xnor' THEN 1 - list_sum(list_transform(srcs, lambda x: r.st[x + 1])) % 2
+    WHEN 'not' THEN 1 - r.st[srcs[1] + 1] ELSE r.st[srcs[1] + 1] END = 1
+  OR (CASE WHEN r.gid = r.n - 1 THEN 3 - r.phase ELSE r.phase END = 1) AND gtype = 'dff' AND r.st[gi.gid + 1] = 1
+  OR (CASE WHEN r.gid = r.n - 1 THEN 3 - r.phase ELSE r.phase END = 2) AND CASE WHEN gtype = 'dff' AND d IS NOT NULL THEN r.st[d + 1] = 1 ELSE r.st[gi.gid + 1] = 1 END]::INT[]), r.st[gi.gid + 2:])
+FROM run r JOIN gi ON gi.design_id = r.design_id AND gi.gid = (r.gid + 1) % r.n WHERE NOT (r.cycle = {STIMULUS_CYCLES - 1} AND r.phase = 2 AND r.gid = r.n - 1))"""
+circuit_query("waveform_of_stimulus", WAVE + " SELECT run.design_id, g.gid, cycle, run.st[g.gid + 1] AS bit FROM run JOIN gates g ON g.design_id = run.design_id WHERE phase = 2 AND run.gid = n - 1")(
     lambda c: M.random_simulation(
         c.gates, c.pins, edges_of(c), staged(I.levels(c.gates, comb_of(c))), cycles=STIMULUS_CYCLES, wave=True,
         stimulus=c.gates.select("design_id", "gid", F.explode(F.sequence(F.lit(0), F.lit(STIMULUS_CYCLES - 1))).alias("cycle")).withColumn("bit", F.expr("cast((gid * 7 + cycle * 3 + design_id) % 2 AS int)")),
@@ -298,12 +319,22 @@ circuit_query("graph_propagation", "el AS (SELECT design_id, src, dst FROM edges
 )
 
 
-@circuit_query("dense_scores")
+#: Made-up layers for the query: weight of input i (-1: the bias) and output j.
+HIDDEN = [[((i + 2) * (j + 3) % 7 - 3) / 3 for j in range(4)] for i in range(-1, 3)]
+OUTPUT = [[((i + 3) * (j + 2) % 5 - 2) / 2 for j in range(2)] for i in range(-1, 4)]
+_hidden = ", ".join(f"greatest(0, {HIDDEN[0][j]} + {' + '.join(f'({HIDDEN[i + 1][j]}) * x{i}' for i in range(3))}) AS h{j}" for j in range(4))
+_output = ", ".join(f"{OUTPUT[0][j]} + {' + '.join(f'({OUTPUT[i + 1][j]}) * h{i}' for i in range(4))} AS z{j}" for j in range(2))
+circuit_query("dense_scores", "el AS (SELECT design_id, src, dst FROM edges UNION ALL SELECT design_id, gid, gid FROM gates), dg AS (SELECT design_id, dst AS gid, count(*) AS d FROM el GROUP BY 1, 2), x0 AS (SELECT design_id, gid, p AS x FROM gates), "
+    + HOP.format(k=1, f="x0") + ", er AS (SELECT design_id, dst AS src, src AS dst FROM el), dr AS (SELECT design_id, dst AS gid, count(*) AS d FROM er GROUP BY 1, 2), " + HOP.format(k=2, f="x0").replace("FROM el e", "FROM er e").replace("JOIN dg", "JOIN dr")
+    + f", xs AS (SELECT g.design_id, g.gid, p AS x0, hop1.x AS x1, hop2.x AS x2 FROM gates g JOIN hop1 USING (design_id, gid) JOIN hop2 USING (design_id, gid)), hs AS (SELECT design_id, gid, {_hidden} FROM xs), zs AS (SELECT design_id, gid, {_output} FROM hs) SELECT design_id, gid, round(1 / (1 + exp(z0 - z1)), 6) AS p FROM zs")(
+    lambda c: rounded(dense_scores(c), "p")
+)
+
+
 def dense_scores(c: Circuit) -> DataFrame:
     rows = L.propagate(edges_of(c), c.gates, ["p"], 1)
-    columns = ["p", "p_fw1", "p_bw1"]
-    weights = [("0", i, j, ((i + 2) * (j + 3) % 7 - 3) / 3) for i in range(-1, 3) for j in range(4)] + [("1", i, j, ((i + 3) * (j + 2) % 5 - 2) / 2) for i in range(-1, 4) for j in range(2)]
-    return L.dense_scores(rows, columns, c.gates.sparkSession.createDataFrame(weights, "layer string, i int, j int, w double"))
+    weights = [("0", i - 1, j, w) for i, row in enumerate(HIDDEN) for j, w in enumerate(row)] + [("1", i - 1, j, w) for i, row in enumerate(OUTPUT) for j, w in enumerate(row)]
+    return L.dense_scores(rows, ["p", "p_fw1", "p_bw1"], c.gates.sparkSession.createDataFrame(weights, "layer string, i int, j int, w double"))
 
 
 @circuit_query("trained_classifier")
