@@ -39,23 +39,34 @@ def levels(gates: DataFrame, comb: DataFrame) -> DataFrame:
     return out.select(*KEY, F.coalesce("level", "pushed", F.lit(0)).cast("long").alias("level"), F.coalesce("ordered", F.lit(False)).alias("ordered"))
 
 
+#: Rounds whose results are kept side by side before they are written as one table.
+SIDE_BY_SIDE = 8
+
+
 def _relax(seeds: DataFrame, edges: DataFrame, longest: bool, hops: int | None = None) -> DataFrame:
     """Distances over ``edges`` (design_id, way, src, dst) from ``seeds`` (design_id, gid, family, way, dist)."""
-    edges, best = staged(edges), staged(seeds)
     on = ["design_id", "gid", "family", "way"]
-    frontier, done = best, 0
+    edges, frontier, done = staged(edges), staged(seeds), 0
+    found = [frontier]
+
+    def known() -> DataFrame:
+        out = found[0]
+        for f in found[1:]:
+            out = out.unionByName(f)
+        return out.groupBy(on).agg((F.max("dist") if longest else F.min("dist")).alias("dist")) if longest and len(found) > 1 else out
+
     while not frontier.isEmpty() and (hops is None or done < hops):
         done += 1
         next_ = frontier.withColumnRenamed("gid", "src").join(edges, ["design_id", "way", "src"])
         reached = next_.groupBy("design_id", F.col("dst").alias("gid"), "family", "way").agg((F.max("dist") if longest else F.min("dist")).alias("dist")).select(*on, (F.col("dist") + 1).alias("dist"))
         if longest:
-            better = reached.join(best.withColumnRenamed("dist", "known"), on, "left").filter("known IS NULL OR dist > known").drop("known")
-            frontier = staged(better)
-            best = staged(best.join(frontier, on, "left_anti").unionByName(frontier))
+            frontier = staged(reached.join(known().withColumnRenamed("dist", "before"), on, "left").filter("before IS NULL OR dist > before").drop("before"))
         else:
-            frontier = staged(reached.join(best, on, "left_anti"))
-            best = staged(best.unionByName(frontier))
-    return best
+            frontier = staged(reached.join(known(), on, "left_anti"))
+        found.append(frontier)
+        if len(found) > SIDE_BY_SIDE:
+            found[:] = [staged(known())]
+    return known()
 
 
 #: For each family of seeds the way it is followed, its column name and the first distance of longest paths.
