@@ -28,7 +28,7 @@ def levels(gates: DataFrame, comb: DataFrame) -> DataFrame:
         level += 1
         fed = frontier.select("design_id", F.col("gid").alias("src")).join(comb, ["design_id", "src"]).groupBy("design_id", F.col("dst").alias("gid")).agg(F.count("*").alias("fed"))
         open_ = staged(open_.join(fed, KEY, "left").select(*KEY, (F.col("open") - F.coalesce("fed", F.lit(0))).alias("open")).filter("open >= 0"))
-        frontier = staged(open_.filter("open = 0").select(*KEY, F.lit(level).alias("level")))
+        frontier = open_.filter("open = 0").select(*KEY, F.lit(level).alias("level"))
         open_ = open_.filter("open > 0")
         rounds.append(frontier)
     peeled = rounds[0]
