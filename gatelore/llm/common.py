@@ -49,6 +49,13 @@ def discard(*staged: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that few texts are Python objects at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def batches_of(rows: Iterable[tuple], schema: pa.Schema, max_rows: int = 4096, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches of bounded size from an iterator of row tuples."""
     held, size = [], 0

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatelore.llm.common import sliced
+
 #: bytes.translate table: A-Z to a-z, all that is not part of a word to a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -126,7 +128,7 @@ SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 def _scan(batches: Iterator[pa.RecordBatch], block, shard_chars: int) -> Iterator[pa.RecordBatch]:
     tests = block.value
-    for b in batches:
+    for b in sliced(batches, 2048):
         texts = b.column("text").to_pylist()
         hits, items = b.column("_hits").to_pylist(), b.column("_items").to_pylist()
         first = 0
@@ -156,7 +158,7 @@ def _blocks(benchmark: DataFrame, window: int, block_chars: int) -> Iterator[Tes
         yield TestSuffixes(held, window)
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 8 << 20, shard_chars: int = 4 << 20) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 8 << 20, shard_chars: int = 2 << 20) -> DataFrame:
     """``docs`` with ``_hits`` (merged word intervals that occur in the benchmark) and ``_items`` (ids, sorted as strings)."""
     spark = docs.sparkSession
     out = docs.withColumns({"_hits": F.expr("cast(array() AS array<struct<s:int,e:int>>)"), "_items": F.expr("cast(array() AS array<string>)")})

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelore.llm.common import batches_of, lower_az
+from gatelore.llm.common import batches_of, lower_az, sliced
 
 PARTIAL = pa.schema([("len", pa.int32()), ("hash", pa.int64()), ("key", pa.binary()), ("owner", pa.int64()), ("n", pa.int64())])
 FINAL = pa.schema([("len", pa.int32()), ("text_sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
@@ -94,7 +94,7 @@ def _common(a: bytes, b: bytes) -> int:
 def _partial(batches: Iterator[pa.RecordBatch], pick, spill_bytes: int) -> Iterator[tuple]:
     tries: dict[tuple[int, int], Patricia] = {}
     held = 0
-    for b in batches:
+    for b in sliced(batches):
         for length, h, key, owner, n in zip(*(c.to_pylist() for c in b.columns)):
             trie = tries.get((length, h))
             if trie is None:
@@ -120,7 +120,7 @@ def _merge(batches: Iterator[pa.RecordBatch], pick) -> Iterator[tuple]:
     def closed():
         return ((at[0], hashlib.sha256(key).hexdigest(), owner, n) for key, owner, n in trie.terminals())
 
-    for b in batches:
+    for b in sliced(batches):
         for length, h, key, owner, n in zip(*(c.to_pylist() for c in b.columns)):
             if (length, h) != at:
                 if at is not None:
@@ -131,7 +131,7 @@ def _merge(batches: Iterator[pa.RecordBatch], pick) -> Iterator[tuple]:
         yield from closed()
 
 
-def owners(docs: DataFrame, keep: str = "smallest", spill_bytes: int = 48 << 20) -> DataFrame:
+def owners(docs: DataFrame, keep: str = "smallest", spill_bytes: int = 24 << 20) -> DataFrame:
     """One row per distinct normalised text: its length, digest, owner and number of documents."""
     pick = {"smallest": min, "largest": max}[keep]
     norm = lower_az(F.col("text"))
@@ -144,7 +144,7 @@ def owners(docs: DataFrame, keep: str = "smallest", spill_bytes: int = 48 << 20)
     return merged.mapInArrow(lambda it: batches_of(_merge(it, pick), FINAL), "len int, text_sha256 string, keep_id long, group_size long")
 
 
-def exact_duplicates(docs: DataFrame, keep: str = "smallest", spill_bytes: int = 48 << 20) -> DataFrame:
+def exact_duplicates(docs: DataFrame, keep: str = "smallest", spill_bytes: int = 24 << 20) -> DataFrame:
     """Every document with the identifier that stays of its group: doc_id, keep_id, group_size, kept, text_sha256."""
     norm = lower_az(F.col("text"))
     mine = docs.select("doc_id", norm.alias("t")).select("doc_id", F.octet_length("t").alias("len"), F.sha2("t", 256).alias("text_sha256"))

@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatelore.llm.common import sliced
+
 FEATURES = 1 << 13
 SAMPLE_ROWS = 2500
 UNKNOWN = "und"
@@ -42,13 +44,13 @@ def ngram_counts(text: str, features: int = FEATURES) -> np.ndarray:
 
 
 class Model:
-    """TF-IDF weights, class weights and temperature."""
+    """TF-IDF weights, class weights and temperature. Single-precision counts are turned into vectors in place."""
 
     def __init__(self, langs: list[str], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float = 1.0):
         self.langs, self.idf, self.weights, self.bias, self.temperature = langs, idf.astype(np.float32), weights, bias, temperature
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts, dtype=np.float32)
+        x = np.log1p(counts, dtype=np.float32, out=counts if counts.dtype == np.float32 else None)
         x *= self.idf
         x /= np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), np.float32(1e-9))
         return x
@@ -109,10 +111,10 @@ def train(counts: np.ndarray, langs: list[str], df: np.ndarray, n_docs: int) ->
         return None
     model = Model(names, np.log((1.0 + n_docs) / (1.0 + df)) + 1.0, np.zeros((len(df), len(names))), np.zeros(len(names)))
     x, y = model.vectors(counts), np.array([names.index(k) for k in langs])
-    held = np.arange(len(y)) % 5 == 4
-    model.weights, model.bias = ftrl(x[~held], y[~held], len(names))
+    k = len(y) - len(y) // 5  # rows come in the order of a hash
+    model.weights, model.bias = ftrl(x[:k], y[:k], len(names))
     model.weights = model.weights.astype(np.float32)
-    model.temperature = fit_temperature(x[held] @ model.weights + model.bias, y[held])
+    model.temperature = fit_temperature(x[k:] @ model.weights + model.bias, y[k:])
     return model
 
 
@@ -122,7 +124,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _frequencies(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(features + 1, dtype=np.int64), 0
-    for b in batches:
+    for b in sliced(batches):
         for t in b.column(0).to_pylist():
             df[:-1] += ngram_counts(t, features) > 0
             n += 1
@@ -152,7 +154,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATU
 
 
 def _sparse(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         at, n = [], []
         for t in b.column(0).to_pylist():
             c = ngram_counts(t, features)
@@ -174,7 +176,7 @@ def predict(texts: list[str | None], model: Model | None, features: int = FEATUR
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         langs, scores = predict(b.column("text").to_pylist(), model.value)
         added = {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
         yield pa.RecordBatch.from_arrays([*b.columns, *added.values()], names=[*b.schema.names, *added])

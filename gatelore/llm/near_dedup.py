@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelore.llm.common import LOWER_BYTES, batches_of, discard, stage
+from gatelore.llm.common import LOWER_BYTES, batches_of, discard, sliced, stage
 from gatelore.llm.components import connected_components
 
 WORDS = 5
@@ -90,15 +90,8 @@ def signature(s: np.ndarray) -> np.ndarray:
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
-    """Batches in slices, so that few texts are Python objects at once."""
-    for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in _sliced(batches):
+    for b in sliced(batches):
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             s = shingles(text)
             yield (doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s)) if len(s) else (doc_id, 0, None, None)
@@ -114,7 +107,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             held[doc_id] = shingles(text)
         return held[doc_id]
 
-    for b in _sliced(batches):
+    for b in sliced(batches):
         for a, b_, ta, tb in zip(*(c.to_pylist() for c in b.columns)):
             x, y = of(a, ta), of(b_, tb)
             if len(x) and len(y):

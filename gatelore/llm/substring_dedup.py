@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelore.llm.common import batches_of, discard, stage
+from gatelore.llm.common import batches_of, discard, sliced, stage
 
 THRESHOLD = 400
 LEADER = 200
@@ -103,15 +103,8 @@ def leaders(text: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
 RUNS = "dk string, lead long, run long, at long, far int, near int"
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
-    """Batches in slices, so that few texts are Python objects at once."""
-    for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
-
-
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _sliced(batches):
+    for b in sliced(batches):
         for dk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if text is not None and len(text) >= THRESHOLD:
                 for lead, run, at, far, near in leaders(np.frombuffer(text, np.uint8)):
@@ -161,7 +154,7 @@ BLOCK_ROWS = pa.schema([("dk", pa.string()), ("lead", pa.int64()), ("at", pa.int
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """For each block of window places of each row: the hash of what its windows share, and of all they cover (null where the block is cut)."""
-    for b in _sliced(batches):
+    for b in sliced(batches):
         for dk, text, members in zip(*(b.column(c).to_pylist() for c in ("dk", "text", "members"))):
             data = np.frombuffer(text, np.uint8)
             for m in members:
@@ -179,7 +172,7 @@ WINDOW_ROWS = pa.schema([("dk", pa.string()), ("s", pa.int64()), ("n", pa.int64(
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in _sliced(batches):
+    for b in sliced(batches):
         for dk, text, members in zip(*(b.column(c).to_pylist() for c in ("dk", "text", "members"))):
             data = np.frombuffer(text, np.uint8)
             for m in members:
@@ -237,7 +230,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in _sliced(batches):
+    for b in sliced(batches):
         for doc_id, text, starts, ends in zip(*(c.to_pylist() for c in b.columns)):
             s, e = merged(np.array(starts), np.array(ends))
             cuts, at = [], 0
