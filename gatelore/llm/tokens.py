@@ -3,7 +3,8 @@
 A text is cut at its single blanks: a blank between two non-blank characters always begins a new pre-token of the
 byte-level vocabulary, so what lies between two such blanks can be encoded by itself. Each task keeps the ids of the
 pieces it has met (a bounded cache) and gives only new pieces to the tokenizer's model. Texts with runs of blanks, and
-the first piece of each text, go through the whole tokenizer. Both ways give the tokenizer's own ids, which tests hold against each other.
+the first piece of each text, go through the whole tokenizer, and so do texts that hold an added (special) token's content,
+which the tokenizer takes out before it cuts words. All ways give the tokenizer's own ids, which tests hold against each other.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(PATTERN)
         self.stops = {c: self._word(c) for c in STOPS}
         self.seen: dict[str, bytes] = {}
@@ -91,7 +92,7 @@ class Encoder:
         cut, plain, new = [], [], set()
         for t in texts:
             first, *pieces = (t or "").split(" ")
-            if "" in pieces or (any(w in t for w in BLANK_THEN_SPACE) if t and t.isascii() else t and ODD_SPACE.search(t)):
+            if "" in pieces or any(a in t for a in self.added if t) or (any(w in t for w in BLANK_THEN_SPACE) if t and t.isascii() else t and ODD_SPACE.search(t)):
                 cut.append(None)
                 plain.append(t)
             else:

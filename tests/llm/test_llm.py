@@ -313,6 +313,23 @@ def test_encoder_gives_the_tokenizers_ids():
         assert got == ids_of(t)[:-1].tobytes(), repr(t)
 
 
+def test_added_tokens_are_those_of_the_file(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_vocabulary())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "one two<|endoftext|>three four", "  x <|endoftext|><|endoftext|>\n", "<|endoftext| > no", "a b c"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder(public_vocabulary()).encode(texts)] == want
+    docs = docs_of(spark, list(enumerate(texts)))
+    crcs = [zlib.crc32(np.array([*w, 0], "<u4").tobytes()) for w in want]
+    stored = {r.doc_id: (r.n_tokens, r.start, r.ids_crc32) for r in token_store.read_digests(token_store.write_store(docs)).collect()}
+    starts = np.cumsum([0, *(len(w) + 1 for w in want)]).tolist()
+    assert stored == {k: (len(w) + 1, starts[k], crcs[k]) for k, w in enumerate(want)}
+    packed = {r.doc_id: (r.length, r.ids_crc32) for r in packing.best_fit_pack(docs, capacity=64).collect()}
+    assert packed == {k: (len(w) + 1, crcs[k]) for k, w in enumerate(want)}
+
+
 def test_packing(spark, frame, sample):
     got = packing.best_fit_pack(frame, capacity=64).collect()
     docs = collections.Counter()
