@@ -5,9 +5,10 @@ follow-the-regularised-leader with elastic-net (L1 and L2) penalties, which leav
 fitted on a part of the sample that training never saw turns scores into calibrated probabilities.
 
 Scale: document frequencies are counted over every learnable document, one count vector per task being added up by
-feature; only the weights are fitted on a sample, of at most ``sample_rows`` learnable rows (those of the smallest key
-hash, hence the same rows at any partitioning), whose count vectors have ``features`` columns at most. Prediction is one
-pass over whole texts where they are read, the model being a few hundred KB.
+feature; only the weights are fitted on a sample of different texts. Each language has its share of ``sample_rows`` by its
+number of different texts, and LEAST_OF_LANG of them at least (all where it has fewer), so every learnable language is
+learned however rare it is. The texts are those of the smallest hashes, hence the same at any partitioning. The driver
+keeps them as sparse rows. Prediction is one pass over whole texts where they are read, the model being a few hundred KB.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without any learnable row every text is
 ``und`` with score 0; repeated rows get equal answers; ties between languages go to the first in alphabetical order; extra
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from gatelore.llm.common import sliced
 
-FEATURES = 1 << 13
-SAMPLE_ROWS = 2500
+FEATURES = 1 << 14
+SAMPLE_ROWS = 3000
+LEAST_OF_LANG = 30
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -59,33 +61,62 @@ class Model:
         return softmax((x @ self.weights + self.bias) / self.temperature)
 
 
+class SparseRows:
+    """TF-IDF vectors of unit length, kept sparse; slices come out dense."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
+        self.shape, self.dtype, self.rows = (len(rows), len(idf)), np.dtype(np.float32), []
+        for at, n in rows:
+            v = np.log1p(n, dtype=np.float32) * idf[at]
+            self.rows.append((at, v / np.maximum(np.linalg.norm(v), np.float32(1e-9))))
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def part(self, which: np.ndarray) -> SparseRows:
+        out = SparseRows([], np.zeros(self.shape[1], np.float32))
+        out.rows, out.shape = [self.rows[r] for r in which], (len(which), self.shape[1])
+        return out
+
+    def __getitem__(self, which: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(which), self.shape[1]), np.float32)
+        for k, r in enumerate(which):
+            out[k, self.rows[r][0]] = self.rows[r][1]
+        return out
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def ftrl(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 4, batch: int = 16, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
-    """Per-coordinate follow-the-regularised-leader; the last row is the bias, which is not penalised by L1."""
+def ftrl(x: np.ndarray | SparseRows, y: np.ndarray, classes: int, rounds: int = 4, batch: int = 16, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
+    """Per-coordinate follow-the-regularised-leader; the last row is the bias, which is not penalised by L1.
+
+    Columns that are zero in a whole batch have no gradient and stay as they are, so a step looks at the others only.
+    """
     columns = x.shape[1] + 1
     z, n = np.zeros((columns, classes)), np.zeros((columns, classes))
     pull = np.full((columns, 1), l1)
     pull[-1] = 0
     rng, hot = np.random.default_rng(0), np.eye(classes)
 
-    def weights() -> np.ndarray:
+    def weights(z: np.ndarray, n: np.ndarray, pull: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= pull, 0.0, (np.sign(z) * pull - z) / ((beta + np.sqrt(n)) / alpha + l2))
 
     for _ in range(rounds):
         order = rng.permutation(len(x))
         for first in range(0, len(x), batch):
             rows = order[first : first + batch]
-            w = weights()
             some = np.hstack([x[rows], np.ones((len(rows), 1), x.dtype)])
+            at = np.flatnonzero(some.any(axis=0))
+            some, past = some[:, at], n[at]
+            w = weights(z[at], past, pull[at])
             g = some.T @ (softmax(some @ w) - hot[y[rows]]) / len(rows)
-            sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / alpha
-            z += g - sigma * w
-            n += g * g
-    w = weights()
+            sigma = (np.sqrt(past + g * g) - np.sqrt(past)) / alpha
+            z[at] += g - sigma * w
+            n[at] = past + g * g
+    w = weights(z, n, pull)
     return w[:-1], w[-1]
 
 
@@ -104,17 +135,24 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def train(counts: np.ndarray, langs: list[str], df: np.ndarray, n_docs: int) -> Model | None:
-    """Fit weights on four fifths of the sample and the temperature on the rest."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], df: np.ndarray, n_docs: int) -> Model | None:
+    """Fit weights on four fifths of each language's rows (columns and counts), the temperature on the rest."""
     names = sorted(set(langs))
     if not names:
         return None
     model = Model(names, np.log((1.0 + n_docs) / (1.0 + df)) + 1.0, np.zeros((len(df), len(names))), np.zeros(len(names)))
-    x, y = model.vectors(counts), np.array([names.index(k) for k in langs])
-    k = len(y) - len(y) // 5  # rows come in the order of a hash
-    model.weights, model.bias = ftrl(x[:k], y[:k], len(names))
+    place, met, rest = {k: i for i, k in enumerate(names)}, dict.fromkeys(names, 0), []
+    for k in langs:  # rows come in the order of a hash; the first of a language is always fitted
+        rest.append(met[k] % 5 == 4)
+        met[k] += 1
+    x, y, rest = SparseRows(rows, model.idf), np.array([place[k] for k in langs]), np.array(rest)
+    fitted, checked = np.flatnonzero(~rest), np.flatnonzero(rest)
+    # the few rows of a rare language are shown more often
+    fitted = np.repeat(fitted, np.maximum(1, LEAST_OF_LANG // np.bincount(y[fitted], minlength=len(names)))[y[fitted]])
+    model.weights, model.bias = ftrl(x.part(fitted), y[fitted], len(names))
     model.weights = model.weights.astype(np.float32)
-    model.temperature = fit_temperature(x[k:] @ model.weights + model.bias, y[k:])
+    logits = [x[checked[k : k + 64]] @ model.weights + model.bias for k in range(0, len(checked), 64)]
+    model.temperature = fit_temperature(np.vstack(logits), y[checked]) if logits else 1.0
     return model
 
 
@@ -141,16 +179,33 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATU
     counted = usable.select("text").mapInArrow(lambda it: _frequencies(it, features), "feature long, n long")
     for row in counted.groupBy("feature").agg(F.sum("n").alias("n")).collect():  # at most features + 1 rows
         df[row.feature] = row.n
-    # the sample is chosen by key alone; its texts are read in a second step
-    chosen = usable.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h").alias("last")).collect()[0]["last"]
-    if chosen is None:
+    last = _last_hashes(usable, sample_rows)
+    if not last:
         return None
-    sample = usable.filter(F.xxhash64("doc_id") <= chosen).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).select("text", "lang").limit(sample_rows)
-    rows = sample.mapInArrow(lambda it: _sparse(it, features), "lang string, at binary, n binary").collect()
-    counts = np.zeros((len(rows), features), dtype=np.float32)
-    for k, r in enumerate(rows):
-        counts[k, np.frombuffer(r["at"], "<u4")] = np.frombuffer(r["n"], "<u4")
-    return train(counts, [r["lang"] for r in rows], df[:-1], int(df[-1]))
+    # the sample is chosen by hash alone; its texts are read in a second step
+    ends = docs.sparkSession.createDataFrame(list(last.items()), "lang string, last long")
+    sample = usable.select("text", "lang", F.xxhash64("text").alias("h")).join(F.broadcast(ends), "lang").filter("h <= last").dropDuplicates(["lang", "h"])
+    got = sample.select("text", "lang", "h").mapInArrow(lambda it: _sparse(it, features), "lang string, h long, at binary, n binary").collect()
+    got.sort(key=lambda r: (r["h"], r["lang"]))
+    rows = [(np.frombuffer(r["at"], "<u4"), np.frombuffer(r["n"], "<u4")) for r in got]
+    return train(rows, [r["lang"] for r in got], df[:-1], int(df[-1]))
+
+
+def _last_hashes(usable: DataFrame, sample_rows: int) -> dict[str, int]:
+    """For each language, the largest hash of the texts that are its share of the sample."""
+    hashed = usable.select("lang", F.xxhash64("text").alias("h"))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).collect()
+    whole = max(1, sum(r.n for r in sizes))
+    share = {r.lang: max(LEAST_OF_LANG, round(sample_rows * r.n / whole)) for r in sizes}
+    # hashes are spread evenly: about twice a share, and some, are looked at
+    upto = {r.lang: (1 << 63) - 1 if r.n <= 2 * share[r.lang] + 100 else max(r.least, int((2 * share[r.lang] + 100) / r.n * 2.0**64) - (1 << 63)) for r in sizes}
+    if not upto:
+        return {}
+    ends = usable.sparkSession.createDataFrame(list(upto.items()), "lang string, upto long")
+    near: dict[str, list[int]] = {}
+    for r in hashed.join(F.broadcast(ends), "lang").filter("h <= upto").select("lang", "h").distinct().collect():
+        near.setdefault(r.lang, []).append(r.h)
+    return {k: sorted(hs)[: share[k]][-1] for k, hs in near.items()}
 
 
 def _sparse(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[pa.RecordBatch]:
@@ -161,14 +216,14 @@ def _sparse(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[pa.Rec
             here = np.flatnonzero(c)
             at.append(here.astype("<u4").tobytes())
             n.append(c[here].astype("<u4").tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["lang", "at", "n"])
+        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["lang", "h", "at", "n"])
 
 
 def predict(texts: list[str | None], model: Model | None, features: int = FEATURES) -> tuple[list[str], list[float]]:
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     known = [k for k, t in enumerate(texts) if t and LETTER.search(t)] if model else []
-    for first in range(0, len(known), 128):
-        some = known[first : first + 128]
+    for first in range(0, len(known), 64):
+        some = known[first : first + 64]
         p = model.probabilities(model.vectors(np.stack([ngram_counts(texts[k], features) for k in some]).astype(np.float32)))
         for k, best, score in zip(some, p.argmax(1).tolist(), p.max(1).tolist()):
             langs[k], scores[k] = model.langs[best], score

@@ -267,6 +267,17 @@ def test_language_odd_cases(spark, frame):
     assert {1, 2, 3} <= set(got) and all(r.score == 0 for r in got.values())
 
 
+def test_rare_languages_are_learned(spark):
+    rng = np.random.default_rng(3)
+    word = lambda letters: "".join(rng.choice(list(letters), 5))
+    text = lambda letters: " ".join(word(letters) for _ in range(30))
+    often = [(k, text("abcdefgh"), "en") for k in range(1500)] + [(k, "the same text each time", "fr") for k in range(1500, 3000)]
+    rare = [(3000 + k, text(letters), lang) for k, (letters, lang) in enumerate([("αβγδεζηθ", "el"), ("αβγδεζηθ", "el"), ("абвгдежз", "ru")])]
+    model = language.learn(docs_of(spark, often + rare), sample_rows=100)
+    assert model.langs == ["el", "en", "fr", "ru"]
+    assert language.predict([text("αβγδεζηθ"), text("abcdefgh"), "the same text", text("абвгдежз")], model)[0] == ["el", "en", "fr", "ru"]
+
+
 def test_calibration_lowers_the_loss():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 3, 900)
