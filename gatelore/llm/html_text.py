@@ -40,7 +40,25 @@ SIDE_WORDS = re.compile(
     r"popup|modal|newsletter|subscribe|share|social|related|comments?|reply|replies|respond|disqus|login|signup|search|toolbar|widget|copyright)(?:[^a-z]|$)"
 )
 MAIN_WORDS = re.compile(r"(?:^|[^a-z])(?:article|content|main|post|entry|story|body)(?:[^a-z]|$)")
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*(?:[\s/]+|=|[^\s/>=]+(?:\s*=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)?)*+(?:>|\Z)", re.S)
+#: Words that say what a block has ("has-sidebar", "page-with-header"), the header of an article, and names of regions whose articles are no main text.
+HAS_WORDS = re.compile(r"(?:^|[^a-z])(?:has|with|without|no)(?:[^a-z]|$)")
+OWN_HEADER = re.compile(r"(?:^|[^a-z])(?:article|entry|post|story)[-_]+header(?:[^a-z]|$)")
+CLOSED_WORDS = re.compile(r"(?:^|[^a-z])(?:comments?|reply|replies|respond|disqus|related|popup|modal|cookies?|consent)(?:[^a-z]|$)")
+#: An end tag may be left out; a new tag of the second set closes an open one of the first, up to a tag of the third.
+IMPLIED = {
+    "li": (("li",), ("ul", "ol", "menu", "dir")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "td": (("td", "th"), ("table", "tr")),
+    "th": (("td", "th"), ("table", "tr")),
+    "tr": (("tr",), ("table",)),
+}
+#: What an implied end never crosses, and block tags that leave an open p open.
+SCOPE = frozenset("article main section body html table".split())
+IN_P = frozenset("body head html title legend option select".split())
+#: Silent tags that a missing end tag does not carry over an article.
+BROKEN_BY_MAIN = frozenset("svg math object canvas select button".split())
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
@@ -132,13 +150,19 @@ def train_tree(table: str = LABELLED) -> Tree:
 
 
 def _region(name: str, tag: str, above: int) -> int:
-    if above < 0 or name in SIDE_TAGS:
+    """1 in an article, 0 nowhere, -1 in a side region that an article inside can end (a form, or by its name), -2 in one that it can't."""
+    if above == -2:
+        return above
+    named = " ".join(a.strip("\"'") for a in ATTRIBUTE.findall(tag)).lower().split() if "=" in tag else []
+    if name in SIDE_TAGS:
         # a header inside an article holds its title
-        return above if name == "header" and above > 0 else -1
-    named = " ".join(ATTRIBUTE.findall(tag)).lower() if "=" in tag else ""
-    if named and name not in ("body", "html") and SIDE_WORDS.search(named):
-        return -1
-    if name in MAIN_TAGS or (named and MAIN_WORDS.search(named)):
+        return above if name == "header" and above > 0 else min(above, -1) if name == "form" else -2
+    if name in ("body", "html"):
+        return above
+    side = [w for w in named if SIDE_WORDS.search(w) and not HAS_WORDS.search(w) and not OWN_HEADER.search(w)]
+    if side and name != "main":
+        return -2 if any(CLOSED_WORDS.search(w) for w in side) else -1
+    if name in MAIN_TAGS or any(MAIN_WORDS.search(w) and not SIDE_WORDS.search(w) or OWN_HEADER.search(w) for w in named):
         return 1
     return above
 
@@ -150,6 +174,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
     words = linked = in_link = 0
     open_tags: list[tuple[str, int]] = []
     region, silent, at = 0, "", 0
+    inside: list[str] = []  # blocks opened in a silent tag
 
     def text(part: str) -> None:
         nonlocal words, linked
@@ -163,10 +188,20 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
         nonlocal words, linked
         whole = " ".join("".join(held).split())
         if whole:
-            out.append((whole, words, linked / words if words else 0.0, region))
+            out.append((whole, words, linked / words if words else 0.0, max(region, -1)))
         held.clear()
         words = linked = 0
 
+    def shut(names: tuple[str, ...], stops: tuple[str, ...] = ()) -> None:
+        nonlocal region
+        for k in range(len(open_tags) - 1, -1, -1):
+            if open_tags[k][0] in names:
+                region = open_tags[k][1]
+                del open_tags[k:]
+                break
+            if open_tags[k][0] in stops or open_tags[k][0] in SCOPE:
+                break
+
     for m in TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -187,9 +222,24 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
             # a head without an end tag ends where the body begins
             if (ends and name == silent) or (silent == "head" and name == "body"):
                 silent = ""
-            continue
+                continue
+            if not ends and name in MAIN_TAGS and silent in BROKEN_BY_MAIN:
+                silent = ""
+            elif name not in BLOCK_TAGS or name in VOID_TAGS:
+                continue
+            elif not ends:
+                inside.append(name)
+                continue
+            elif name in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(name) :]
+                continue
+            elif any(name == k for k, _ in open_tags):
+                silent = ""  # its end tag is missing: it ends with the block around it
+            else:
+                continue
         if not ends and name in SILENT_TAGS and not tag.endswith("/>"):
             silent = name
+            inside.clear()
             continue
         if name == "br":
             held.append(" ")
@@ -201,6 +251,10 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
             if name in VOID_TAGS:
                 continue
             if not ends:
+                if name not in IN_P:
+                    shut(("p",))
+                if name in IMPLIED:
+                    shut(*IMPLIED[name])
                 above = region
                 region = _region(name, tag, above)
                 open_tags.append((name, above))

@@ -238,6 +238,29 @@ def test_html_text(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+HOLD = "<h1>Title of it</h1><p>This article has quite a few words in its only paragraph of text.</p>"
+TEXT = "Title of it\n\nThis article has quite a few words in its only paragraph of text."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><form id=aspnet><div class=ad>Buy one get one free today only.</div><article>{HOLD}</article></form></body>", TEXT),
+        (f"<div class='layout has-sidebar'><div id='page-with-header'><main>{HOLD}</main></div></div>", TEXT),
+        (f"<div class=sidebar><article>{HOLD}</article></div>", TEXT),
+        (f"<article><div class='entry-header'><h1>Title of it</h1></div>{HOLD[20:]}</article>", TEXT),
+        (f"<article><p class=notice>Notice<ul><li class=ad>Buy<li>First point of the list</ul>{HOLD}</article>", "First point of the list\n\n" + TEXT),
+        (f"<article><dl><dt class=ad>Buy<dd>What it is</dl><table><tr><td class=ad>Buy<td>Cell of it</table>{HOLD}</article>", "What it is\n\nCell of it\n\n" + TEXT),
+        (f"<article><p title=don't>Before it all.</p>{HOLD}</article>", "Before it all.\n\n" + TEXT),
+        (f"<article><div><button>Press</div>{HOLD}</article>", TEXT),
+        (f"<article><div><noscript><div>Hidden</div></noscript></div>{HOLD}</article>", TEXT),
+        (f"<div class=comments><article>A reader says a few words here.</article></div><article>{HOLD}</article><aside><article>More</article></aside>", TEXT),
+    ],
+)
+def test_html_text_keeps_whole_articles(page, want):
+    assert html_text.main_text(page, html_text.train_tree()) == want
+
+
 def test_html_text_of_given_pages(spark):
     import html
 
