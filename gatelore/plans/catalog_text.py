@@ -185,7 +185,7 @@ se(design_id, k, st) AS (SELECT design_id, 0::BIGINT, st FROM whole UNION ALL SE
  FROM se JOIN df ON df.design_id = se.design_id AND df.k = se.k + 1),
 fin AS (SELECT design_id, arg_max(st, k) AS st FROM se GROUP BY 1)
 SELECT design_id, gid, round(st[gid + 1], 6) AS p1 FROM fin JOIN gates USING (design_id)""")(lambda c: rounded(M.signal_probability(c.gates, c.pins, edges_of(c), staged(I.levels(c.gates, comb_of(c)))), "p1"))
-circuit_query("random_simulation")(lambda c: M.random_simulation(c.gates, c.pins, edges_of(c), staged(I.levels(c.gates, comb_of(c))), cycles=64))
+circuit_query("random_simulation")(lambda c: M.random_simulation(c.gates, c.pins, edges_of(c), staged(I.levels(c.gates, comb_of(c)))))
 
 STIMULUS_CYCLES = 4
 WAVE = f"""si AS (SELECT design_id, dst AS gid, list(src ORDER BY pin_pos) AS srcs FROM edges GROUP BY ALL),

@@ -303,3 +303,11 @@ def test_empty_tables(spark):
     assert none.gates.count() == 0 and none.edges.count() == 0
     assert features.raw_features(none.gates, none.pins, none.ports).count() == 0
     assert iterate.components(none.gates, none.comb).count() == 0
+
+
+def test_registered_simulation_runs_all_vectors(spark):
+    import __spark_entry__
+
+    got = __spark_entry__.queries()["random_simulation"](spark, "/root/testdata/sf0.001").collect()
+    # an input that is drawn at random is 1 in about half of the 1,000 vectors
+    assert max(r.total_1 for r in got) > 400
