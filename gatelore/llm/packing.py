@@ -31,28 +31,26 @@ from pyspark.sql import functions as F
 from gatelore.llm.common import stage
 from gatelore.llm.tokens import encoder, public_vocabulary
 
-END_ID = 0
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("ordinal", pa.int64())])
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, ordinal long"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], capacity: int, vocabulary: str) -> Iterator[pa.RecordBatch]:
-    encode, task = encoder(vocabulary).encode, TaskContext.get().partitionId()
+    enc, task = encoder(vocabulary), TaskContext.get().partitionId()
     seen = np.zeros(capacity + 1, dtype=np.int64)
-    end = END_ID.to_bytes(4, "little")
     for batch in batches:
-        for b in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-            rows = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
-                ids += end
-                n = len(ids) // 4
+        doc_ids = batch.column(0).to_pylist()
+        for row, ids, ends in enc.encode(batch.column(1)):
+            data, rows, at = memoryview(ids).cast("B"), [], 0
+            for doc_id, end in zip(doc_ids[row : row + len(ends)], ends.tolist()):
+                n = end - at
                 first = n % capacity or min(n, capacity)
                 cuts = [0, *range(first, n + 1, capacity)]
                 for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
-                    rows.append((doc_id, k, x, y - x, zlib.crc32(memoryview(ids)[4 * x : 4 * y]), task, int(seen[y - x])))
+                    rows.append((doc_id, k, x, y - x, zlib.crc32(data[4 * (at + x) : 4 * (at + y)]), task, int(seen[y - x])))
                     seen[y - x] += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES)
+                at = end
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES)
 
 
 def cut_documents(docs: DataFrame, capacity: int, vocabulary: str) -> DataFrame:

@@ -6,11 +6,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from gatelore.llm import decontaminate, exact_dedup, html_text, language, near_dedup, packing, pii, quality, substring_dedup, token_store
-from gatelore.llm.tokens import encoder, public_vocabulary
+from gatelore.llm import decontaminate, exact_dedup, html_text, language, near_dedup, packing, pii, quality, substring_dedup, token_store, tokens
+from gatelore.llm.tokens import Encoder, public_vocabulary
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -333,8 +335,21 @@ def test_quality_odd_cases(spark, frame, sample):
     assert len(got) == len(sample) and all(r.score == 0.5 and r.kept for r in got)
 
 
+PLAIN = Tokenizer.from_file(public_vocabulary())
+
+
 def ids_of(text):
-    return np.array([*encoder(public_vocabulary()).tokenizer.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+    return np.array([*PLAIN.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+
+
+def encoded(enc, texts):
+    """Each text's ids, the end id included, as the encoder gives them."""
+    out = []
+    for first, ids, ends in enc.encode(pa.array(texts, pa.string())):
+        assert first == len(out)
+        out += np.split(ids, ends)[:-1]
+    assert len(out) == len(texts)
+    return out
 
 
 def test_encoder_gives_the_tokenizers_ids():
@@ -343,18 +358,28 @@ def test_encoder_gives_the_tokenizers_ids():
     rng = random.Random(1)
     signs = ["a", "b", " ", " ", "\n", "\t", ".", ",", "é", "ß", "1", "\x1c", "\xa0", " ", "'s", "X", "🎈", "-", "́", "<|endoftext|>", "word", "Wörter"]
     texts = [None, "", " ", "  ", *("".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(4000))]
-    for t, got in zip(texts, encoder(public_vocabulary()).encode(texts)):
-        assert got == ids_of(t)[:-1].tobytes(), repr(t)
+    for t, got in zip(texts, encoded(Encoder(public_vocabulary()), texts)):
+        assert got.tobytes() == ids_of(t).tobytes(), repr(t)
 
 
-def test_added_tokens_are_those_of_the_file(spark):
-    from tokenizers import Tokenizer
+def test_encoder_in_small_tiles_and_with_little_memory(monkeypatch):
+    import random
 
-    plain = Tokenizer.from_file(public_vocabulary())
+    rng = random.Random(2)
+    words = ["The", "word", "Wörter", "là", "THE!!", "is.", "a,b", "x" * 30, "日本", "1.2.3"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "  "]) for _ in range(rng.randint(0, 80))) for _ in range(600)]
+    monkeypatch.setattr(tokens, "TILE", 64)
+    monkeypatch.setattr(tokens, "POOL_IDS", 40)
+    monkeypatch.setattr(tokens, "SLOT_BITS", 4)
+    for t, got in zip(texts, encoded(Encoder(public_vocabulary()), texts)):
+        assert got.tobytes() == ids_of(t).tobytes(), repr(t)
+
+
+def test_added_tokens_are_those_of_the_file(spark):
     texts = ["a <|endoftext|> b", "<|endoftext|>", "one two<|endoftext|>three four", "  x <|endoftext|><|endoftext|>\n", "<|endoftext| > no", "a b c"]
-    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    want = [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
     assert want[0] == [64, 220, 50256, 275]
-    assert [np.frombuffer(b, "<u4").tolist() for b in encoder(public_vocabulary()).encode(texts)] == want
+    assert [x[:-1].tolist() for x in encoded(Encoder(public_vocabulary()), texts)] == want
     docs = docs_of(spark, list(enumerate(texts)))
     crcs = [zlib.crc32(np.array([*w, 0], "<u4").tobytes()) for w in want]
     stored = {r.doc_id: (r.n_tokens, r.start, r.ids_crc32) for r in token_store.read_digests(token_store.write_store(docs)).collect()}
@@ -416,6 +441,25 @@ def test_keyed_access(spark, frame, sample):
     assert got == {i: ids_of(texts[i]).tolist() for i in (3, 10_007, 77)}
 
 
+def test_store_of_one_repeated_id(spark):
+    """Rows that share a doc_id, or have none, are spread over shards, and each has a key of its own."""
+    rows = [(7, f"text number {k}") for k in range(60)] + [(None, f"no id {k}") for k in range(60)] + [(9, "nine"), (7, "text number 3")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = token_store.write_store(docs_of(spark, rows), block_ids=20, bucket_keys=10)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert store.blocks.select("shard").distinct().count() == 4 and store.index.count() > 5
+    got = token_store.read_digests(store).collect()
+    want = collections.Counter((i, zlib.crc32(ids_of(t).tobytes())) for i, t in rows)
+    assert collections.Counter((r.doc_id, r.ids_crc32) for r in got) == want
+    order = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in order] == [0, *np.cumsum([r.n_tokens for r in order])[:-1]]
+    assert [r.doc_id for r in order] == [None] * 60 + [7] * 61 + [9]
+    found = token_store.lookup(store, spark.createDataFrame([(9,), (8,), (None,)], "doc_id long")).collect()
+    assert [(r.doc_id, r.ids) for r in found] == [(9, ids_of("nine").tolist())]
+
+
 def test_perfect_hash_is_minimal():
     keys = token_store.key_hashes(np.arange(5000), np.zeros(5000, np.int64))
     slots = token_store.PerfectHash.build(keys).slots(keys)

@@ -5,12 +5,14 @@ import re
 import zlib
 
 import numpy as np
+from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
 from gatelore.llm import language
-from gatelore.llm.tokens import encoder, public_vocabulary
+from gatelore.llm.tokens import public_vocabulary
 
+PLAIN = Tokenizer.from_file(public_vocabulary())
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 FOLDER = "/root/testdata/sf0.001"
 
@@ -65,7 +67,7 @@ def test_run(spark):
             left.discard(i)
     want = set()
     for i in left:
-        e = np.array([*encoder(public_vocabulary()).tokenizer.encode(rows[i].text, add_special_tokens=False).ids, 0], "<u4")
+        e = np.array([*PLAIN.encode(rows[i].text, add_special_tokens=False).ids, 0], "<u4")
         cuts = [0, *range(len(e) % 2048 or min(2048, len(e)), len(e) + 1, 2048)]
         want.update((i, k, x, y - x, zlib.crc32(e[x:y].tobytes())) for k, (x, y) in enumerate(zip(cuts, cuts[1:])))
     got = corpus_pipeline.run(spark, FOLDER).collect()
