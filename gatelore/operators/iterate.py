@@ -43,30 +43,47 @@ def levels(gates: DataFrame, comb: DataFrame) -> DataFrame:
 SIDE_BY_SIDE = 8
 
 
-def _relax(seeds: DataFrame, edges: DataFrame, longest: bool, hops: int | None = None) -> DataFrame:
-    """Distances over ``edges`` (design_id, way, src, dst) from ``seeds`` (design_id, gid, family, way, dist)."""
+def _together(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _relax(seeds: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
+    """Shortest distances over ``edges`` (design_id, way, src, dst) from ``seeds`` (design_id, gid, family, way, dist)."""
     on = ["design_id", "gid", "family", "way"]
     edges, frontier, done = staged(edges), staged(seeds), 0
     found = [frontier]
-
-    def known() -> DataFrame:
-        out = found[0]
-        for f in found[1:]:
-            out = out.unionByName(f)
-        return out.groupBy(on).agg((F.max("dist") if longest else F.min("dist")).alias("dist")) if longest and len(found) > 1 else out
-
     while not frontier.isEmpty() and (hops is None or done < hops):
         done += 1
         next_ = frontier.withColumnRenamed("gid", "src").join(edges, ["design_id", "way", "src"])
-        reached = next_.groupBy("design_id", F.col("dst").alias("gid"), "family", "way").agg((F.max("dist") if longest else F.min("dist")).alias("dist")).select(*on, (F.col("dist") + 1).alias("dist"))
-        if longest:
-            frontier = staged(reached.join(known().withColumnRenamed("dist", "before"), on, "left").filter("before IS NULL OR dist > before").drop("before"))
-        else:
-            frontier = staged(reached.join(known(), on, "left_anti"))
+        reached = next_.groupBy("design_id", F.col("dst").alias("gid"), "family", "way").agg(F.min("dist").alias("dist")).select(*on, (F.col("dist") + 1).alias("dist"))
+        frontier = staged(reached.join(_together(found), on, "left_anti"))
         found.append(frontier)
         if len(found) > SIDE_BY_SIDE:
-            found[:] = [staged(known())]
-    return known()
+            found[:] = [staged(_together(found))]
+    return _together(found)
+
+
+def _longest(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """Longest distances over ``edges`` (design_id, way, src, dst, src_rank, dst_rank), each gate passing its distances on once.
+
+    Ranks rise along every edge whose source passes on, so when a rank's turn comes all that can reach it has arrived.
+    What is pushed waits side by side by the rank it is for; a gate without rank receives and never sends.
+    """
+    on = ["design_id", "gid", "family", "way"]
+    edges = staged(edges)
+    ranks = edges.select("design_id", "way", F.col("src").alias("gid"), F.col("src_rank").alias("rank")).distinct()
+    waiting = [staged(seeds.join(ranks, ["design_id", "way", "gid"], "left").select(*on, "dist", "rank"))]
+    last = edges.agg(F.max("src_rank")).first()[0]
+    for rank in range(0, (-1 if last is None else last) + 1):
+        now = _together(waiting).filter(F.col("rank") == rank).groupBy(on).agg(F.max("dist").alias("dist"))
+        sent = now.withColumnRenamed("gid", "src").join(edges.filter(F.col("src_rank") == rank), ["design_id", "way", "src"])
+        waiting.append(staged(sent.groupBy("design_id", F.col("dst").alias("gid"), "family", "way", F.col("dst_rank").alias("rank")).agg((F.max("dist") + 1).alias("dist")).select(*on, "dist", "rank")))
+        if len(waiting) > SIDE_BY_SIDE:
+            waiting[:] = [staged(_together(waiting))]
+    return _together(waiting).groupBy(on).agg(F.max("dist").alias("dist"))
 
 
 #: For each family of seeds the way it is followed, its column name and the first distance of longest paths.
@@ -85,7 +102,7 @@ def shortest_distances(seeds: DataFrame, comb: DataFrame) -> DataFrame:
     """design_id, gid, family, dist: breadth-first, all families in one loop."""
     way = F.create_map(*[F.lit(x) for k, v in FAMILIES.items() for x in (k, v[0])])
     start = seeds.select("design_id", "gid", "family", way[F.col("family")].alias("way"), F.lit(0).cast("long").alias("dist"))
-    return _relax(start, _both_ways(comb), longest=False).select("design_id", "gid", "family", "dist")
+    return _relax(start, _both_ways(comb)).select("design_id", "gid", "family", "dist")
 
 
 def longest_distances(seeds: DataFrame, comb: DataFrame, order: DataFrame) -> DataFrame:
@@ -93,8 +110,14 @@ def longest_distances(seeds: DataFrame, comb: DataFrame, order: DataFrame) -> Da
     way = F.create_map(*[F.lit(x) for k, v in FAMILIES.items() for x in (k, v[0])])
     first = F.create_map(*[F.lit(x) for k, v in FAMILIES.items() for x in (k, v[2])])
     start = seeds.select("design_id", "gid", "family", way[F.col("family")].alias("way"), first[F.col("family")].cast("long").alias("dist"))
-    passing = order.filter("ordered").select("design_id", F.col("gid").alias("src"))
-    return _relax(start, _both_ways(comb).join(passing, ["design_id", "src"], "left_semi").select("design_id", "way", "src", "dst"), longest=True).select("design_id", "gid", "family", "dist")
+    passing = staged(order.filter("ordered").select(*KEY, "level"))
+    e = _both_ways(comb)
+    deepest = passing.agg(F.max("level")).first()[0] or 0
+    # along the edges ranks are levels, against them they are counted from the deepest level
+    rank = F.when(F.col("way") == "from", F.col("level")).otherwise(deepest - F.col("level"))
+    e = e.join(passing.toDF("design_id", "src", "level"), ["design_id", "src"]).withColumn("src_rank", rank).drop("level")
+    e = e.join(passing.toDF("design_id", "dst", "level"), ["design_id", "dst"], "left").withColumn("dst_rank", rank).drop("level")
+    return _longest(start, e.select("design_id", "way", "src", "dst", "src_rank", "dst_rank")).select("design_id", "gid", "family", "dist")
 
 
 def distance_columns(gates: DataFrame, shortest: DataFrame, longest: DataFrame) -> DataFrame:
@@ -125,7 +148,7 @@ def context(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """design_id, gid, hop: gates within ``hops`` undirected steps of the seeds."""
     both = edges.select("design_id", F.lit("any").alias("way"), "src", "dst").union(edges.select("design_id", F.lit("any"), "dst", "src")).distinct()
     start = seeds.select(*KEY, F.lit("seed").alias("family"), F.lit("any").alias("way"), F.lit(0).cast("long").alias("dist")).distinct()
-    return _relax(start, both, longest=False, hops=hops).select(*KEY, F.col("dist").alias("hop"))
+    return _relax(start, both, hops=hops).select(*KEY, F.col("dist").alias("hop"))
 
 
 def component_roots(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,45 +2,61 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatelore.operators.edges import KEY
 from gatelore.sources.staging import staged
 
-#: Replacement circuits, as gate type | steps "type out inputs". a and b are the gate's inputs, y its output.
-RULES = """
-nand | and t0 a b, not y t0
-nand | not t0 a, not t1 b, or y t0 t1
-nor | or t0 a b, not y t0
-nor | not t0 a, not t1 b, and y t0 t1
-xnor | xor t0 a b, not y t0
-xnor | and t0 a b, not t1 a, not t2 b, and t3 t1 t2, or y t0 t3
-xor | not t0 a, and t1 t0 b, not t2 b, and t3 a t2, or y t1 t3
-xor | nand t0 a b, nand t1 a t0, nand t2 b t0, nand y t1 t2
-and | nand t0 a b, not y t0
-and | not t0 a, not t1 b, nor y t0 t1
-or | nor t0 a b, not y t0
-or | not t0 a, not t1 b, nand y t0 t1
-not | nand y a a
-not | nor y a a
-buf | not t0 a, not y t0
-"""
-#: Gate types that are rewritten; single-input gates pass through.
-REWRITTEN = ["nand", "nor", "xnor", "xor", "and", "or"]
+#: Gate types that are rewritten, and what each computes; single-input gates pass through.
+TRUTH = {
+    "nand": lambda a, b: 1 - (a & b),
+    "nor": lambda a, b: 1 - (a | b),
+    "xnor": lambda a, b: 1 - (a ^ b),
+    "xor": lambda a, b: a ^ b,
+    "and": lambda a, b: a & b,
+    "or": lambda a, b: a | b,
+}
+REWRITTEN = list(TRUTH)
 TWO_PER_TYPE = 2
+#: Names in rules: the inputs and the output of the replaced gate; fresh nets are ``w`` and a number.
+FIRST, SECOND, RESULT = "in0", "in1", "out"
+
+
+def rule_rows(per_type: int = TWO_PER_TYPE) -> list[tuple[str, int, int, str, str, list[str]]]:
+    """Equivalent circuits of each gate type: gtype, rule_id, step, out_gtype, out_sym, in_syms.
+
+    Every circuit of one gate whose inputs and output may pass an inverter is tried on all four input pairs. Of those that
+    agree with the type and hold another gate, the ``per_type`` shortest are its rules (equally short ones in the order of
+    ``TRUTH``, then by which inputs are inverted).
+    """
+    pairs = list(itertools.product((0, 1), repeat=2))
+    rows = []
+    for gtype, wanted in TRUTH.items():
+        found = []
+        for place, (inner, value) in enumerate(TRUTH.items()):
+            for x, y, z in itertools.product((0, 1), repeat=3):
+                if inner != gtype and all(value(a ^ x, b ^ y) ^ z == wanted(a, b) for a, b in pairs):
+                    found.append((x + y + z, place, x, y, z, inner))
+        for rule, (_, _, x, y, z, inner) in enumerate(sorted(found)[:per_type]):
+            fresh = (f"w{k}" for k in itertools.count())
+            steps, ins = [], []
+            for inverted, name in ((x, FIRST), (y, SECOND)):
+                ins.append(next(fresh) if inverted else name)
+                if inverted:
+                    steps.append(("not", ins[-1], [name]))
+            steps.append((inner, next(fresh) if z else RESULT, ins))
+            if z:
+                steps.append(("not", RESULT, [steps[-1][1]]))
+            rows += [(gtype, rule, k, *step) for k, step in enumerate(steps)]
+    return rows
 
 
 def rewrite_rules(spark: SparkSession) -> DataFrame:
-    """gtype, rule_id (within the type), step, out_gtype, out_sym, in_syms."""
-    rows, count = [], {}
-    for line in RULES.strip().splitlines():
-        gtype, steps = (x.strip() for x in line.split("|"))
-        rule = count[gtype] = count.get(gtype, -1) + 1
-        for k, step in enumerate(steps.split(",")):
-            t, out, *ins = step.split()
-            rows.append((gtype, rule, k, t, out, ins))
-    return spark.createDataFrame(rows, "gtype string, rule_id int, step int, out_gtype string, out_sym string, in_syms array<string>")
+    """The rules as a table: at most ``TWO_PER_TYPE`` circuits for each of the six types."""
+    return spark.createDataFrame(rule_rows(), "gtype string, rule_id int, step int, out_gtype string, out_sym string, in_syms array<string>")
 
 
 def hashed_draw(seed: int, salt: str, *columns: str) -> Column:
@@ -70,14 +86,14 @@ def rewrite(gates: DataFrame, pins: DataFrame, rate: float = 0.2, variants: int
     fits = F.col("gtype").isin(REWRITTEN) & (F.coalesce(F.size("ins"), F.lit(0)) == 2)
     rows = rows.withColumn("rule_id", F.when(fits & (draw <= rate), choice))
     rules = rewrite_rules(spark)
-    sizes = rules.groupBy("gtype", "rule_id").agg(F.count("*").alias("steps"), F.count_if(F.col("out_sym") != "y").alias("nets"))
+    sizes = rules.groupBy("gtype", "rule_id").agg(F.count("*").alias("steps"), F.count_if(F.col("out_sym") != RESULT).alias("nets"))
     rows = rows.join(F.broadcast(sizes), ["gtype", "rule_id"], "left").na.fill(0, ["steps", "nets"])
     earlier = Window.partitionBy("design_id", "variant").orderBy("gid").rowsBetween(Window.unboundedPreceding, -1)
     free = next_free_ids(gates)
     rows = rows.join(free, "design_id").withColumns({"net0": F.col("next_net") + F.coalesce(F.sum("nets").over(earlier), F.lit(0)), "gate0": F.col("next_gate") + F.coalesce(F.sum("steps").over(earlier), F.lit(0))})
     kept = rows.filter("rule_id IS NULL").select("design_id", "variant", "gate_name", "gtype", "out_net", F.coalesce("ins", F.array().cast("array<string>")).alias("ins"), F.col("gate_name").alias("old_gate"))
     steps = rows.filter("rule_id IS NOT NULL").join(F.broadcast(rules), ["gtype", "rule_id"])
-    name = lambda s: F.when(s == "a", F.col("ins")[0]).when(s == "b", F.col("ins")[1]).when(s == "y", F.col("out_net")).otherwise(F.concat(F.lit("n"), F.col("net0") + F.substring(s, 2, 3).try_cast("long")))
+    name = lambda s: F.when(s == FIRST, F.col("ins")[0]).when(s == SECOND, F.col("ins")[1]).when(s == RESULT, F.col("out_net")).otherwise(F.concat(F.lit("n"), F.col("net0") + F.substring(s, 2, 3).try_cast("long")))
     made = steps.select("design_id", "variant", F.concat(F.lit("g"), F.col("gate0") + F.col("step")).alias("gate_name"), F.col("out_gtype").alias("gtype"), name(F.col("out_sym")).alias("out_net"), F.transform("in_syms", name).alias("ins"), F.col("gate_name").alias("old_gate"))
     out = kept.union(made)
     return out, out.select("design_id", "variant", "old_gate", F.col("gate_name").alias("new_gate"))
@@ -101,7 +117,7 @@ def gate_value(gtype: Column, a: Column, b: Column) -> Column:
 
 
 def check_rules(spark: SparkSession) -> DataFrame:
-    """gtype, rule_id, a, b, want, got of every rule over its whole truth table (15 rules, four rows each)."""
+    """gtype, rule_id, a, b, want, got of every rule over its whole truth table (twelve rules, four rows each)."""
     rules = rewrite_rules(spark).groupBy("gtype", "rule_id").agg(F.array_sort(F.collect_list(F.struct("step", "out_gtype", "out_sym", "in_syms"))).alias("steps"))
     table = spark.range(4).select((F.col("id") % 2).cast("int").alias("a"), F.floor(F.col("id") / 2).cast("int").alias("b"))
     rows = rules.crossJoin(table)
@@ -111,8 +127,8 @@ def check_rules(spark: SparkSession) -> DataFrame:
         value = gate_value(s["out_gtype"], F.element_at(values, i[0]), F.when(F.size(i) > 1, F.element_at(values, F.try_element_at(i, F.lit(2)))))
         return F.map_concat(values, F.map_from_arrays(F.array(s["out_sym"]), F.array(value)))
 
-    start = F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"))
-    got = F.aggregate("steps", start, step, lambda m: F.element_at(m, "y"))
+    start = F.create_map(F.lit(FIRST), F.col("a"), F.lit(SECOND), F.col("b"))
+    got = F.aggregate("steps", start, step, lambda m: F.element_at(m, RESULT))
     want = gate_value(F.col("gtype"), F.col("a"), F.col("b"))
     return rows.select("gtype", "rule_id", "a", "b", want.alias("want"), got.alias("got"))
 
@@ -130,16 +146,42 @@ def equivalence_words(gates: DataFrame, pins_of: DataFrame, keys: list[str], see
     word = F.when(F.col("net") == "1'b0", F.lit(0)).when(F.col("net") == "1'b1", F.lit(-1)).otherwise(F.xxhash64(F.lit(seed), design, "net")).cast("long")
     known = staged(nets.join(driven, [*keys, "net"], "left_anti").select(*keys, "net", word.alias("word")))
     pins_of, comb = staged(pins_of.select(*keys, "gate_name", "net")), staged(comb.select(*keys, "gate_name", "gtype", "out_net"))
-    frontier = known
+    # how many input nets each gate still waits for: every net reaches its gates once, in the round that settles it
+    waits = staged(pins_of.groupBy(*keys, "gate_name", "net").agg(F.count("*").alias("times")))
+    open_ = staged(waits.groupBy(*keys, "gate_name").agg(F.count("*").alias("open")))
+    frontier, rounds = known, [known]
+    seen: list[DataFrame] = []
     while not frontier.isEmpty():
-        touched = pins_of.join(frontier.select(*keys, "net"), [*keys, "net"], "left_semi").select(*keys, "gate_name").distinct()
-        ins = pins_of.join(touched, [*keys, "gate_name"], "left_semi").join(known, [*keys, "net"], "left")
-        ready = ins.groupBy(*keys, "gate_name").agg(F.count_if(F.col("word").isNull()).alias("open"), F.expr("bit_and(word)").alias("all_"), F.expr("bit_or(word)").alias("any_"), F.expr("bit_xor(word)").alias("odd_")).filter("open = 0")
+        # equal pins count as often as they are there, which matters for xor alone
+        fed = waits.join(frontier, [*keys, "net"]).groupBy(*keys, "gate_name").agg(
+            F.count("*").alias("fed"), F.expr("bit_and(word)").alias("all_"), F.expr("bit_or(word)").alias("any_"), F.expr("bit_xor(CASE WHEN times % 2 = 1 THEN word ELSE 0L END)").alias("odd_")
+        )
+        seen.append(staged(fed))
+        parts = seen[0]
+        for p in seen[1:]:
+            parts = parts.union(p)
+        touched = seen[-1].select(*keys, "gate_name")
+        sums = parts.join(touched, [*keys, "gate_name"], "left_semi").groupBy(*keys, "gate_name").agg(
+            F.sum("fed").alias("fed"), F.expr("bit_and(all_)").alias("all_"), F.expr("bit_or(any_)").alias("any_"), F.expr("bit_xor(odd_)").alias("odd_")
+        )
+        ready = sums.join(open_, [*keys, "gate_name"]).filter("fed = open")
         value = F.expr("CASE WHEN gtype IN ('and', 'buf') THEN all_ WHEN gtype IN ('nand', 'not') THEN ~all_ WHEN gtype = 'or' THEN any_ WHEN gtype = 'nor' THEN ~any_ WHEN gtype = 'xor' THEN odd_ ELSE ~odd_ END")
         new = comb.join(ready, [*keys, "gate_name"]).select(*keys, F.col("out_net").alias("net"), value.alias("word"))
-        frontier = staged(new.join(known, [*keys, "net"], "left_anti"))
-        known = staged(known.union(frontier))
-    return known
+        # of several drivers of one net the first round counts
+        frontier = staged(new.groupBy(*keys, "net").agg(F.min("word").alias("word")).join(_together(rounds), [*keys, "net"], "left_anti"))
+        rounds.append(frontier)
+        if len(seen) > 6:
+            seen[:] = [staged(parts)]
+        if len(rounds) > 12:
+            rounds[:] = [staged(_together(rounds))]
+    return _together(rounds)
+
+
+def _together(rounds: list[DataFrame]) -> DataFrame:
+    out = rounds[0]
+    for r in rounds[1:]:
+        out = out.union(r)
+    return out
 
 
 def equivalent_outputs(before: DataFrame, after: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -97,7 +97,9 @@ def label_files(c: Circuit) -> DataFrame:
 circuit_query("label_text", LABEL_TEXT + " SELECT design_id, body FROM lab")(label_files)
 circuit_query("read_design_labels", "SELECT design_id, max(y) = 1 AS is_trojaned FROM gates GROUP BY 1")(lambda c: Y.design_labels(label_files(c).withColumnRenamed("body", "content")))
 circuit_query("read_gate_labels", "SELECT design_id, gate_name FROM gates WHERE y = 1")(lambda c: Y.gate_labels(label_files(c).withColumnRenamed("body", "content")))
-circuit_query("label_names_missing", "SELECT design_id, gate_name FROM gates WHERE false")(lambda c: R.missing_names(Y.gate_labels(label_files(c).withColumnRenamed("body", "content")), c.gates))
+circuit_query("label_names_missing", "SELECT design_id, 'x' || gate_name AS gate_name FROM gates WHERE y = 1 AND gid % 5 = 0")(
+    lambda c: R.missing_names(Y.gate_labels(label_files(c).withColumnRenamed("body", "content")).join(c.gates.select("design_id", "gate_name", "gid"), ["design_id", "gate_name"]).select("design_id", F.when(F.col("gid") % 5 == 0, F.concat(F.lit("x"), "gate_name")).otherwise(F.col("gate_name")).alias("gate_name")), c.gates)
+)
 
 STEMS = "stem AS (SELECT DISTINCT design_id, CASE design_id % 3 WHEN 0 THEN 'design' || design_id WHEN 1 THEN 'd' || design_id || '_netlist' ELSE 'x' || design_id END AS stem FROM gates)"
 FILES = STEMS + """, file AS (SELECT CASE design_id % 3 WHEN 0 THEN 'result' || design_id WHEN 1 THEN 'd' || design_id || '_results' ELSE 'y' || design_id END || '.txt' AS file_name FROM stem UNION SELECT stem || '.txt' FROM stem WHERE design_id % 2 = 0)"""
@@ -221,22 +223,16 @@ def event_switching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- rewriting ------------------------------------------------------------------------------------------------------------
 
-RULE_VALUES = ", ".join(
-    f"('{g}', {r}, {k}, '{t}', '{o}', {ins!r})"
-    for g, r, k, t, o, ins in [
-        (g, sum(x.split("|")[0].strip() == g for x in R.RULES.strip().splitlines()[:n]), k, *(lambda w: (w[0], w[1], w[2:]))(step.split()))
-        for n, line in enumerate(R.RULES.strip().splitlines()) for g in [line.split("|")[0].strip()] for k, step in enumerate(line.split("|")[1].split(","))
-    ]
-)
-REWRITE = f"""rule(gtype, rule_id, step, out_gtype, out_sym, in_syms) AS (VALUES {RULE_VALUES}), rs AS (SELECT gtype, rule_id, count(*) AS steps, count(*) FILTER (out_sym <> 'y') AS nets FROM rule GROUP BY ALL),
+RULE_VALUES = ", ".join(f"('{g}', {r}, {k}, '{t}', '{o}', {ins!r})" for g, r, k, t, o, ins in R.rule_rows())
+REWRITE = f"""rule(gtype, rule_id, step, out_gtype, out_sym, in_syms) AS (VALUES {RULE_VALUES}), rs AS (SELECT gtype, rule_id, count(*) AS steps, count(*) FILTER (out_sym <> '{R.RESULT}') AS nets FROM rule GROUP BY ALL),
 gin AS (SELECT design_id, gid, list(net ORDER BY pin_pos) AS ins FROM pins GROUP BY ALL),
 r0 AS (SELECT g.*, ins, v AS variant, CASE WHEN gtype IN ('nand','nor','xnor','xor','and','or') AND len(ins) = 2 AND (gid * 7919 + v * 104729 + design_id * 31) % 1000 / 1000.0 <= 0.3 THEN (gid + v) % 2 END AS rule_id
  FROM gates g LEFT JOIN gin USING (design_id, gid), (VALUES (0), (1)) t(v)),
 r1 AS (SELECT r0.*, coalesce(steps, 0) AS steps, coalesce(nets, 0) AS nets, max(gid) OVER (PARTITION BY design_id) + 1 AS free FROM r0 LEFT JOIN rs USING (gtype, rule_id)),
 r2 AS (SELECT *, free + coalesce(sum(nets) OVER w, 0) AS net0, free + coalesce(sum(steps) OVER w, 0) AS gate0 FROM r1 WINDOW w AS (PARTITION BY design_id, variant ORDER BY gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 rw AS MATERIALIZED (SELECT design_id, variant, gate_name, gtype, out_net, coalesce(array_to_string(ins, ','), '') AS ins, gate_name AS old_gate FROM r2 WHERE rule_id IS NULL UNION ALL
-SELECT design_id, variant, 'g' || (gate0 + step)::BIGINT, out_gtype, CASE WHEN out_sym = 'y' THEN out_net ELSE 'n' || (net0 + out_sym[2:]::INT)::BIGINT END,
-array_to_string(list_transform(in_syms, lambda s: CASE s WHEN 'a' THEN r2.ins[1] WHEN 'b' THEN r2.ins[2] WHEN 'y' THEN out_net ELSE 'n' || (net0 + coalesce(try_cast(s[2:] AS INT), 0))::BIGINT END), ','), gate_name FROM r2 JOIN rule USING (gtype, rule_id))"""
+SELECT design_id, variant, 'g' || (gate0 + step)::BIGINT, out_gtype, CASE WHEN out_sym = '{R.RESULT}' THEN out_net ELSE 'n' || (net0 + out_sym[2:]::INT)::BIGINT END,
+array_to_string(list_transform(in_syms, lambda s: CASE s WHEN '{R.FIRST}' THEN r2.ins[1] WHEN '{R.SECOND}' THEN r2.ins[2] WHEN '{R.RESULT}' THEN out_net ELSE 'n' || (net0 + coalesce(try_cast(s[2:] AS INT), 0))::BIGINT END), ','), gate_name FROM r2 JOIN rule USING (gtype, rule_id))"""
 
 
 def rewritten(c: Circuit) -> tuple[DataFrame, DataFrame]:
@@ -259,6 +255,38 @@ def rewrite_equivalence(c: Circuit) -> DataFrame:
     return R.equivalent_outputs(before, after, c.ports.filter("direction = 'out'").select("design_id", "net").distinct())
 
 
+circuit_query("rewrite_rules_used", REWRITE + f""", tb AS (SELECT gtype, rule_id, 4 AS rows, 0 AS wrong FROM rule GROUP BY 1, 2)
+SELECT gtype, rule_id::BIGINT AS rule_id, count(*) AS gates, any_value(rows)::BIGINT AS rows, any_value(wrong)::BIGINT AS wrong FROM r0 JOIN tb USING (gtype, rule_id) GROUP BY 1, 2""")(lambda c: rules_used(c))
+
+
+def rules_used(c: Circuit) -> DataFrame:
+    """How often each rule replaces a gate, and in how many rows of its truth table it is wrong."""
+    checked = R.check_rules(c.gates.sparkSession).groupBy("gtype", "rule_id").agg(F.count("*").alias("rows"), F.count_if(F.col("want") != F.col("got")).alias("wrong"))
+    new, mapping = rewritten(c)
+    replaced = mapping.groupBy("design_id", "variant", "old_gate").agg(F.count("*").alias("made"), F.first("new_gate").alias("new")).filter("made > 1 OR new <> old_gate")
+    rule = F.expr("cast((gid + variant) % 2 AS int)").alias("rule_id")
+    used = replaced.join(c.gates.select("design_id", F.col("gate_name").alias("old_gate"), "gtype", "gid"), ["design_id", "old_gate"]).select("gtype", rule)
+    return longs(used.groupBy("gtype", "rule_id").agg(F.count("*").alias("gates")).join(F.broadcast(checked), ["gtype", "rule_id"]), "rule_id")
+
+
+#: The types whose outputs are each other's inverse.
+INVERSE = {"and": "nand", "nand": "and", "or": "nor", "nor": "or", "xor": "xnor", "xnor": "xor", "not": "buf", "buf": "not"}
+
+
+@circuit_query("inequivalent_outputs", """SELECT design_id, 0::BIGINT AS variant, count(*) AS nets, count(*) FILTER (gtype <> 'dff' AND EXISTS (SELECT 1 FROM pins p WHERE p.design_id = g.design_id AND p.gid = g.gid)
+AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.design_id = g.design_id AND e.src = g.gid)) AS differing FROM gates g WHERE is_po GROUP BY 1""")
+def inequivalent_outputs(c: Circuit) -> DataFrame:
+    """The check must fail where it should: gates that only drive an output are inverted, and each such output differs."""
+    named = c.pins.join(c.gates.select("design_id", "gid", "gate_name"), ["design_id", "gid"]).select("design_id", "gate_name", "net")
+    flip = F.create_map(*[F.lit(x) for pair in INVERSE.items() for x in pair])
+    last = E.sink_flags(c.gates, edges_of(c)).filter("is_sink_gate = 1").select("design_id", "gid", F.lit(True).alias("last"))
+    gates = c.gates.join(last, ["design_id", "gid"], "left").withColumn("gtype", F.when(F.col("last") & F.col("is_po") & (F.col("gtype") != "dff"), flip[F.col("gtype")]).otherwise(F.col("gtype")))
+    before = R.equivalence_words(c.gates, named, ["design_id"])
+    zero = F.lit(0).cast("long").alias("variant")
+    after = R.equivalence_words(staged(gates.select("design_id", zero, "gate_name", "gtype", "out_net")), named.select("design_id", zero, "gate_name", "net"), ["design_id", "variant"])
+    return R.equivalent_outputs(before, after, c.ports.filter("direction = 'out'").select("design_id", "net").distinct())
+
+
 # --- corpus ---------------------------------------------------------------------------------------------------------------
 
 PROVENANCE = """st AS (SELECT DISTINCT design_id, CASE design_id % 4 WHEN 0 THEN 'top1_trojan' || (design_id % 5) || '_' || design_id || '_netlist' WHEN 1 THEN 'trojan' || (design_id % 5) || '_' || design_id || '_g_netlist'
@@ -301,11 +329,11 @@ circuit_query("solved_by_content", TEXT + """, lib AS (SELECT content, bool_or(y
 circuit_query("class_balance", "SELECT count(*) AS gates, sum(y)::BIGINT AS positives, round(avg(y), 6) AS rate, CASE WHEN avg(y) < 0.2 THEN 0.8 ELSE 0.5 END::DOUBLE AS alpha FROM gates")(lambda c: rounded(L.class_balance(c.gates), "rate"))
 circuit_query("focal_loss", "SELECT round(avg(0.8 * pow(1 - pt, 2) * -ln(pt)), 6) AS focal_loss FROM (SELECT greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, 1e-12) AS pt FROM gates)")(lambda c: rounded(L.focal_loss(c.gates, 0.8, 2.0), "focal_loss"))
 
-EPOCHS = "log AS (SELECT 'run' || (design_id % 5) AS run, gid AS epoch, round(avg(p), 4) AS f1, round(avg(abs(p - y)), 4) AS loss FROM gates WHERE gid < 30 GROUP BY ALL)"
+EPOCHS = "log AS (SELECT 'run' || (design_id % 5) AS run, gid AS epoch, floor(avg(p) * 10000 + 1e-6) / 10000 AS f1, floor(avg(abs(p - y)) * 10000 + 1e-6) / 10000 AS loss FROM gates GROUP BY ALL)"
 
 
 def epoch_log(c: Circuit) -> DataFrame:
-    return c.gates.filter("gid < 30").groupBy(F.concat(F.lit("run"), F.col("design_id") % 5).alias("run"), F.col("gid").alias("epoch")).agg(F.round(F.avg("p"), 4).alias("f1"), F.round(F.avg(F.abs(F.col("p") - F.col("y"))), 4).alias("loss"))
+    return c.gates.groupBy(F.concat(F.lit("run"), F.col("design_id") % 5).alias("run"), F.col("gid").alias("epoch")).agg(*[(F.floor(F.avg(x) * 10000 + 1e-6) / 10000).alias(n) for n, x in (("f1", F.col("p")), ("loss", F.abs(F.col("p") - F.col("y"))))])
 
 
 circuit_query("best_epochs", EPOCHS + " SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY run ORDER BY f1 DESC, loss, epoch) = 1")(lambda c: L.best_epochs(epoch_log(c)))

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder beside the warehouse where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a folder in the warehouse, if the session runs on one machine."""
     set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not set_ and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (set_ or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_rounds").rstrip("/")
 
 
