@@ -1,30 +1,38 @@
-"""Repeated substrings: every string of ``THRESHOLD`` bytes that starts at two places, by a depth-limited radix sort.
+"""Repeated substrings: every string of ``threshold`` tokens that starts at two places, by a depth-limited radix sort.
 
-The suffixes of all texts are ordered only through their first ``THRESHOLD`` bytes, most significant digit first; groups
-that are still equal then are exactly the repeated windows. Digits are long, and compared by 64-bit content hashes:
+Tokens are bytes (400 of them) or words (51 of them). The suffixes of all texts are ordered only through their first
+``threshold`` tokens, most significant digit first; groups that are still equal then are exactly the repeated windows. A
+digit is a long string, so that few passes reach the depth, and suffixes that start side by side go through the passes as
+one row:
 
-1. Each window of 400 bytes is led by one of its 200-byte strings, the one of the least hash (of equal ones the last). The
-   leader is the first digit. It is the same for equal windows, and neighbouring windows mostly share theirs, so one row
-   stands for a run of windows. Leaders that occur once leave the sort: most of the corpus does.
-2. Rows whose whole run of windows is equal form a group at full depth at once; all their windows are repeated. Each group
-   goes on as one row.
-3. The others are ordered by blocks of 16 window places: the string that all windows of a block share is the next digit. A
-   block whose string occurs once leaves the sort; a block that is repeated as a whole is done.
-4. In what is left, single windows are compared: the last digit.
+1. The first digit of a suffix is the string of ``leader`` tokens, among those in its window, of the least hash (of equal
+   ones the last). It is the same for equal windows, and neighbouring windows mostly share theirs, so one row stands for a
+   run of windows. Groups of one leave the sort here: most of the corpus does.
+2. Rows whose whole run of windows is equal form a group at full depth at once: all their windows are repeated.
+3. The others are dealt by blocks of window places, the next digit being the string that all windows of a block share.
+   Groups of one leave; blocks that are repeated as a whole are done.
+4. In what is left single windows are compared: the last digit.
+
+Strings are compared by two independent 64-bit hashes of their tokens within the group of their first digit.
+
+A pass over the literal first bytes of every suffix would shuffle a row for each byte of text, eight times the text at least;
+choosing the digit by content is what makes a row stand for some forty suffixes.
 
 Scale: rows are counted by hash with partial aggregation, so neither thousands of copies nor periodic texts (whose leaders
-repeat without end) gather in one task. A bitmap of fixed size, sent to the scan, keeps unique leaders and untouched texts
-from being shuffled; which it lets through by chance is removed by an exact join. Texts are known by a 128-bit digest, so
-copies share one answer. Stages are written to the shared folder, so a lost executor repeats single tasks.
+repeat without end) gather in one task. A bitmap, sized by the number of repeated leaders up to a bound, is sent to the
+scan and keeps unique leaders from being shuffled; what it lets through by chance forms groups of one. Texts are known by a
+128-bit digest, so copies share one answer. Stages are written to the shared folder, so a lost executor repeats single tasks.
 
 Defined results: null text is empty; texts shorter than the threshold lose nothing; repeated rows are copies of one another
-and are removed whole (where long enough); a match never crosses documents; extra columns are ignored.
+and are removed whole (where long enough); a match never crosses documents; extra columns are ignored. Passages of words
+count only where they occur under two doc_ids (rows without one are told apart by their text).
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +41,30 @@ from pyspark.sql import functions as F
 
 from gatelore.llm.common import batches_of, discard, sliced, stage
 
-THRESHOLD = 400
-LEADER = 200
-BLOCK = 16
-#: Windows handled at once: bounds memory on very long texts.
-TILE = 1 << 19
+
+class Unit(NamedTuple):
+    """What is compared: kind of token, tokens of a window, of a leader, window places of a block, and whether repeats inside a document count."""
+
+    kind: str
+    threshold: int
+    leader: int
+    block: int
+    within: bool
+
+
+BYTES = Unit("bytes", 400, 200, 16, True)
+WORDS = Unit("words", 51, 26, 8, False)
+#: Tokens handled at once (they and their sums stay in a processor's cache); texts beyond it are read in overlapping parts.
+TILE = 1 << 16
+#: Tokens whose sums are held at once when members of a long text are compared.
+STRETCH = 1 << 20
 PLACE = np.uint64((1 << 20) - 1)
-BITMAP_BITS = 1 << 24
-#: An odd base and its inverse modulo 2**64, and a random number for each byte.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-BYTES = np.random.default_rng(20240301).integers(0, 1 << 63, 256, dtype=np.uint64)
+#: Bits of a filter for each key, and of any filter at most (16 MB).
+BITS_A_KEY, MOST_BITS = 16, 27
+#: Odd bases of two hashes and their inverses modulo 2**64, and random numbers for each byte.
+BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
+INVERSES = [pow(b, -1, 1 << 64) for b in BASES]
+TABLES = np.random.default_rng(20240301).integers(0, 1 << 63, (2, 256), dtype=np.uint64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -59,165 +80,267 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class Prefixes:
-    """Hashes of any substrings of one text."""
+class Sums:
+    """Hashes of any stretches of a row of tokens, by one of the two bases."""
 
-    def __init__(self, text: np.ndarray):
-        self.sums = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum(BYTES[text] * _powers(BASE, len(text))[: len(text)], out=self.sums[1:])
-        self.inverse = _powers(INVERSE, len(text))
+    def __init__(self, tokens: np.ndarray, which: int = 0):
+        n = len(tokens)
+        values = TABLES[which][tokens] if tokens.dtype == np.uint8 else tokens if which == 0 else _mix(tokens ^ TABLES[1, 0])
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * _powers(BASES[which], n)[:n], out=self.sums[1:])
+        self.inverse = _powers(INVERSES[which], n)
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
+    def every(self, size: int) -> np.ndarray:
+        """The hash of each stretch of ``size`` tokens."""
+        return _mix((self.sums[size:] - self.sums[:-size]) * self.inverse[: len(self.sums) - size])
+
 
 def _combine(*parts) -> np.ndarray:
     h = np.full(1, 17, np.uint64)
     for p in parts:
-        h = _mix(h * np.uint64(BASE) + np.atleast_1d(p).astype(np.uint64))
+        h = _mix(h * np.uint64(BASES[0]) + np.atleast_1d(p).astype(np.uint64))
     return h
 
 
-def leaders(text: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of windows by their leader: leader hash, run hash, place of the leader, its largest and smallest distance behind a window's start."""
-    n = len(text)
-    span = THRESHOLD - LEADER + 1
-    for t in range(0, n - THRESHOLD + 1, TILE):
-        part = text[t : t + TILE + THRESHOLD - 1]
-        p = Prefixes(part)
-        at = np.arange(len(part) - LEADER + 1)
-        h = p.hash(at, at + LEADER)
-        least, w = (h & ~PLACE) | (PLACE - at.astype(np.uint64)), 1
-        while 2 * w <= span:
-            least, w = np.minimum(least[:-w], least[w:]), 2 * w
-        windows = len(part) - THRESHOLD + 1
-        least = np.minimum(least[:windows], least[span - w : span - w + windows])
-        lead = (PLACE - (least & PLACE)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]]))
-        last = np.concatenate([first[1:], [windows]]) - 1
-        a = lead[first]
-        run = _combine(h[a], a - first, a - last, p.hash(first, last + THRESHOLD))
-        yield h[a].view(np.int64), run.view(np.int64), a + t, a - first, a - last
-
-
-RUNS = "dk string, lead long, run long, at long, far int, near int"
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in sliced(batches):
-        for dk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if text is not None and len(text) >= THRESHOLD:
-                for lead, run, at, far, near in leaders(np.frombuffer(text, np.uint8)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([dk] * len(lead), pa.string()), pa.array(lead), pa.array(run), pa.array(at), pa.array(far, pa.int32()), pa.array(near, pa.int32())],
-                        names=["dk", "lead", "run", "at", "far", "near"],
-                    )
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Small batches joined to larger ones."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, n = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
-def bitmap_of(keys: DataFrame, name: str) -> DataFrame:
-    """A bitmap of fixed size over hashed keys (column ``name``): rows of 4 KB."""
-    place = F.pmod(F.xxhash64(name), F.lit(BITMAP_BITS))
-    return keys.select(place.alias("_p")).groupBy(F.expr("bitmap_bucket_number(_p)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_p))").alias("_bits"))
+def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie side by side in ``data``, and where each text's words begin and end among them."""
+    hashes, counts, k = [], np.zeros(len(bounds) - 1, np.int64), 0
+    while k < len(counts):
+        last = max(k + 1, int(np.searchsorted(bounds, bounds[k] + TILE, "right")) - 1)
+        at, end = int(bounds[k]), int(bounds[last])
+        while at < end:
+            stop = end
+            if stop - at > 8 * TILE:  # a long text is cut at white space, if it has any
+                gaps = np.flatnonzero(data[at + TILE : at + 8 * TILE] == 32)
+                stop = at + TILE + int(gaps[-1]) if len(gaps) else end
+            part = data[at:stop]
+            ink = np.concatenate([[False], (part != 32) & ((part < 9) | (part > 13)), [False]])
+            begins, ends = ink[1:-1] & ~ink[:-2], ink[1:-1] & ~ink[2:]
+            cuts = bounds[(bounds > at) & (bounds < stop)] - at if last > k + 1 else np.zeros(0, np.int64)
+            begins[cuts] = ink[1:-1][cuts]
+            ends[cuts - 1] = ink[1:-1][cuts - 1]
+            a, z = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+            hashes.append(Sums(part).of(a, z))
+            of = np.searchsorted(bounds[k : last + 1], a + at, "right") - 1 + k
+            counts += np.bincount(of, minlength=len(counts))
+            at = stop
+        k = last
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _tokens(texts: pa.Array, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a column of texts (bytes), side by side, and the bounds of each text in them."""
+    texts = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], "<i8", len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    return (data, bounds) if unit.kind == "bytes" else _words(data, bounds)
+
+
+def leaders(tokens: np.ndarray, bounds: np.ndarray, unit: Unit, keys: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of windows by their leader: text, leader hash, place of the leader, its largest and smallest distance behind a window's start, and the run's two hashes."""
+    size, span = unit.threshold, unit.threshold - unit.leader + 1
+    k = 0
+    while k + 1 < len(bounds):
+        last = max(k + 1, int(np.searchsorted(bounds, bounds[k] + TILE, "right")) - 1)
+        for start in range(int(bounds[k]), max(int(bounds[last]) - size + 1, int(bounds[k]) + 1), TILE):
+            end = min(int(bounds[last]), start + TILE + size - 1)
+            n = end - start
+            if n < size:
+                continue
+            part = tokens[start:end]
+            sums = Sums(part)
+            h = sums.every(unit.leader)
+            least, w = (h & ~PLACE) | (PLACE - np.arange(len(h), dtype=np.uint64)), 1
+            while 2 * w <= span:
+                least, w = np.minimum(least[:-w], least[w:]), 2 * w
+            windows = n - size + 1
+            least = np.minimum(least[:windows], least[span - w : span - w + windows])
+            lead = (PLACE - (least & PLACE)).astype(np.int64)
+            # windows that cross the end of a text are none
+            ok = np.ones(windows + 1, bool)
+            for cut in (bounds[k + 1 : last] - start).tolist():
+                ok[max(cut - size + 1, 0) : min(cut, windows)] = False
+            ok[windows] = False
+            fresh = ok[:-1].copy()
+            fresh[1:] &= ~ok[:-2] | (lead[1:] != lead[:-1])
+            stops = ok[:-1] & ~ok[1:]
+            stops[:-1] |= ok[:-2] & ok[1:-1] & (lead[1:] != lead[:-1])
+            first, final = np.flatnonzero(fresh), np.flatnonzero(stops)
+            if not len(first):
+                continue
+            a = lead[first]
+            text = np.searchsorted(bounds[k : last + 1], first + start, "right") - 1 + k
+            run = [_combine(h[a], a - first, a - final, s.of(first, final + size)).view(np.int64) for s in ([sums, Sums(part, 1)] if keys else [])]
+            yield text, h[a].view(np.int64), a + start - bounds[text], a - first, a - final, *run
+        k = last
+
+
+def _batch(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names.split())
+
+
+def _leads(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
+    for b in sliced(batches, 2048):
+        who = b.column("who").to_numpy(zero_copy_only=False)
+        found = [(lead, who[text]) for text, lead, *_ in leaders(*_tokens(b.column("text"), unit), unit, keys=False)]
+        if found:
+            yield _batch("lead who", *(np.concatenate(c) for c in zip(*found)))
+
+
+RUNS = "dk binary, who long, lead long, run1 long, run2 long, at long, far long, near long"
+
+
+def _runs(batches: Iterator[pa.RecordBatch], unit: Unit, bitmap) -> Iterator[pa.RecordBatch]:
+    bits = bitmap.value
+    mask = np.int64(8 * len(bits) - 1)
+    for b in sliced(batches, 2048):
+        who = b.column("who").to_numpy(zero_copy_only=False)
+        found = []
+        for text, lead, at, far, near, run1, run2 in leaders(*_tokens(b.column("text"), unit), unit):
+            place = lead & mask
+            keep = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            found.append(tuple(c[keep] for c in (text, lead, run1, run2, at, far, near)))
+        if found:
+            text, *rest = (np.concatenate(c) for c in zip(*found))
+            yield _batch("dk who lead run1 run2 at far near", b.column("dk").take(pa.array(text)), who[text], *rest)
+
+
+def bitmap_bits(keys: int) -> int:
+    """The power of two of a filter's size for so many keys; beyond the bound it lets more through, and results stay the same."""
+    return min(MOST_BITS, max(15, (BITS_A_KEY * max(keys, 1) - 1).bit_length()))
+
+
+def bitmap_of(keys: DataFrame, place, bits: int) -> DataFrame:
+    """Rows of 4 KB that are a bitmap over the places (0 to 2**bits - 1) of the keys."""
+    placed = keys.select((place + 1).alias("_p"))
+    return placed.groupBy(F.expr("bitmap_bucket_number(_p)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_p))").alias("_bits"))
+
+
+def collected_bitmap(keys: DataFrame, name: str, bits: int) -> np.ndarray:
+    """The bitmap of a column of hashes by their low bits, as bytes on the driver: at most 2**MOST_BITS bits."""
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for row in bitmap_of(keys, F.col(name).bitwiseAND((1 << bits) - 1), bits).collect():
+        out[4096 * (row["_bucket"] - 1) : 4096 * row["_bucket"]] = np.frombuffer(row["_bits"], np.uint8)
+    return out
+
+
+def marked(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``_in``: false where ``name`` is surely not among the keys (a staged table)."""
+    bits = bitmap_bits(keys.count())
+    place = F.pmod(F.xxhash64(name), F.lit(1 << bits))
+    placed = rows.withColumn("_p", place + 1).withColumns({"_bucket": F.expr("bitmap_bucket_number(_p)"), "_at": F.expr("bitmap_bit_position(_p)")})
+    bit = F.expr("(cast(conv(hex(substring(_bits, cast(_at div 8 AS int) + 1, 1)), 16, 10) AS int) & shiftleft(1, cast(_at % 8 AS int))) <> 0")
+    return placed.join(F.broadcast(bitmap_of(keys, place, bits)), "_bucket", "left").withColumn("_in", F.coalesce(bit, F.lit(False))).drop("_p", "_bucket", "_at", "_bits")
 
 
-def marked(rows: DataFrame, bitmap: DataFrame, name: str) -> DataFrame:
-    """``rows`` with ``_in``: false where the key is surely not in the bitmap."""
-    placed = rows.withColumn("_p", F.pmod(F.xxhash64(name), F.lit(BITMAP_BITS))).withColumns({"_bucket": F.expr("bitmap_bucket_number(_p)"), "_at": F.expr("bitmap_bit_position(_p)")})
-    bit = F.expr("(cast(conv(hex(substring(_bits, cast(_at div 8 AS int) + 1, 1)), 16, 10) AS int) & shiftleft(1, cast(_at % 8 AS int))) <> 0")
-    return placed.join(F.broadcast(bitmap), "_bucket", "left").withColumn("_in", F.coalesce(bit, F.lit(False))).drop("_p", "_bucket", "_at", "_bits")
+#: A row of the sort behind the first digit: its text, leader, place and window distances; how many equal rows it stands for, under which ids, and whether its windows are known to be repeated.
+MEMBER = ["lead", "at", "far", "near", "n", "low", "high", "done"]
 
 
-MEMBER = "array<struct<lead:long,at:long,far:int,near:int,n:long>>"
+def _stretches(batches: Iterator[pa.RecordBatch], unit: Unit, columns: list[str]) -> Iterator[tuple]:
+    """Members of each text in stretches of it: the text's digest, the members' columns, two sums and the leaders' places in them."""
+    for b in sliced(batches):
+        for k in range(b.num_rows):
+            tokens, _ = _tokens(b.column("text")[k : k + 1] if isinstance(b.column("text"), pa.ChunkedArray) else b.column("text").slice(k, 1), unit)
+            members = b.column("members").slice(k, 1).flatten()
+            rows = {c: members.field(c).to_numpy(zero_copy_only=False) for c in columns}
+            of = rows["at"] // STRETCH
+            for s in np.unique(of).tolist():
+                some = {c: v[of == s] for c, v in rows.items()}
+                first = max(0, s * STRETCH - unit.threshold)
+                part = tokens[first : (s + 1) * STRETCH + unit.leader + unit.threshold]
+                yield b.column("dk")[k].as_py(), some, Sums(part), Sums(part, 1), some["at"] - first
 
 
-def _local(text: np.ndarray, at: int) -> tuple[Prefixes, int]:
-    """Hashes around a leader, and where the leader is in them."""
-    first = max(0, at - THRESHOLD)
-    return Prefixes(text[first : at + LEADER + THRESHOLD]), at - first
+def _many(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges low..high: which range, and each number in it."""
+    n = high - low + 1
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n - low, n)
 
 
-BLOCK_ROWS = pa.schema([("dk", pa.string()), ("lead", pa.int64()), ("at", pa.int64()), ("far", pa.int32()), ("near", pa.int32()), ("n", pa.int64()), ("block", pa.int32()), ("part", pa.int64()), ("whole", pa.int64())])
+BLOCKS = "dk binary, lead long, at long, far long, near long, n long, low long, high long, done boolean, block long, part1 long, part2 long, whole1 long, whole2 long, full boolean"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """For each block of window places of each row: the hash of what its windows share, and of all they cover (null where the block is cut)."""
-    for b in sliced(batches):
-        for dk, text, members in zip(*(b.column(c).to_pylist() for c in ("dk", "text", "members"))):
-            data = np.frombuffer(text, np.uint8)
-            for m in members:
-                p, a = _local(data, m["at"])
-                block = np.arange(m["near"] // BLOCK, m["far"] // BLOCK + 1)
-                low, high = block * BLOCK, block * BLOCK + BLOCK - 1
-                part = _combine(np.int64(m["lead"]).view(np.uint64), block, 1, p.hash(a - low, np.maximum(a + LEADER, a - high + THRESHOLD)))
-                full = (low >= m["near"]) & (high <= m["far"])
-                whole = _combine(np.int64(m["lead"]).view(np.uint64), block, 2, p.hash(np.where(full, a - high, a), np.where(full, a - low + THRESHOLD, a)))
-                for k, x, y, f in zip(block.tolist(), part.view(np.int64).tolist(), whole.view(np.int64).tolist(), full.tolist()):
-                    yield dk, m["lead"], m["at"], m["far"], m["near"], m["n"], k, x, y if f else None
+def _blocks(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
+    """For each block of window places of each member: hashes of what its windows share, and of all they cover (where the block is ``full``)."""
+    size = unit.block
+    for dk, rows, one, two, a in _stretches(batches, unit, MEMBER):
+        of, block = _many(rows["near"] // size, rows["far"] // size)
+        a, lead = a[of], rows["lead"][of].view(np.uint64)
+        low, high = block * size, block * size + size - 1
+        full = (low >= rows["near"][of]) & (high <= rows["far"][of])
+        share = a - low, np.maximum(a + unit.leader, a - high + unit.threshold)
+        cover = np.where(full, a - high, a), np.where(full, a - low + unit.threshold, a)
+        keys = [_combine(lead, block, kind, s.of(*ends)).view(np.int64) for kind, ends in ((1, share), (2, cover)) for s in (one, two)]
+        yield _batch("dk " + " ".join(MEMBER) + " block part1 part2 whole1 whole2 full", pa.array([dk] * len(of), pa.binary()), *(rows[c][of] for c in MEMBER), block, *keys, full)
 
 
-WINDOW_ROWS = pa.schema([("dk", pa.string()), ("s", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
+WINDOWS = "dk binary, s long, n long, low long, high long, done boolean, key1 long, key2 long"
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in sliced(batches):
-        for dk, text, members in zip(*(b.column(c).to_pylist() for c in ("dk", "text", "members"))):
-            data = np.frombuffer(text, np.uint8)
-            for m in members:
-                p, a = _local(data, m["at"])
-                d = np.arange(max(m["near"], m["block"] * BLOCK), min(m["far"], m["block"] * BLOCK + BLOCK - 1) + 1)
-                key = _combine(np.int64(m["lead"]).view(np.uint64), d, 3, p.hash(a - d, a - d + THRESHOLD))
-                for s, k in zip((m["at"] - d).tolist(), key.view(np.int64).tolist()):
-                    yield dk, s, m["n"], k
+def _windows(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
+    for dk, rows, one, two, a in _stretches(batches, unit, [*MEMBER, "block"]):
+        of, d = _many(np.maximum(rows["near"], rows["block"] * unit.block), np.minimum(rows["far"], rows["block"] * unit.block + unit.block - 1))
+        lead, start = rows["lead"][of].view(np.uint64), a[of] - d
+        keys = [_combine(lead, d, 3, s.of(start, start + unit.threshold)).view(np.int64) for s in (one, two)]
+        yield _batch("dk s n low high done key1 key2", pa.array([dk] * len(of), pa.binary()), rows["at"][of] - d, *(rows[c][of] for c in ("n", "low", "high", "done")), *keys)
 
 
 def _with_texts(texts: DataFrame, members: DataFrame) -> DataFrame:
     """One row per text that has members, beside the list of them (bounded by the text's length)."""
-    bitmap = bitmap_of(members.select("dk"), "dk")
-    near = marked(texts, bitmap, "dk").filter("_in").drop("_in").dropDuplicates(["dk"])
-    lists = members.groupBy("dk").agg(F.collect_list(F.struct(*[c for c in members.columns if c != "dk"])).alias("members"))
+    lists = stage(members.groupBy("dk").agg(F.collect_list(F.struct(*[c for c in members.columns if c != "dk"])).alias("members")), "member-lists")
+    near = marked(texts.select("dk", "text"), lists.select("dk"), "dk").filter("_in").drop("_in").dropDuplicates(["dk"])
     return near.join(lists, "dk")
 
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
-    """dk, s, e: byte intervals of repeated windows in the texts (columns dk, text as bytes; rows of one dk are copies)."""
-    runs = texts.mapInArrow(lambda it: _gathered(_runs(it)), RUNS)
-    repeated = stage(runs.groupBy("lead").agg(F.count("*").alias("c")).filter("c > 1").select("lead"), "leaders")
-    first = stage(marked(runs, bitmap_of(repeated, "lead"), "lead").filter("_in").drop("_in").join(repeated, "lead"), "runs")
-    groups = stage(first.groupBy("lead", "run").agg(F.count("*").alias("n"), F.min(F.struct("dk", "at", "far", "near")).alias("one")).select("lead", "run", "n", "one.*"), "groups")
-    equal = stage(groups.filter("n > 1").select("lead", "run"), "equal")
-    done = first.join(equal, ["lead", "run"]).select("dk", (F.col("at") - F.col("far")).alias("s"), (F.col("at") - F.col("near") + THRESHOLD).alias("e")).distinct()
-
-    open_ = stage(groups.groupBy("lead").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1").select("lead"), "open")
-    members = stage(groups.join(open_, "lead").select("dk", "lead", "at", "far", "near", "n"), "members")
-    blocks = stage(_with_texts(texts, members).mapInArrow(lambda it: batches_of(_blocks(it), BLOCK_ROWS), "dk string, lead long, at long, far int, near int, n long, block int, part long, whole long"), "blocks")
-    whole = stage(blocks.filter("whole IS NOT NULL").groupBy("whole").agg(F.sum("n").alias("k")).filter("k > 1").select("whole", F.lit(True).alias("solved")), "whole")
-    judged = blocks.join(whole, "whole", "left").withColumn("solved", F.coalesce("solved", F.lit(False)))
-    judged = stage(judged, "judged")
-    by_block = judged.filter("solved AND n = 1").select("dk", (F.col("at") - F.col("block") * BLOCK - BLOCK + 1).alias("s"), (F.col("at") - F.col("block") * BLOCK + THRESHOLD).alias("e"))
-    part = stage(judged.groupBy("part").agg(F.sum("n").alias("k"), F.max(F.expr("n = 1 AND NOT solved")).alias("unsolved")).filter("k > 1 AND unsolved").select("part"), "part")
-    last = stage(judged.join(part, "part").select("dk", "lead", "at", "far", "near", "n", "block"), "last")
-    windows = stage(_with_texts(texts, last).mapInArrow(lambda it: batches_of(_windows(it), WINDOW_ROWS), "dk string, s long, n long, key long"), "windows")
-    again = stage(windows.groupBy("key").agg(F.sum("n").alias("k")).filter("k > 1").select("key"), "again")
-    by_window = windows.filter("n = 1").join(again, "key").select("dk", "s", (F.col("s") + THRESHOLD).alias("e"))
+def repeated_spans(texts: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    """dk, s, e: token intervals of repeated windows in the texts (columns dk, who, text as bytes; rows of one dk are copies)."""
+    spark = texts.sparkSession
+    size, block = unit.threshold, unit.block
+    twice = "n > 1" if unit.within else "low < high"
+    # what a group of rows stands for: how many, and the least and the greatest id
+    totals = [F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")]
+    single = [F.count("*").alias("n"), F.min("who").alias("low"), F.max("who").alias("high")]
+
+    repeated = stage(texts.mapInArrow(lambda it: _leads(it, unit), "lead long, who long").groupBy("lead").agg(*single).filter(twice).select("lead"), "leaders")
+    bitmap = spark.sparkContext.broadcast(collected_bitmap(repeated, "lead", bitmap_bits(repeated.count())))
+    first = stage(texts.mapInArrow(lambda it: _runs(it, unit, bitmap), RUNS), "runs")
+    run = ["lead", "run1", "run2"]
+    groups = stage(first.groupBy(run).agg(*single, F.min(F.struct("dk", "at", "far", "near")).alias("one")).withColumn("done", F.expr(twice)), "groups")
+    equal = stage(groups.filter("done").select(run), "equal")
+    done = first.join(equal, run).select("dk", (F.col("at") - F.col("far")).alias("s"), (F.col("at") - F.col("near") + size).alias("e")).distinct()
+
+    # leaders with rows that are not settled yet, and something to compare them with
+    open_ = stage(groups.groupBy("lead").agg(F.sum("n").alias("rows"), F.min("done").alias("all_")).filter("rows > 1 AND NOT all_").select("lead"), "open")
+    ones = groups.join(open_, "lead")
+    settled = ones.filter("done").select("one.dk", "lead", "one.at", "one.far", "one.near", "n", "low", "high", "done")
+    alone = ones.filter("NOT done AND n = 1").select("one.dk", "lead", "one.at", "one.far", "one.near", "n", "low", "high", "done")
+    # equal rows that don't count as repeated (inside one document) go on one by one
+    some = stage(ones.filter("NOT done AND n > 1").select(run), "some")
+    own = first.join(some, run).select("dk", "lead", "at", "far", "near", F.lit(1).cast("long").alias("n"), F.col("who").alias("low"), F.col("who").alias("high"), F.lit(False).alias("done"))
+    members = stage(settled.union(alone).union(own).distinct(), "members")
+    blocks = stage(_with_texts(texts, members).mapInArrow(lambda it: _blocks(it, unit), BLOCKS), "blocks")
+    whole_key, part_key, window_key = ["lead", "block", "whole1", "whole2"], ["lead", "block", "part1", "part2"], ["key1", "key2"]
+    whole = stage(blocks.filter("full").groupBy(whole_key).agg(*totals).filter(twice).select(*whole_key, F.lit(True).alias("full"), F.lit(True).alias("solved")), "whole")
+    judged = stage(blocks.join(whole, [*whole_key, "full"], "left").withColumn("solved", F.coalesce("solved", F.lit(False))), "judged")
+    from_ = F.col("at") - F.col("block") * block
+    by_block = judged.filter("solved AND NOT done").select("dk", (from_ - block + 1).alias("s"), (from_ + size).alias("e"))
+    part = stage(judged.groupBy(part_key).agg(*totals, F.max(F.expr("NOT done AND NOT solved")).alias("unsolved")).filter(f"{twice} AND unsolved").select(part_key), "part")
+    last = stage(judged.join(part, part_key).select("dk", *MEMBER, "block"), "last")
+    windows = stage(_with_texts(texts, last).mapInArrow(lambda it: _windows(it, unit), WINDOWS), "windows")
+    again = stage(windows.groupBy(window_key).agg(*totals).filter(twice).select(window_key), "again")
+    by_window = windows.filter("NOT done").join(again, window_key).select("dk", "s", (F.col("s") + size).alias("e"))
     spans = stage(done.union(by_block).union(by_window), "spans")
-    discard(repeated, first, groups, equal, open_, members, blocks, whole, judged, part, last, windows, again)
+    discard(repeated, first, groups, equal, open_, some, members, blocks, whole, judged, part, last, windows, again)
     return spans
 
 
-REMOVED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+REMOVED = pa.schema([("dk", pa.binary()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,23 +354,38 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in sliced(batches):
-        for doc_id, text, starts, ends in zip(*(c.to_pylist() for c in b.columns)):
-            s, e = merged(np.array(starts), np.array(ends))
+        for k, (dk, doc_id, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("dk", "doc_id", "text")))):
+            s, e = merged(*(b.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in ("starts", "ends")))
             cuts, at = [], 0
             for x, y in zip(s.tolist(), e.tolist()):
                 cuts.append(text[at:x])
                 at = y
             cuts.append(text[at:])
-            yield doc_id, len(text), int((e - s).sum()), len(s), hashlib.sha256(b"".join(cuts)).hexdigest()
+            yield dk, doc_id, len(text), int((e - s).sum()), len(s), hashlib.sha256(b"".join(cuts)).hexdigest()
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        runs = [merged(*(b.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in ("starts", "ends"))) for k in range(b.num_rows)]
+        yield _batch("dk n_passage_words n_passages", b.column("dk"), np.array([int((e - s).sum()) for s, e in runs], np.int64), np.array([len(s) for s, _ in runs], np.int64))
+
+
+def _lists(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("dk").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("dk", F.md5("text"))
-    spans = repeated_spans(rows.select("dk", "text"))
-    lists = stage(spans.groupBy("dk").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends")), "lists")
-    split = marked(rows, bitmap_of(lists.select("dk"), "dk"), "dk")
-    untouched = F.col("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")
+def remove_repeats(docs: DataFrame, unit: Unit = BYTES, passages: Unit = WORDS) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the words and number of its passages that other documents hold."""
+    long = lambda n: F.lit(n).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("dk", F.unhex(F.md5("text")))
+    texts = rows.select("dk", F.coalesce("doc_id", F.xxhash64("dk")).alias("who"), "text")
+    shared = stage(_lists(repeated_spans(texts, passages)).mapInArrow(_passages, "dk binary, n_passage_words long, n_passages long"), "passages")
+    lists = stage(_lists(repeated_spans(texts, unit)), "lists")
+    split = marked(rows, lists, "dk")
+    untouched = "dk", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), long(0).alias("n_removed"), long(0).alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")
     cut = split.filter("_in").join(lists, "dk", "left")
-    changed = cut.filter("starts IS NOT NULL").select("doc_id", "text", "starts", "ends").mapInArrow(lambda it: batches_of(_removed(it), REMOVED), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return changed.union(split.filter("NOT _in").select(*untouched)).union(cut.filter("starts IS NULL").select(*untouched))
+    changed = cut.filter("starts IS NOT NULL").select("dk", "doc_id", "text", "starts", "ends").mapInArrow(
+        lambda it: batches_of(_removed(it), REMOVED), "dk binary, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    )
+    out = changed.union(split.filter("NOT _in").select(*untouched)).union(cut.filter("starts IS NULL").select(*untouched))
+    return out.join(shared, "dk", "left").na.fill(0, ["n_passage_words", "n_passages"]).drop("dk")

