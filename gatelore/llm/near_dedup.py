@@ -1,26 +1,29 @@
 """Near duplicates: an inverted join of MinHash signature coordinates, confirmed on full shingle sets.
 
-1. Each document becomes the set of its 64-bit hashed word shingles and a signature of ``COORDINATES`` values, each of
-   three minima. Documents with equal sets form one class, which its smallest doc_id stands for from here on.
-2. Representatives are posted under each (coordinate, value); lists of one are dropped. Each list is merged around its most
-   central member (the one whose lists are longest in all): collisions with it are counted per pair, sizes that rule out
-   the threshold are skipped, and the pairs that remain are confirmed on full sets, read again from the texts.
-3. Lists whose members are all in one component need no more. In other short lists every pair across components is
-   confirmed. Long lists are skipped as lists; their members are joined exactly instead, by the prefixes of their sets
-   in order of rarity: sets that reach the threshold must share a shingle within those prefixes.
-4. Components of the confirmed links are found by alternating stars.
-
-Two documents are missed only if all coordinates differ: at a similarity of exactly 0.75 each agrees with probability
-0.42, so that is one in 4e7 pairs, and fewer the more alike they are. Whatever shares a coordinate is decided exactly.
+1. Each document becomes the set of its 64-bit hashed word shingles and a signature of ``COORDINATES`` minima. Documents
+   with equal sets form one class, which its smallest doc_id stands for from here on.
+2. Representatives are posted under each (coordinate, value). Two signatures that agree in ``MATCHES`` coordinates share a
+   posting among the ``PREFIX_KEYS`` rarest of each (rarity is one order for all): only those are merged, and the long lists are
+   skipped. Lists of one are dropped.
+3. Each list is merged around its most central member (the one whose lists are longest in all). For each pair so met that
+   sizes don't rule out, collisions are counted over all coordinates, from sixteen bits of each, and pairs with ``MATCHES``
+   or more go on to be confirmed on full sets, read again from the texts.
+4. Lists whose members are all in one component need no more. In other short lists every pair across components is counted
+   and confirmed. The members of long ones are joined exactly instead, by the prefixes of their sets in order of rarity:
+   sets that reach the threshold must share a shingle within those prefixes.
+5. Components of the confirmed links are found by alternating stars.
+
+At a similarity of exactly 0.75 fewer than 20 of 48 coordinates agree with probability 2e-7, and more rarely the more alike
+two documents are; only such pairs can be missed. Whatever reaches the count is decided exactly.
 
 Scale: hot groups do not make pairs. Copies collapse before anything is joined; a list of m near copies costs m pairs with
 its centre; joins on hot keys have a staged small side, so that adaptive execution can split them. Only texts of documents
-in some pair are shuffled: a bitmap of fixed size, sent to the scan, keeps most others back. Intermediate tables are
-written to the shared folder, so lost executors repeat single steps.
+in some pair are shuffled: a bitmap sent to the scan keeps most others back. Intermediate tables are written to the shared
+folder, so lost executors repeat single steps.
 
 Defined results: null text and texts without words have n_shingles 0 and link with nothing; fewer words than a shingle
 make one shingle of all; rows with a null doc_id link with nothing and have a null component; rows that repeat a doc_id
-count as one document; extra columns are ignored.
+count as one document, which links where any of its texts does; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,17 +39,20 @@ from pyspark.sql import functions as F
 
 from gatelore.llm.common import LOWER_BYTES, batches_of, discard, sliced, stage
 from gatelore.llm.components import connected_components
+from gatelore.llm.substring_dedup import marked
 
 WORDS = 5
 NUM, DEN = 75, 100
-COORDINATES, MINIMA = 32, 3
+COORDINATES, MATCHES = 48, 20
+PREFIX_KEYS = COORDINATES - MATCHES + 1
+#: Lists up to this size are compared pair by pair, longer ones by prefixes of sets; both ways are exact.
 SHORT_LIST = 12
 CACHED_WORDS = 200_000
 #: Odd multipliers of the hashes.
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
-FACTORS = _rng.integers(0, 1 << 63, COORDINATES * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADDENDS = _rng.integers(0, 1 << 63, COORDINATES * MINIMA, dtype=np.uint64)
+FACTORS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ADDENDS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
 class _Words(dict):
@@ -76,40 +82,50 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """The posting keys of a set: one for each coordinate, made of the coordinate's number and its minima."""
-    least = np.full(COORDINATES * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    """The posting keys of a set: one for each coordinate, made of the coordinate's number and its least value."""
+    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for first in range(0, len(s), 512):
         np.minimum(least, (FACTORS[:, None] * s[None, first : first + 512] + ADDENDS[:, None]).min(axis=1), out=least)
-    least = (least >> np.uint64(16)).reshape(COORDINATES, MINIMA)
-    key = np.arange(1, COORDINATES + 1, dtype=np.uint64) * MULTIPLY
-    for i in range(MINIMA):
-        key = (key ^ (key >> np.uint64(31))) * MULTIPLY + least[:, i]
-    return ((key ^ (key >> np.uint64(32))) * MULTIPLY).view(np.int64)
+    key = (least ^ (least >> np.uint64(31))) * MULTIPLY + np.arange(1, COORDINATES + 1, dtype=np.uint64)
+    key = (key ^ (key >> np.uint64(30))) * MULTIPLY
+    return (key ^ (key >> np.uint64(32))).view(np.int64)
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("keys", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in sliced(batches):
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             s = shingles(text)
-            yield (doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s)) if len(s) else (doc_id, 0, None, None)
+            if len(s):
+                keys = signature(s)
+                yield doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys, (keys & 0xFFFF).astype("<u2").tobytes()
+            else:
+                yield doc_id, 0, None, None, None
+
+
+#: Shingles of sets that a worker keeps while it compares.
+HELD_SHINGLES = 1 << 20
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    held: dict[int, np.ndarray] = {}
+    held: dict[tuple[int, int], np.ndarray] = {}
+    size = 0
 
-    def of(doc_id: int, text: str | None) -> np.ndarray:
-        if doc_id not in held:
-            if len(held) >= 512:
+    def of(key: tuple[int, int], text: str | None) -> np.ndarray:
+        nonlocal size
+        if key not in held:
+            if size >= HELD_SHINGLES:
                 held.clear()
-            held[doc_id] = shingles(text)
-        return held[doc_id]
+                size = 0
+            held[key] = shingles(text)
+            size += len(held[key])
+        return held[key]
 
     for b in sliced(batches):
-        for a, b_, ta, tb in zip(*(c.to_pylist() for c in b.columns)):
-            x, y = of(a, ta), of(b_, tb)
+        for a, b_, ha, hb, ta, tb in zip(*(c.to_pylist() for c in b.columns)):
+            x, y = of((a, ha), ta), of((b_, hb), tb)
             if len(x) and len(y):
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
@@ -117,30 +133,36 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                     yield a, b_
 
 
-#: Bits of the bitmap that keeps texts of other documents back; its size is fixed, whatever the corpus.
-BITMAP_BITS = 1 << 24
-
-
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, text of the documents in ``wanted`` (column doc_id, distinct)."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
-    bitmap = wanted.select(place.alias("_p")).groupBy(F.expr("bitmap_bucket_number(_p)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_p))").alias("_bits"))
-    rows = docs.select("doc_id", "text").withColumn("_p", place)
-    rows = rows.withColumns({"_bucket": F.expr("bitmap_bucket_number(_p)"), "_at": F.expr("bitmap_bit_position(_p)")})
-    near = rows.join(F.broadcast(bitmap), "_bucket").filter("(cast(conv(hex(substring(_bits, cast(_at div 8 AS int) + 1, 1)), 16, 10) AS int) & shiftleft(1, cast(_at % 8 AS int))) <> 0")
-    return near.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    """doc_id, text, h (a hash of the text) of the documents in ``wanted`` (staged, column doc_id, distinct): one row for each text of a doc_id."""
+    near = marked(docs.select("doc_id", "text"), wanted, "doc_id").filter("_in").drop("_in")
+    return near.withColumn("h", F.xxhash64("text")).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "h"])
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     wanted = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
     # a table of its own, so that adaptive execution may split the joins on a central document
-    t = stage(texts_of(docs, wanted).dropDuplicates(["doc_id"]), "texts")
-    one = t.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    two = t.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    t = stage(texts_of(docs, wanted), "texts")
+    one = t.select(F.col("doc_id").alias("a"), F.col("h").alias("ha"), F.col("text").alias("ta"))
+    two = t.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"), F.col("text").alias("tb"))
+    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "hb", "ta", "tb")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    return rows.mapInArrow(lambda it: batches_of(_confirm(it), schema), "a long, b long")
+    return rows.mapInArrow(lambda it: batches_of(_confirm(it), schema), "a long, b long").distinct()
+
+
+def _matching(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures agree in at least so many coordinates."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, COORDINATES) for c in ("xa", "xb"))
+        keep = pa.array(np.flatnonzero((x == y).sum(axis=1) >= least))
+        yield pa.RecordBatch.from_arrays([b.column("a").take(keep), b.column("b").take(keep)], names=["a", "b"])
+
+
+def matching(signatures: DataFrame, pairs: DataFrame, least: int = MATCHES) -> DataFrame:
+    """The pairs (a, b) with at least so many collisions; ``signatures``: rep, sig (sixteen bits of each coordinate)."""
+    one, two = (signatures.select(F.col("rep").alias(k), F.col("sig").alias(f"x{k}")) for k in ("a", "b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(lambda it: _matching(it, least), "a long, b long").distinct()
 
 
 def _ratio(n: str, m: str) -> str:
@@ -176,8 +198,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.RecordBa
 def _pairs_of_long_lists(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs across components, of the documents in ``members`` (rep, comp), that can reach the threshold: exact prefix join."""
     spark = docs.sparkSession
-    wanted = members.select(F.col("rep").alias("doc_id"))
-    texts = texts_of(docs, wanted).dropDuplicates(["doc_id"]).join(members.select(F.col("rep").alias("doc_id"), "comp"), "doc_id")
+    wanted = stage(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    texts = texts_of(docs, wanted).join(members.select(F.col("rep").alias("doc_id"), "comp"), "doc_id")
     counts = np.zeros(BUCKETS, np.int64)
     for row in texts.select("text").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
         counts[row.bucket] = row.n
@@ -197,42 +219,52 @@ def _pairs_of_long_lists(docs: DataFrame, members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stage(docs.mapInArrow(lambda it: batches_of(_sign(it), SIGNED, 2048), "doc_id long, n long, set_key binary, keys array<long>"), "signatures")
+    signed = stage(docs.mapInArrow(lambda it: batches_of(_sign(it), SIGNED, 2048), "doc_id long, n long, set_key binary, keys array<long>, sig binary"), "signatures")
     known = signed.filter("n > 0 AND doc_id IS NOT NULL")
     classes = stage(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = known.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["doc_id", "set_key"], "left_semi")
-    posted = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), "n")
-    lists = stage(posted.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "lists")
-    shared = stage(posted.join(lists, "key"), "postings")
-    discard(lists)
+    reps = stage(known.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]).select(F.col("doc_id").alias("rep"), "n", "keys", "sig"), "reps")
+    signatures = reps.select("rep", "sig")
+    sizes = stage(reps.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    # postings that no other document has come first in the order and make no pairs; of the others the rarest fill up the prefix
+    posted = reps.select("rep", "n", "sig", F.explode("keys").alias("key")).join(sizes, "key")
+    ranked = posted.groupBy("rep", "sig", "n").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("lists"))
+    prefix = ranked.select("rep", "n", F.explode(F.expr(f"slice(lists, 1, greatest(0, {PREFIX_KEYS} - ({COORDINATES} - size(lists))))")).alias("p")).select("p.key", "rep", "n", "p.size")
+    shared = stage(prefix, "postings")
+    discard(sizes)
 
     central = stage(shared.groupBy("rep").agg(F.sum("size").alias("weight")), "central")
     pivots = stage(shared.join(central, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), F.col("n").alias("pn"))).alias("p")).select("key", (-F.col("p.minus")).alias("pivot"), "p.pn"), "pivots")
-    collisions = shared.join(pivots, "key").filter("rep <> pivot AND " + _ratio("n", "pn"))
-    star = stage(collisions.groupBy(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).agg(F.count("*").alias("matches")), "star")
-    links = stage(confirmed(docs, star.select("a", "b")), "links")
+    met = shared.join(pivots, "key").filter("rep <> pivot AND " + _ratio("n", "pn"))
+    star = stage(met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), "star")
+    links = stage(confirmed(docs, stage(matching(signatures, star), "counted")), "links")
     discard(central, pivots)
     labels = stage(connected_components(links), "labels")
 
-    tagged = stage(shared.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", "size", F.coalesce("component", "rep").alias("comp")), "tagged")
-    open_ = stage(tagged.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key"), "open")
+    tagged = stage(shared.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")), "tagged")
+    open_ = stage(tagged.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high").select("key", "size"), "open")
     still = stage(tagged.join(open_, "key"), "still")
     discard(shared, tagged, open_)
     short = still.filter(f"size <= {SHORT_LIST}")
     one, two = (short.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("rep", "n", "comp")]) for i in (1, 2))
-    few = one.join(two, "key").filter("rep1 < rep2 AND comp1 <> comp2 AND " + _ratio("n1", "n2")).select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
+    few = one.join(two, "key").filter("rep1 < rep2 AND comp1 <> comp2 AND " + _ratio("n1", "n2")).select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     members = stage(still.filter(f"size > {SHORT_LIST}").select("rep", "comp").distinct(), "members")
-    more = stage(few.union(_pairs_of_long_lists(docs, members)).distinct().join(star, ["a", "b"], "left_anti"), "more")
+    far = _pairs_of_long_lists(docs, members).distinct().join(star, ["a", "b"], "left_anti")
+    more = stage(matching(signatures, stage(few, "few")).union(far).distinct(), "more")
     late = stage(confirmed(docs, more), "late")
     discard(still, more, star)
 
+    # the classes of one doc_id belong together
+    twice = known.select("doc_id", "set_key").distinct().groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
+    own = known.join(twice, "doc_id").select("doc_id", "set_key").distinct().join(classes, "set_key").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).filter("a <> b")
     named = labels.select("node", "component")
-    up = late.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    up = late.union(own).join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = connected_components(up).toDF("component", "over")
     both = named.join(joined, "component", "left").select("node", F.coalesce("over", "component").alias("component"))
     # representatives that only the later links reach
     final = stage(both.union(joined.join(named.select(F.col("node").alias("component")), "component", "left_anti").toDF("node", "component")), "final")
 
     placed = signed.select("doc_id", "n", "set_key").join(classes, "set_key", "left").join(final.toDF("rep", "component"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    # a document that is no representative may still have been joined to others by its other text
+    placed = placed.join(final.toDF("doc_id", "own"), "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "own", "rep", "doc_id"))
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -162,6 +162,28 @@ def test_near_duplicates(frame, sample):
         assert r.component_id == (find(r.doc_id) if r.doc_id is not None else None) and r.kept == (r.doc_id is not None and find(r.doc_id) == r.doc_id)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that repeat a doc_id are one document, which links where any of its texts does."""
+    rng = np.random.default_rng(11)
+    a, b, c, d = ([f"{x}{k}" for k in rng.integers(0, 10**6, 80)] for x in "abcd")
+    change = lambda w: " ".join([*w[:40], "new", *w[41:]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (3, change(a)), (9, change(b)), (7, " ".join(b)), (8, " ".join(c)), (2, " ".join(d)), (6, change(d)), (6, change(c)), (4, "alone in the world of all five")]
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert {i: c for (i, _), (c, _) in got.items()} == {5: 3, 3: 3, 9: 3, 7: 3, 8: 2, 2: 2, 6: 2, 4: 4}
+    assert sorted({i for (i, _), (_, kept) in got.items() if kept}) == [2, 3, 4]
+
+
+def test_collisions_reach_the_threshold():
+    """Of pairs at exactly 0.75, the share with enough collisions that also share a posting of their prefixes."""
+    rng = np.random.default_rng(4)
+    found = 0
+    for _ in range(300):
+        both = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
+        one, two = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, 100, dtype=np.uint64)])) for _ in range(2))
+        found += int((near_dedup.signature(one) == near_dedup.signature(two)).sum() >= near_dedup.MATCHES)
+    assert found == 300
+
+
 def test_near_duplicates_in_long_lists(spark):
     """Many heavily edited copies: lists stay long and mixed, so links must come from the exact prefix join too."""
     rng = np.random.default_rng(3)
