@@ -1,22 +1,23 @@
 """Benchmark decontamination by suffix arrays over the training documents.
 
 Every task turns a bounded run of training documents (a shard) into one array of word numbers, sorts the suffixes of that
-shard that can matter and binary-searches every test suffix in it. A range of the sorted suffixes that equals a test
-suffix for a whole window gives the verbatim matches and their places; neighbouring places on one diagonal give the
-longest match. Affected documents can then be removed.
+shard that can matter and binary-searches every test suffix in it (equal ones once). A range of the sorted suffixes that
+equals a test suffix for a whole window gives verbatim matches and their places in document and item; matches that follow
+each other on one diagonal (same item, same distance between the places) are one longer match. Affected documents can then
+be removed.
 
 Only suffixes whose first ``window`` words are all linked by word pairs that some test window has can match, so others
 are dropped before the sort: an exact filter, which leaves a small share of the corpus to sort. Suffixes are ordered to
-the depth of the window, which is what the search compares.
+the depth of the window; how far a match goes on is read off its diagonal.
 
-Scale: documents are never shuffled; each shard is searched where it was read. The benchmark is read into blocks of at
-most ``block_chars`` characters; each block is sent to the tasks by its own broadcast, and the documents pass through one
-pipelined step per block, so a benchmark of any size works with bounded memory.
+Scale: documents are never shuffled; each shard is searched where it was read. The benchmark is read in blocks of at most
+``block_chars`` characters (or one item). One block, the usual case, takes one pass. More blocks take one pass each, whose
+hits are written to the shared folder before the block is dropped, so memory holds one block at a time.
 
 Defined results: words are runs of ASCII letters and digits and of all non-ASCII characters, A-Z lower-cased; null text
 has no words; an item without words has no window; an item shorter than the window is one window of its own length; a
 null item_id still marks words but is not listed; items repeated under one id count once; repeated document rows get
-equal answers; extra columns pass through untouched under their own names in :func:`remove_contaminated`.
+equal answers; other columns, whatever their names, pass untouched through :func:`remove_contaminated`.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelore.llm.common import sliced
+from gatelore.llm.common import sliced, stage
 
 #: bytes.translate table: A-Z to a-z, all that is not part of a word to a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Pairs of a document place and an item place that are laid out at once.
+PAIRS = 1 << 21
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -40,24 +43,31 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class TestSuffixes:
-    """One block of benchmark items, ready to be searched for: for each window length its distinct windows."""
+    """One block of benchmark items, ready to be searched for: its windows by length, each with all its places in the items."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[object, str | None]], window: int):
         self.vocab: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple, set]] = {}
-        for item_id, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
+        self.ids: list[str | None] = []
+        self.starts: list[int] = []
+        by_length: dict[int, dict[tuple, list[int]]] = {}
+        at = 0
+        for item_id, words in dict.fromkeys((item_id, tuple(words_of(text))) for item_id, text in items):
+            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]
             m = min(window, len(ids))
             if m:
+                self.ids.append(None if item_id is None else str(item_id))
+                self.starts.append(at)
                 for q in range(len(ids) - m + 1):
-                    by_length.setdefault(m, {}).setdefault(tuple(ids[q : q + m]), set()).update([] if item_id is None else [str(item_id)])
+                    by_length.setdefault(m, {}).setdefault(tuple(ids[q : q + m]), []).append(at + q)
+                at += len(ids) + 1
         self.groups = []
         for m, windows in sorted(by_length.items()):
             rows = np.array(list(windows), dtype=np.int64).reshape(-1, m)
             pairs = np.unique((rows[:, :-1] << 32 | rows[:, 1:]).ravel()) if m > 1 else np.unique(rows)
-            self.groups.append((m, pairs, _keys(rows), list(windows.values())))
+            counts = np.array([len(q) for q in windows.values()])
+            self.groups.append((m, pairs, _keys(rows), np.cumsum(counts) - counts, counts, np.array([q for v in windows.values() for q in v])))
 
 
 def _keys(rows: np.ndarray) -> np.ndarray:
@@ -73,9 +83,9 @@ def _runs(ok: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(total[n:] - total[:-n] == n)
 
 
-def search_shard(shard: np.ndarray, tests: TestSuffixes) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
-    """For each window length m: the places in the shard that equal a test window, and that window's number."""
-    for m, pairs, wanted, item_ids in tests.groups:
+def search_shard(shard: np.ndarray, tests: TestSuffixes) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple]]:
+    """For each window length m: the places in the shard that equal a test window, that window's number, and where windows lie in the items."""
+    for m, pairs, wanted, *places in tests.groups:
         if m > 1:
             code = shard[:-1] << 32 | shard[1:]
             at = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
@@ -93,26 +103,81 @@ def search_shard(shard: np.ndarray, tests: TestSuffixes) -> Iterator[tuple[int,
         if len(found):
             n = n[found]
             inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[found], n)
-            yield m, starts[order[inside]], np.repeat(found, n), item_ids
+            at = order[inside]
+            yield m, starts[at], np.repeat(found, n), tuple(places)
 
 
-def _scan_texts(texts: list[str | None], tests: TestSuffixes) -> list[tuple[list[tuple[int, int]], set]]:
-    """Hit intervals of words and items for each text of one shard. Documents are kept apart by the number 0."""
+def _diagonals(places: np.ndarray, windows: np.ndarray, occurrences: tuple, m: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Matches that can't be prolonged by a neighbouring one: place in the shard, place in the items, length in words.
+
+    ``places`` rise. They are taken in stretches without gaps, so that no match is cut.
+    """
+    first, counts, where = occurrences
+    total = np.cumsum(counts[windows])
+    gaps = np.append(np.flatnonzero(np.diff(places) > 1) + 1, len(places))
+    k = 0
+    while k < len(places):
+        base = total[k - 1] if k else 0
+        far = np.searchsorted(total, base + PAIRS, "right")
+        fits = gaps[(gaps > k) & (gaps <= far)]
+        end = int(fits[-1]) if len(fits) else int(gaps[np.searchsorted(gaps, k, "right")])
+        n = counts[windows[k:end]]
+        p = np.repeat(places[k:end], n)
+        q = where[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[windows[k:end]], n)]
+        order = np.lexsort((p, q - p))
+        p, q = p[order], q[order]
+        new = np.flatnonzero(np.concatenate([[True], (q - p)[1:] != (q - p)[:-1]]) | np.concatenate([[True], p[1:] != p[:-1] + 1]))
+        yield p[new], q[new], np.diff(np.append(new, len(p))) + m - 1
+        k = end
+
+
+class Found:
+    """What one text shares with the block: word intervals of its windows, items, and its longest verbatim matches."""
+
+    __slots__ = ("spans", "items", "matches")
+
+    def __init__(self):
+        self.spans, self.items, self.matches = [], set(), []
+
+
+def _scan_texts(texts: list[str | None], tests: TestSuffixes) -> list[Found]:
+    """The texts of one shard. Documents are kept apart by the number 0."""
     get, shard, begins = tests.vocab.get, [], []
     for t in texts:
         begins.append(len(shard))
         shard += [get(w, 0) for w in words_of(t)]
         shard.append(0)
-    found: list[tuple[list, set]] = [([], set()) for _ in texts]
+    found = [Found() for _ in texts]
     array, begins = np.array(shard, dtype=np.int64), np.array(begins, dtype=np.int64)
-    for m, places, windows, item_ids in search_shard(array, tests):
+    starts = np.array(tests.starts)
+    for m, places, windows, occurrences in search_shard(array, tests):
+        order = np.argsort(places, kind="stable")
+        places, windows = places[order], windows[order]
         docs = np.searchsorted(begins, places, "right") - 1
-        for d, p, w in zip(docs.tolist(), (places - begins[docs]).tolist(), windows.tolist()):
-            found[d][0].append((p, p + m))
-            found[d][1].update(item_ids[w])
+        for d, p in zip(docs.tolist(), (places - begins[docs]).tolist()):
+            found[d].spans.append((p, p + m))
+        for p, q, n in _diagonals(places, windows, occurrences, m):
+            docs, items = np.searchsorted(begins, p, "right") - 1, np.searchsorted(starts, q, "right") - 1
+            for d, x, i, y, k in zip(docs.tolist(), (p - begins[docs]).tolist(), items.tolist(), (q - starts[items]).tolist(), n.tolist()):
+                found[d].matches.append((x, tests.ids[i], y, k))
+                if tests.ids[i] is not None:
+                    found[d].items.add(tests.ids[i])
     return found
 
 
+def _scan(batches: Iterator[pa.RecordBatch], block, shard_chars: int) -> Iterator[tuple[pa.RecordBatch, list[Found]]]:
+    """Slices of the batches (which have a column ``text``) with what each row shares with the block."""
+    for b in sliced(batches, 2048):
+        texts, first = b.column("text").to_pylist(), 0
+        while first < len(texts):
+            last, size = first, 0
+            while last < len(texts) and (size == 0 or size < shard_chars):
+                size += len(texts[last] or "") + 1
+                last += 1
+            yield b.slice(first, last - first), _scan_texts(texts[first:last], block.value)
+            first = last
+
+
 def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(intervals):
@@ -123,76 +188,117 @@ def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-
-
-def _scan(batches: Iterator[pa.RecordBatch], block, shard_chars: int) -> Iterator[pa.RecordBatch]:
-    tests = block.value
-    for b in sliced(batches, 2048):
-        texts = b.column("text").to_pylist()
-        hits, items = b.column("_hits").to_pylist(), b.column("_items").to_pylist()
-        first = 0
-        while first < len(texts):
-            last, size = first, 0
-            while last < len(texts) and (size == 0 or size < shard_chars):
-                size += len(texts[last] or "") + 1
-                last += 1
-            for k, (spans, ids) in enumerate(_scan_texts(texts[first:last], tests), first):
-                if spans:
-                    hits[k] = [{"s": x, "e": y} for x, y in merged([(h["s"], h["e"]) for h in hits[k]] + spans)]
-                    items[k] = sorted(ids.union(items[k]))
-            first = last
-        columns = [{"_hits": pa.array(hits, SPANS), "_items": pa.array(items, pa.list_(pa.string()))}.get(n, b.column(i)) for i, n in enumerate(b.schema.names)]
-        yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
-
-
 def _blocks(benchmark: DataFrame, window: int, block_chars: int) -> Iterator[TestSuffixes]:
     held, size = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        held.append((row.item_id, row.text))
-        size += len(row.text or "")
-        if size >= block_chars:
+        if held and size + len(row.text or "") > block_chars:
             yield TestSuffixes(held, window)
             held, size = [], 0
-    if held:
-        yield TestSuffixes(held, window)
+        held.append((row.item_id, row.text))
+        size += len(row.text or "")
+    yield TestSuffixes(held, window)
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 8 << 20, shard_chars: int = 2 << 20) -> DataFrame:
-    """``docs`` with ``_hits`` (merged word intervals that occur in the benchmark) and ``_items`` (ids, sorted as strings)."""
-    spark = docs.sparkSession
-    out = docs.withColumns({"_hits": F.expr("cast(array() AS array<struct<s:int,e:int>>)"), "_items": F.expr("cast(array() AS array<string>)")})
-    for tests in _blocks(benchmark, window, block_chars):
-        block = spark.sparkContext.broadcast(tests)
-        out = out.mapInArrow(lambda it, block=block: _scan(it, block, shard_chars), out.schema)
-    return out
+def _passes(spark, benchmark: DataFrame, window: int, block_chars: int) -> Iterator[tuple[object, bool]]:
+    """Each block as a broadcast, and whether it is the only one. A block is dropped when the next one is asked for."""
+    blocks = _blocks(benchmark, window, block_chars)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        yield spark.sparkContext.broadcast(block), True
+        return
+    while block is not None:
+        sent = spark.sparkContext.broadcast(block)
+        yield sent, False
+        sent.destroy()
+        block, more = more, next(blocks, None)
+
+
+HITS = "dk binary, n_words long, spans array<struct<s:int,e:int>>, items array<string>, longest long"
+SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+
+
+def _hits(batches: Iterator[pa.RecordBatch], block, shard_chars: int, all_rows: bool) -> Iterator[pa.RecordBatch]:
+    """Of each row, or each row with hits: its first column, words, merged spans, items and longest match."""
+    for b, found in _scan(batches, block, shard_chars):
+        keep = [k for k, f in enumerate(found) if all_rows or f.spans]
+        texts, some = b.column("text").take(pa.array(keep, pa.int64())).to_pylist(), [found[k] for k in keep]
+        columns = [
+            b.column(0).take(pa.array(keep, pa.int64())),
+            pa.array([len(words_of(t)) for t in texts], pa.int64()),
+            pa.array([[{"s": x, "e": y} for x, y in merged(f.spans)] for f in some], SPANS),
+            pa.array([sorted(f.items) for f in some], pa.list_(pa.string())),
+            pa.array([max((n for *_, n in f.matches), default=0) for f in some], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=[b.schema.names[0], "n_words", "spans", "items", "longest"])
+
+
+DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_run long"
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        hits, items = b.column("_hits").to_pylist(), b.column("_items").to_pylist()
-        n = [len(words_of(t)) for t in b.column("text").to_pylist()]
-        hit = [sum(x["e"] - x["s"] for x in h) for h in hits]
-        yield pa.RecordBatch.from_arrays(
-            [
-                b.column("doc_id"),
-                pa.array(n, pa.int64()),
-                pa.array(hit, pa.int64()),
-                pa.array([len(i) for i in items], pa.int64()),
-                pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]),
-                pa.array([h > 0 for h in hit]),
-                pa.array([max((x["e"] - x["s"] for x in h), default=0) for h in hits], pa.int64()),
-            ],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_run"],
-        )
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, longest_run (words)."""
-    found = find_matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, **options)
-    return found.mapInArrow(_report, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_run long")
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+        spans = [merged([(x["s"], x["e"]) for x in h or []]) for h in b.column("spans").to_pylist()]
+        items = [sorted(set(i or [])) for i in b.column("items").to_pylist()]
+        hit = [sum(y - x for x, y in h) for h in spans]
+        columns = [
+            b.column("key"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()),
+            pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]), pa.array([h > 0 for h in hit]), b.column("longest"),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_run"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in sliced(batches, 2048):
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(words_of(t)) for t in b.column(2).to_pylist()], pa.int64())], names=["key", "dk", "n_words"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 8 << 20, shard_chars: int = 2 << 20) -> DataFrame:
+    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, longest_run (words of its longest verbatim match)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), "text")
+    parts = []
+    for block, only in _passes(docs.sparkSession, benchmark, window, block_chars):
+        if only:
+            return rows.mapInArrow(lambda it: _report(_hits(it, block, shard_chars, True)), DIGEST)
+        keyed = rows.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("dk"), "text")
+        parts.append(stage(keyed.mapInArrow(lambda it, block=block: _hits(it, block, shard_chars, False), HITS).dropDuplicates(["dk"]), "hits"))
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.union(p)
+    hits = hits.groupBy("dk").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"))
+    counted = rows.select("key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("dk"), "text").mapInArrow(_count, "key long, dk binary, n_words long")
+    return counted.join(stage(hits, "hits"), "dk", "left").select("key", "n_words", "spans", "items", F.coalesce("longest", F.lit(0)).alias("longest")).mapInArrow(_report, DIGEST)
+
+
+MATCHES = "doc_id long, doc_word long, item_id string, item_word long, n_words long"
+
+
+def _matches(batches: Iterator[pa.RecordBatch], block, shard_chars: int) -> Iterator[pa.RecordBatch]:
+    for b, found in _scan(batches, block, shard_chars):
+        rows = [(doc_id, *m) for doc_id, f in zip(b.column(0).to_pylist(), found) for m in f.matches]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 2 else pa.int64()) for k, c in enumerate(zip(*rows))], names=["doc_id", "doc_word", "item_id", "item_word", "n_words"])
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 8 << 20, shard_chars: int = 2 << 20) -> DataFrame:
+    """Every verbatim match of a window or more that can't be prolonged: doc_id, doc_word, item_id, item_word, n_words."""
+    rows, parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), []
+    for block, only in _passes(docs.sparkSession, benchmark, window, block_chars):
+        part = rows.mapInArrow(lambda it, block=block: _matches(it, block, shard_chars), MATCHES)
+        parts.append(part if only else stage(part, "matches"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def _clean(batches: Iterator[pa.RecordBatch], block, shard_chars: int) -> Iterator[pa.RecordBatch]:
+    for b, found in _scan(batches, block, shard_chars):
+        yield b.take(pa.array([k for k, f in enumerate(found) if not f.spans], pa.int64()))
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 8 << 20, shard_chars: int = 2 << 20) -> DataFrame:
     """``docs`` without the documents that hold any window of the benchmark."""
-    return find_matches(docs, benchmark, **options).filter(F.size("_hits") == 0).drop("_hits", "_items")
+    for block, only in _passes(docs.sparkSession, benchmark, window, block_chars):
+        kept = docs.mapInArrow(lambda it, block=block: _clean(it, block, shard_chars), docs.schema)
+        docs = kept if only else stage(kept, "clean")
+    return docs

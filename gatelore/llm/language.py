@@ -238,13 +238,31 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
 
 
 def label_language(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with lang_pred and score added."""
+    """``docs`` with lang_pred and score added (in place of columns of these names)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("lang_pred", "score")
     schema = kept.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
     return kept.mapInArrow(lambda it: _predict(it, sent), schema)
 
 
+def least_score(model: Model | None, above_chance: float) -> float:
+    """So many times the chance of a guess among the learned languages, taken as four at least (a lone language is always sure)."""
+    return above_chance / max(len(model.langs), 4) if model else 0.0
+
+
+def _known(batches: Iterator[pa.RecordBatch], model, above_chance: float) -> Iterator[pa.RecordBatch]:
+    least = least_score(model.value, above_chance)
+    for b in sliced(batches):
+        langs, scores = predict(b.column("text").to_pylist(), model.value)
+        yield b.take(pa.array([k for k, (lang, score) in enumerate(zip(langs, scores)) if lang != UNKNOWN and score >= least], pa.int64()))
+
+
+def keep_known(docs: DataFrame, model: Model | None, above_chance: float) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose language is predicted with so many times the chance of a guess."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(lambda it: _known(it, sent, above_chance), docs.schema)
+
+
 def identify_language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score. Rows that are held out are never learned from."""
     rows = docs.select("doc_id", "text", "lang")

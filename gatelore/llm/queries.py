@@ -134,14 +134,14 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
     "op3_decontaminate": f"""
-        WITH d AS (SELECT doc_id, {_WORDS.format(LOWER)} AS w FROM documents), b AS (SELECT item_id, {_WORDS.format(LOWER)} AS w FROM benchmark),
-        bw AS (SELECT item_id, least(10, len(w)) AS m, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS q FROM b WHERE len(w) > 0),
+        WITH d AS (SELECT doc_id, {_WORDS.format(LOWER)} AS w FROM documents), b AS (SELECT row_number() OVER () AS item, item_id, {_WORDS.format(LOWER)} AS w FROM benchmark),
+        bw AS MATERIALIZED (SELECT item, item_id, least(10, len(w)) AS m, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS q FROM b WHERE len(w) > 0),
         win AS (SELECT m, array_to_string(w[q:q + m - 1], ' ') AS k, list(DISTINCT item_id) AS items FROM bw GROUP BY 1, 2),
         dw AS (SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m),
         hit AS MATERIALIZED (SELECT doc_id, p, win.m, items FROM dw JOIN win ON win.m = dw.m AND win.k = array_to_string(w[p:p + dw.m - 1], ' ')),
         cov AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS x FROM hit) GROUP BY 1),
-        runs AS (SELECT doc_id, max(n) AS longest_run FROM (SELECT doc_id, x - rn AS island, count(*) AS n FROM (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY x) AS rn
-            FROM (SELECT DISTINCT doc_id, unnest(range(p, p + m)) AS x FROM hit)) GROUP BY 1, 2) GROUP BY 1),
+        pq AS (SELECT dw.doc_id, b.item, dw.m, p, p - b.q AS diagonal FROM dw JOIN (SELECT DISTINCT item, m, q, array_to_string(w[q:q + m - 1], ' ') AS k FROM bw) b ON b.m = dw.m AND b.k = array_to_string(dw.w[p:p + dw.m - 1], ' ')),
+        runs AS (SELECT doc_id, max(n) AS longest_run FROM (SELECT doc_id, count(*) + m - 1 AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item, diagonal ORDER BY p) AS island FROM pq) GROUP BY doc_id, item, m, diagonal, island) GROUP BY 1),
         it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, unnest(items)::VARCHAR AS i FROM hit) GROUP BY 1)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
             coalesce(longest_run, 0) AS longest_run FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN runs USING (doc_id)""",

@@ -125,12 +125,33 @@ def test_decontamination(spark, sample, frame):
                     hit.update(range(p, p + m))
                     ids |= windows[tuple(w[p : p + m])]
         want[i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)] += 1
+    longest = {}
+    for i, t in sample:
+        w, best = WORD.findall((t or "").translate(LOWER)), 0
+        for _, item in items:
+            v = WORD.findall((item or "").translate(LOWER))
+            run = {}
+            for x in range(len(w)):
+                run = {y: run.get(y - 1, 0) + 1 for y in range(len(v)) if v[y] == w[x]} if w[x] in v else {}
+                best = max([best, *(n for n in run.values() if n >= min(10, len(v)))])
+        longest.setdefault(i, []).append(best)
     for options in ({}, {"block_chars": 300, "shard_chars": 5000}):
         got = decontaminate.contamination(frame, bench, **options).collect()
         assert collections.Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
-    clean = decontaminate.remove_contaminated(frame, bench)
-    assert clean.columns == frame.columns
-    assert clean.count() == sum(n for k, n in want.items() if not k[-1])
+        assert all(r.longest_run in longest[r.doc_id] for r in got)
+        clean = decontaminate.remove_contaminated(frame.withColumns({"_hits": F.lit(1), "spans": F.lit("s")}), bench, **options)
+        assert clean.columns == [*frame.columns, "_hits", "spans"]
+        assert clean.count() == sum(n for k, n in want.items() if not k[-1])
+
+
+def test_longest_matches_and_their_places(spark):
+    a, b = [f"a{k}" for k in range(30)], [f"b{k}" for k in range(12)]
+    bench = spark.createDataFrame([("x", " ".join(a)), ("y", " ".join(b)), ("z", " ".join(a[10:22])), ("s", "only three words")], "item_id string, text string")
+    docs = docs_of(spark, [(1, " ".join([*a[3:20], *b, "end"])), (2, " ".join(["p", *a[10:22], "q", *a[10:21]])), (3, "these are only three words " * 2), (4, " ".join(a[:9]))])
+    want = {(1, 0, "x", 3, 17), (1, 7, "z", 0, 10), (1, 17, "y", 0, 12), (2, 1, "x", 10, 12), (2, 1, "z", 0, 12), (2, 14, "x", 10, 11), (2, 14, "z", 0, 11), (3, 2, "s", 0, 3), (3, 7, "s", 0, 3)}
+    for options in ({}, {"block_chars": 100}):
+        assert {tuple(r) for r in decontaminate.longest_matches(docs, bench, **options).collect()} == want
+    assert {r.doc_id: r.longest_run for r in decontaminate.contamination(docs, bench).collect()} == {1: 17, 2: 12, 3: 3, 4: 0}
 
 
 def test_near_duplicates(frame, sample):

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -35,7 +36,7 @@ def test_run(spark):
     rows = {r.doc_id: r for r in table.collect()}
     model = language.learn(table)
     langs, scores = language.predict([r.text for r in rows.values()], model)
-    left = {i for i, lang, score in zip(rows, langs, scores) if lang != "und" and score >= corpus_pipeline.LEAST_SCORE}
+    left = {i for i, lang, score in zip(rows, langs, scores) if lang != "und" and score >= language.least_score(model, corpus_pipeline.ABOVE_CHANCE)}
     largest = {}
     for i in sorted(left):
         largest[rows[i].text.translate(LOWER)] = i
@@ -80,4 +81,16 @@ def test_stages_take_odd_documents(spark):
         docs = stage(spark, docs, FOLDER)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r.doc_id for r in docs.collect()} == {None, 3}
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == 3
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == 2
+
+
+def test_copies_under_repeated_ids_go(spark):
+    rows = [(5, "same"), (9, "SAME"), (5, "other"), (9, "same"), (None, "no id"), (None, "no id"), (4, "no id"), (None, "none"), (None, "None")]
+    clash = {c: F.lit(c) for c in ("lang", "row", "digest", "times", "score", "lang_pred", "_hits", "_items")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(clash)
+    got = corpus_pipeline.without_copies(spark, docs, FOLDER)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text.lower()) for r in got.collect()) == [("4", "no id"), ("5", "other"), ("9", "same"), ("None", "none")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, FOLDER)
+        assert got.columns == docs.columns and all(r[c] == c for r in got.collect() for c in clash), name
