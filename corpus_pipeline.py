@@ -1,7 +1,13 @@
 """A corpus pipeline over the documents table: language, exact and near duplicates, benchmark passages, packing.
 
 Each stage takes all that the one before it kept, and its result is written to the shared folder as Parquet and read again
-as the next one's documents, so a failed stage is repeated alone. All stages but the last return the columns of documents.
+as the next one's documents, so a failed stage is repeated alone. All stages but the last return the columns of documents,
+and any other columns untouched.
+
+Defined results: documents without a letter (null and empty ones among them) leave at the first stage; of rows with equal
+texts one row stays, also where they share a doc_id or have none; rows that repeat a doc_id with different texts are one
+document for the near-duplicate stage, and stay or go together; rows without doc_id link with nothing there and stay; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,21 +15,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelore.llm.common import stage, table
+from gatelore.llm.common import lower_az, stage, table
 from gatelore.llm.decontaminate import remove_contaminated
 from gatelore.llm.exact_dedup import exact_duplicates
-from gatelore.llm.language import UNKNOWN, label_language, learn
+from gatelore.llm.language import keep_known, learn
 from gatelore.llm.near_dedup import near_duplicates
 from gatelore.llm.packing import best_fit_pack
 
-#: A prediction below this probability is no better than a guess among four languages.
-LEAST_SCORE = 0.3
+#: A prediction below so many times the chance of a guess among the learned languages is none.
+ABOVE_CHANCE = 1.2
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is known: not ``und``, and predicted with some confidence."""
-    scored = label_language(docs, learn(docs))
-    return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    """Keep documents whose language is known: not ``und``, and predicted better than by a guess."""
+    return keep_known(docs, learn(docs), ABOVE_CHANCE)
 
 
 def _with_ids_in(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -33,8 +38,13 @@ def _with_ids_in(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the largest doc_id of each group of equal texts (rows that repeat it stay together)."""
-    return _with_ids_in(docs, exact_duplicates(docs, keep="largest").filter("kept"))
+    """Keep one row of each group of equal texts: one with its largest doc_id."""
+    kept = exact_duplicates(docs, keep="largest").filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("times"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.sha2(lower_az(F.col("text")), 256).alias("digest"))
+    found = rows.join(kept.select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("digest"), "times"), "digest").filter(F.col("id").eqNullSafe(F.col("kept_id")))
+    # only rows that repeat both id and text are dealt out once more
+    once = found.filter("times = 1").select("row").union(found.filter("times > 1").dropDuplicates(["id", "digest"]).select("row"))
+    return once.select("row.*")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
