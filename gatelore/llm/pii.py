@@ -2,7 +2,8 @@
 
 Regular expressions propose spans of each kind, checks confirm them (Luhn for cards, mod-97 for IBANs, number ranges for
 addresses, digit counts for phones), and words near a span adjust its score. Kinds that a check alone settles (email,
-ip, card, phone) are always reported; the added kinds (iban, ssn) are reported when their score reaches ``threshold``.
+ip, card, phone) are always reported; the added kinds (iban, ssn, secret) are reported when their score reaches
+``threshold``. A secret is a long run of letters and digits with many different signs, beside a word such as token.
 
 Patterns never backtrack without bound: repeated groups are possessive, so Java matches them in a loop and long runs
 neither overflow the stack nor take quadratic time. Positions come from the lengths of the gaps between matches. The
@@ -27,8 +28,11 @@ BASE_KINDS = [
 ADDED_KINDS = [
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", "", "iban|bank|account|transfer", 0.9),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", "ssn|social security|taxpayer", 0.4),
+    ("secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+", "", "token|secret|password|passwd|credential|api.?key|access.?key|private.?key", 0.4),
 ]
 NEARBY = 40
+#: Matches whose places are summed up together.
+CHUNK = 128
 CONTEXT_GAIN = 0.3
 PLACED = "struct<s:int,e:int,m:string,near:string>"
 #: Spans sort by start, then by kind as listed.
@@ -51,6 +55,7 @@ VALID = {
     "aggregate(filter(split(concat(substring(replace(x.m, ' ', ''), 5), left(x.m, 4)), ''), c -> c <> ''), 0, "
     "(a, c) -> CASE WHEN c >= 'A' THEN (a * 100 + ascii(c) - 55) % 97 ELSE (a * 10 + cast(c AS int)) % 97 END) = 1",
     "ssn": "left(x.m, 3) NOT IN ('000', '666') AND left(x.m, 1) <> '9' AND substring(x.m, 5, 2) <> '00' AND right(x.m, 4) <> '0000'",
+    "secret": "x.m RLIKE '[0-9]' AND x.m RLIKE '[A-Za-z]' AND size(array_distinct(split(x.m, ''))) >= 10",
 }
 
 
@@ -62,18 +67,22 @@ def _spans(df: DataFrame, rank: int, kind: str, pattern: str, holds: str, words:
     df = df.withColumn("_m", F.expr(gate))
     df = df.withColumn("_g", F.expr(f"CASE WHEN size(_m) > 0 THEN split(_t, '{pat}', -1) ELSE cast(array() AS array<string>) END"))
     df = df.withColumn("_z", F.expr("arrays_zip(slice(_g, 1, size(_m)), _m, slice(_g, 2, size(_m)))").cast("array<struct<g:string,m:string,h:string>>"))
-    placed = f"""aggregate(
-        _z, named_struct('p', 0, 'o', cast(array() AS array<{PLACED}>)),
+    # lengths are summed up within chunks, then over chunks, so that a text with very many matches stays cheap
+    chunks = f"transform(sequence(0, greatest(0, (size(_z) - 1) div {CHUNK})), k -> slice(_z, cast(k * {CHUNK} + 1 AS int), {CHUNK}))"
+    inside = f"""transform({chunks}, c -> aggregate(
+        c, named_struct('p', 0, 'o', cast(array() AS array<{PLACED}>)),
         (a, x) -> named_struct('p', a.p + length(x.g) + length(x.m),
             'o', concat(a.o, array(named_struct('s', a.p + length(x.g), 'e', a.p + length(x.g) + length(x.m), 'm', x.m,
-                 'near', lower(concat(right(x.g, {NEARBY}), ' ', left(x.h, {NEARBY}))))))),
-        a -> a.o)"""
+                 'near', lower(concat(right(x.g, {NEARBY}), ' ', left(x.h, {NEARBY})))))))))"""
+    df = df.withColumn("_c", F.expr(inside))
+    df = df.withColumn("_b", F.expr("aggregate(_c, array(0), (a, x) -> array_append(a, element_at(a, -1) + x.p))"))
+    placed = "flatten(transform(_c, (c, i) -> transform(c.o, x -> named_struct('s', x.s + _b[i], 'e', x.e + _b[i], 'm', x.m, 'near', x.near))))"
     df = df.withColumn("_p", F.expr(placed))
     kept = f"""filter(transform(filter(_p, x -> {VALID[kind]}),
         x -> named_struct('s', x.s, 'r', {rank}, 'e', x.e, 'kind', '{kind}',
              'score', least(1.0D, {score}D + CASE WHEN x.near RLIKE '{words}' THEN {CONTEXT_GAIN}D ELSE 0.0D END))),
         y -> y.score >= {threshold}D)"""
-    return df.withColumn(kind, F.expr(f"cast({kept} AS array<{SPAN}>)")).drop("_m", "_g", "_z", "_p")
+    return df.withColumn(kind, F.expr(f"cast({kept} AS array<{SPAN}>)")).drop("_m", "_g", "_z", "_c", "_b", "_p")
 
 
 def _joined(spans: Column) -> Column:

@@ -101,6 +101,13 @@ SQL_KINDS = [
         "ssn|social security|taxpayer",
         0.4,
     ),
+    (
+        "secret",
+        "[A-Za-z0-9_+/-]{20,}",
+        "regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]') AND len(list_distinct(string_split(x, ''))) >= 10",
+        "token|secret|password|passwd|credential|api.?key|access.?key|private.?key",
+        0.4,
+    ),
 ]
 
 
