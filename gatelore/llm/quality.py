@@ -1,8 +1,8 @@
 """A quality classifier trained by co-training.
 
 Two views of a document each have a logistic classifier: its text (hashed character pairs, case kept, and shares of signs, capitals and repeats) and its metadata
-(source, language, length and layout). Both start from the same labelled sample. Over several rounds each classifier labels
-the documents of an unlabelled pool that it is surest of, after calibration on held-out labels, and hands them to the
+(source, language and the recorded number of signs, none of it read from the text). Both start from the same labelled sample. Over several rounds each classifier labels
+the documents of a pool of unlabelled ones that it is surest of, after calibration on held-out labels, and hands them to the
 other one's training set. Finally each view is calibrated and a two-input logistic combination of the calibrated views
 scores every document.
 
@@ -26,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatelore.llm.common import discard, stage
+
 TEXT_FEATURES = 1 << 11
 TEXT_COLUMNS = TEXT_FEATURES + 4
 SIGNS, UPPER = re.compile(r"[\w\s.,]+"), re.compile(r"[A-Z]")
-SOURCES, LANGS, LAYOUT = 256, 32, 6
+SOURCES, LANGS, SIZES = 256, 32, 7
+META_COLUMNS = SOURCES + LANGS + SIZES
 LABELLED_ROWS = POOL_ROWS = 3000
 ROUNDS, SURE, HANDED = 4, 0.95, 300
 
@@ -49,13 +52,12 @@ def text_view(text: str | None) -> np.ndarray:
     return np.concatenate([x, np.array(shape, dtype=np.float32)])
 
 
-def meta_view(source: str | None, lang: str | None, text: str | None) -> np.ndarray:
-    x = np.zeros(SOURCES + LANGS + LAYOUT, dtype=np.float32)
+def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+    x = np.zeros(META_COLUMNS, dtype=np.float32)
     x[zlib.crc32(str(source).encode()) % SOURCES] = 1
     x[SOURCES + zlib.crc32(str(lang).encode()) % LANGS] = 1
-    text = text or ""
-    n, words, lines = len(text), text.count(" ") + 1, text.count("\n") + 1
-    x[-LAYOUT:] = np.log1p(n) / 10, np.log1p(lines) / 5, np.log1p(n / lines) / 10, n / words / 10, words / lines / 50, len(text.encode("utf-8", "replace")) / (n or 1) - 1
+    size = np.log1p(max(n_chars or 0, 0))
+    x[-SIZES:] = n_chars is None, size / 10, *(abs(size - k) < 1 for k in range(2, 12, 2))
     return x
 
 
@@ -151,11 +153,11 @@ def _fit_mix(z: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        text, source, lang, label = (b.column(n).to_pylist() for n in ("text", "source", "lang", "label"))
+        text, source, lang, size, label = (b.column(n).to_pylist() for n in ("text", "source", "lang", "n_chars", "label"))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([text_view(t).astype("<f4").tobytes() for t in text], pa.binary()),
-                pa.array([meta_view(s, k, t).astype("<f4").tobytes() for s, k, t in zip(source, lang, text)], pa.binary()),
+                pa.array([meta_view(*m).astype("<f4").tobytes() for m in zip(source, lang, size)], pa.binary()),
                 pa.array(label, pa.int32()),
             ],
             names=["text", "meta", "label"],
@@ -165,18 +167,21 @@ def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _collected(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     got = rows.mapInArrow(_views, "text binary, meta binary, label int").collect()
     if not got:
-        return [np.zeros((0, TEXT_COLUMNS), np.float32), np.zeros((0, SOURCES + LANGS + LAYOUT), np.float32)], np.zeros(0)
+        return [np.zeros((0, TEXT_COLUMNS), np.float32), np.zeros((0, META_COLUMNS), np.float32)], np.zeros(0)
     return [np.stack([np.frombuffer(r[v], "<f4") for r in got]) for v in ("text", "meta")], np.array([r["label"] or 0 for r in got], dtype=float)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> Views | None:
-    rows = docs.select("doc_id", "text", "source", "lang")
-    key = F.xxhash64("doc_id")
-    given = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").alias("label"))
-    chosen = given.orderBy(key, "label").limit(labelled_rows)
+    rows = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text", "source", "lang", "cast(n_chars AS long) AS n_chars")
+    ids, key = rows.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct(), F.xxhash64("doc_id")
+    given = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
+    # labels of documents that are not there take up no place in the sample
+    chosen = stage(given.join(ids, "doc_id", "left_semi").orderBy(key, "label").limit(labelled_rows), "chosen")
     labelled, y = _collected(rows.join(F.broadcast(chosen), "doc_id").orderBy(key, "label").limit(labelled_rows))
-    drawn = rows.select("doc_id").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(1))).limit(pool_rows)
-    pool, _ = _collected(rows.join(F.broadcast(drawn.distinct()), "doc_id").withColumn("label", F.lit(None).cast("int")).orderBy(key).limit(pool_rows))
+    # labelled documents, those of the calibration among them, never come back as pseudo-labelled ones
+    drawn = stage(ids.join(given, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id", F.lit(1))).limit(pool_rows), "drawn")
+    pool, _ = _collected(rows.join(F.broadcast(drawn), "doc_id").withColumn("label", F.lit(None).cast("int")).orderBy(key).limit(pool_rows))
+    discard(chosen, drawn)
     return co_train(labelled, y, pool)
 
 
@@ -187,11 +192,11 @@ def _score(batches: Iterator[pa.RecordBatch], model, threshold: float) -> Iterat
     views = model.value
     for batch in batches:
         for b in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-            text, source, lang = (b.column(n).to_pylist() for n in ("text", "source", "lang"))
+            text, source, lang, size = (b.column(n).to_pylist() for n in ("text", "source", "lang", "n_chars"))
             if views is None:
                 scores = [np.full(len(text), 0.5)] * 3
             else:
-                scores = views.scores(np.stack([text_view(t) for t in text]), np.stack([meta_view(s, k, t) for s, k, t in zip(source, lang, text)]))
+                scores = views.scores(np.stack([text_view(t) for t in text]), np.stack([meta_view(*m) for m in zip(source, lang, size)]))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *(pa.array(s, pa.float64()) for s in scores), pa.array(scores[2] >= threshold)], names=["doc_id", "text_score", "meta_score", "score", "kept"]
             )
@@ -200,5 +205,5 @@ def _score(batches: Iterator[pa.RecordBatch], model, threshold: float) -> Iterat
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sizes) -> DataFrame:
     """One row per document: doc_id, text_score, meta_score, score (probability of good quality), kept."""
     model = docs.sparkSession.sparkContext.broadcast(train_quality(docs, labels, **sizes))
-    rows = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text", "source", "lang")
+    rows = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text", "source", "lang", "cast(n_chars AS long) AS n_chars")
     return rows.mapInArrow(lambda it: _score(it, model, threshold), SCORED)

@@ -65,7 +65,10 @@ def test_patricia_trie_holds_what_it_was_given():
         trie.insert(key, 500 - k)
         owner, n = want.get(key, (10**9, 0))
         want[key] = (min(owner, 500 - k), n + 1)
-    assert {k: (o, n) for k, o, n in trie.terminals()} == want
+    assert {k: (o, n) for k, o, n, _ in trie.terminals()} == want
+    spilled = list(trie.spill(2_000))
+    assert 0 < len(spilled) < len(want) and trie.bytes <= 2_000
+    assert {k: (o, n) for k, o, n, _ in [*spilled, *trie.terminals()]} == want and trie.bytes == exact_dedup._weight(trie.root) - exact_dedup.NODE_BYTES
 
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
