@@ -226,10 +226,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signatures = reps.select("rep", "sig")
     sizes = stage(reps.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     # postings that no other document has come first in the order and make no pairs; of the others the rarest fill up the prefix
-    posted = reps.select("rep", "n", "sig", F.explode("keys").alias("key")).join(sizes, "key")
-    ranked = posted.groupBy("rep", "sig", "n").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("lists"))
-    prefix = ranked.select("rep", "n", F.explode(F.expr(f"slice(lists, 1, greatest(0, {PREFIX_KEYS} - ({COORDINATES} - size(lists))))")).alias("p")).select("p.key", "rep", "n", "p.size")
-    shared = stage(prefix, "postings")
+    posted = reps.select("rep", F.explode("keys").alias("key")).join(sizes, "key")
+    ranked = posted.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("lists"))
+    prefix = ranked.select("rep", F.explode(F.expr(f"slice(lists, 1, greatest(0, {PREFIX_KEYS} - ({COORDINATES} - size(lists))))")).alias("p")).select("p.key", "rep", "p.size")
+    shared = stage(prefix.join(reps.select("rep", "n"), "rep"), "postings")
     discard(sizes)
 
     central = stage(shared.groupBy("rep").agg(F.sum("size").alias("weight")), "central")
