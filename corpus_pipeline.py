@@ -40,8 +40,11 @@ def _with_ids_in(docs: DataFrame, kept: DataFrame) -> DataFrame:
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of equal texts: one with its largest doc_id."""
     kept = exact_duplicates(docs, keep="largest").filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("times"))
+    kept = stage(kept.select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"), "times"), "kept")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.sha2(lower_az(F.col("text")), 256).alias("digest"))
-    found = rows.join(kept.select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("digest"), "times"), "digest").filter(F.col("id").eqNullSafe(F.col("kept_id")))
+    found = rows.join(kept, (F.col("digest") == F.col("kept_digest")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    if kept.filter("times > 1").isEmpty():
+        return found.select("row.*")
     # only rows that repeat both id and text are dealt out once more
     once = found.filter("times = 1").select("row").union(found.filter("times > 1").dropDuplicates(["id", "digest"]).select("row"))
     return once.select("row.*")

@@ -47,7 +47,7 @@ COORDINATES, MATCHES = 48, 20
 PREFIX_KEYS = COORDINATES - MATCHES + 1
 #: Lists up to this size are compared pair by pair, longer ones by prefixes of sets; both ways are exact.
 SHORT_LIST = 12
-CACHED_WORDS = 200_000
+CACHED_WORDS = 60_000
 #: Odd multipliers of the hashes.
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)

@@ -16,7 +16,6 @@ which tests hold against an untouched tokenizer.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Stretches that a worker remembers (32 bytes each) and their ids (4 bytes each).
-SLOT_BITS, POOL_IDS = 20, 6 << 20
+SLOT_BITS, POOL_IDS = 19, 3 << 20
 WORDS = 3
 LONGEST = 8 * WORDS
 #: Text bytes that are cut and looked up at once.
@@ -79,13 +78,13 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
-        cut = made.get("pre_tokenizer") or {}
-        self.known_cuts = not made.get("normalizer") and not made.get("post_processor") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        cut = self.tokenizer.pre_tokenizer
+        plain = self.tokenizer.normalizer is None and self.tokenizer.post_processor is None
+        self.known_cuts = plain and isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space
         vocab = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token: one sign stands for one byte
         for token, k in vocab.items():
