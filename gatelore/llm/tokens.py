@@ -27,7 +27,7 @@ SLOT_BITS, POOL_IDS = 19, 3 << 20
 WORDS = 3
 LONGEST = 8 * WORDS
 #: Text bytes that are cut and looked up at once.
-TILE = 2 << 20
+TILE = 512 << 10
 #: New stretches that are joined for one call of the library.
 JOINED = 512
 
