@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +51,23 @@ def discard(*staged: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What a Python worker keeps for its next task: the tables of one operator at a time.
+_KEPT: dict[str, object] = {}
+
+
+def kept_by_worker(name: str, make: Callable[[], object]) -> object:
+    """This worker's object of that name. Those of other names are dropped, so that workers used for many steps don't add them up."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget_kept() -> None:
+    """Drop what former steps left in this worker."""
+    _KEPT.clear()
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
     """Batches in slices, so that few texts are Python objects at once."""
     for b in batches:

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatelore.llm.common import sliced
+from gatelore.llm.common import forget_kept, sliced
 
 FEATURES = 1 << 14
 SAMPLE_ROWS = 3000
@@ -161,6 +161,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[pa.RecordBatch]:
+    forget_kept()
     df, n = np.zeros(features + 1, dtype=np.int64), 0
     for b in sliced(batches):
         for t in b.column(0).to_pylist():
@@ -224,7 +225,10 @@ def predict(texts: list[str | None], model: Model | None, features: int = FEATUR
     known = [k for k, t in enumerate(texts) if t and LETTER.search(t)] if model else []
     for first in range(0, len(known), 64):
         some = known[first : first + 64]
-        p = model.probabilities(model.vectors(np.stack([ngram_counts(texts[k], features) for k in some]).astype(np.float32)))
+        counts = np.empty((len(some), features), np.float32)
+        for row, k in enumerate(some):
+            counts[row] = ngram_counts(texts[k], features)
+        p = model.probabilities(model.vectors(counts))
         for k, best, score in zip(some, p.argmax(1).tolist(), p.max(1).tolist()):
             langs[k], scores[k] = model.langs[best], score
     return langs, scores
@@ -250,17 +254,28 @@ def least_score(model: Model | None, above_chance: float) -> float:
     return above_chance / max(len(model.langs), 4) if model else 0.0
 
 
-def _known(batches: Iterator[pa.RecordBatch], model, above_chance: float) -> Iterator[pa.RecordBatch]:
-    least = least_score(model.value, above_chance)
-    for b in sliced(batches):
-        langs, scores = predict(b.column("text").to_pylist(), model.value)
-        yield b.take(pa.array([k for k, (lang, score) in enumerate(zip(langs, scores)) if lang != UNKNOWN and score >= least], pa.int64()))
+def _known(texts: Iterator[pa.Array], model: Model | None, above_chance: float) -> Iterator[pa.Array]:
+    forget_kept()
+    least = least_score(model, above_chance)
+    for a in texts:
+        out: list[bool] = []
+        for first in range(0, len(a), 128):
+            out += [lang != UNKNOWN and score >= least for lang, score in zip(*predict(a.slice(first, 128).to_pylist(), model))]
+        yield pa.array(out, pa.bool_())
 
 
 def keep_known(docs: DataFrame, model: Model | None, above_chance: float) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose language is predicted with so many times the chance of a guess."""
+    """The rows of ``docs``, all columns as they are, whose language is predicted with so many times the chance of a guess.
+
+    Python sees the texts only and answers with a flag for each, so rows don't come back through it.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(lambda it: _known(it, sent, above_chance), docs.schema)
+
+    @F.arrow_udf("boolean")
+    def known(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _known(texts, sent.value, above_chance)
+
+    return docs.filter(known(docs["text"]))
 
 
 def identify_language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

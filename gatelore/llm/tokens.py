@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from gatelore.llm.common import kept_by_worker
+
 #: Stretches that a worker remembers (32 bytes each) and their ids (4 bytes each).
 SLOT_BITS, POOL_IDS = 19, 3 << 20
 WORDS = 3
@@ -237,14 +239,9 @@ class Encoder:
             first = last
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This worker's encoder of a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept_by_worker(f"encoder of {path}", lambda: Encoder(path))
 
 
 def public_vocabulary() -> str:
