@@ -24,10 +24,20 @@ from gatelore.llm.packing import best_fit_pack
 
 #: A prediction below so many times the chance of a guess among the learned languages is none.
 ABOVE_CHANCE = 1.2
+#: Rows of whole texts that cross to Python at once, where the session sets no number of its own.
+ROWS_AT_ONCE = 1000
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    """Spark's 10,000 rows of two whole texts each are held outside the heap, in full, by the executor and by its Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(ROWS_AT_ONCE))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is known: not ``und``, and predicted better than by a guess."""
+    _in_small_batches(spark)
     return keep_known(docs, learn(docs), ABOVE_CHANCE)
 
 
@@ -39,6 +49,7 @@ def _with_ids_in(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of equal texts: one with its largest doc_id."""
+    _in_small_batches(spark)
     kept = exact_duplicates(docs, keep="largest").filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("times"))
     kept = stage(kept.select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"), "times"), "kept")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.sha2(lower_az(F.col("text")), 256).alias("digest"))
@@ -52,16 +63,19 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of near duplicates, and documents without doc_id, which link with nothing."""
+    _in_small_batches(spark)
     return _with_ids_in(docs, near_duplicates(docs).filter("kept OR doc_id IS NULL"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that hold no window of a benchmark item."""
+    _in_small_batches(spark)
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"), window=10)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 2048 tokens."""
+    _in_small_batches(spark)
     return best_fit_pack(docs, capacity=2048)
 
 
