@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -51,23 +53,35 @@ def discard(*staged: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: What a Python worker keeps for its next task: the tables of one operator at a time.
+#: What a Python worker keeps for its next task (the tables of one operator at a time), and the step it works at.
 _KEPT: dict[str, object] = {}
+_STEP: list[str] = []
+
+
+def begin_step(name: str) -> None:
+    """Called where a task begins: if this worker did another step before, that one's tables and freed memory are given back.
+
+    Workers are used again for many steps. What the allocators hold back of each would add up, and is not Spark's to see.
+    """
+    if _STEP == [name]:
+        return
+    _STEP[:] = [name]
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+    if trim:
+        trim(0)
 
 
 def kept_by_worker(name: str, make: Callable[[], object]) -> object:
-    """This worker's object of that name. Those of other names are dropped, so that workers used for many steps don't add them up."""
+    """This worker's object of that name, kept until it begins another step."""
+    begin_step(name)
     if name not in _KEPT:
-        _KEPT.clear()
         _KEPT[name] = make()
     return _KEPT[name]
 
 
-def forget_kept() -> None:
-    """Drop what former steps left in this worker."""
-    _KEPT.clear()
-
-
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
     """Batches in slices, so that few texts are Python objects at once."""
     for b in batches:

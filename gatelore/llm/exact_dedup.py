@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelore.llm.common import batches_of, lower_az, sliced
+from gatelore.llm.common import batches_of, begin_step, lower_az, sliced
 
 PARTIAL = pa.schema([("len", pa.int32()), ("hash", pa.int64()), ("key", pa.binary()), ("owner", pa.int64()), ("n", pa.int64())])
 FINAL = pa.schema([("len", pa.int32()), ("text_sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
@@ -121,6 +121,7 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 def _partial(batches: Iterator[pa.RecordBatch], pick, spill_bytes: int) -> Iterator[tuple]:
+    begin_step("tries")
     trie = Patricia(pick)
     for b in sliced(batches):
         for h, key, owner in zip(*(c.to_pylist() for c in b.columns)):
@@ -133,6 +134,7 @@ def _partial(batches: Iterator[pa.RecordBatch], pick, spill_bytes: int) -> Itera
 
 
 def _merge(batches: Iterator[pa.RecordBatch], pick, spill_bytes: int) -> Iterator[tuple]:
+    begin_step("tries of merged keys")
     at, trie = None, Patricia(pick)
 
     def closed():

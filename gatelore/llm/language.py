@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatelore.llm.common import forget_kept, sliced
+from gatelore.llm.common import begin_step, sliced
 
 FEATURES = 1 << 14
 SAMPLE_ROWS = 3000
@@ -161,7 +161,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[pa.RecordBatch]:
-    forget_kept()
+    begin_step("language frequencies")
     df, n = np.zeros(features + 1, dtype=np.int64), 0
     for b in sliced(batches):
         for t in b.column(0).to_pylist():
@@ -255,7 +255,7 @@ def least_score(model: Model | None, above_chance: float) -> float:
 
 
 def _known(texts: Iterator[pa.Array], model: Model | None, above_chance: float) -> Iterator[pa.Array]:
-    forget_kept()
+    begin_step("language flags")
     least = least_score(model, above_chance)
     for a in texts:
         out: list[bool] = []

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelore.llm.common import LOWER_BYTES, batches_of, discard, sliced, stage
+from gatelore.llm.common import LOWER_BYTES, batches_of, discard, kept_by_worker, sliced, stage
 from gatelore.llm.components import connected_components
 from gatelore.llm.substring_dedup import marked
 
@@ -61,17 +61,15 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
-
-
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted set of a text's hashed shingles."""
     found = (text or "").encode().translate(LOWER_BYTES).split()
     if not found:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > CACHED_WORDS:
-        _WORDS.clear()
-    a = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+    known = kept_by_worker("hashes of words", _Words)
+    if len(known) > CACHED_WORDS:
+        known.clear()
+    a = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     k = min(words, len(a))
     n = len(a) - k + 1
     h = np.full(n, k, np.uint64)
