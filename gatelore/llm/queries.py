@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gatelore.llm.collocations import collocations
 from gatelore.llm.common import UPPER, table
 from gatelore.llm.decontaminate import contamination
 from gatelore.llm.exact_dedup import exact_duplicates
 from gatelore.llm.html_text import extract_main_text
 from gatelore.llm.language import identify_language
+from gatelore.llm.merkle import prove_all, tampered_leaf
+from gatelore.llm.mixing import mix_plan
 from gatelore.llm.near_dedup import near_duplicates
 from gatelore.llm.packing import best_fit_pack
 from gatelore.llm.pii import personal_data_digest
@@ -57,6 +60,18 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(write_store(table(spark, sf_dir, "documents")))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=100, best=2000)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prove_all(table(spark, sf_dir, "documents"), changed=tampered_leaf())
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -68,6 +83,9 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_language": op9_language,
     "op10_token_store": op10_token_store,
+    "op11_mixing": op11_mixing,
+    "op12_collocations": op12_collocations,
+    "op13_merkle": op13_merkle,
 }
 
 LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
@@ -132,6 +150,36 @@ def _pii_sql() -> str:
         FROM documents LEFT JOIN a USING (doc_id)"""
 
 
+def _merkle_sql() -> str:
+    def leaf(n_chars: str) -> str:
+        fields = ["doc_id::VARCHAR", "source", "lang", f"({n_chars})::VARCHAR", "text"]
+        return f"sha256({' || '.join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in fields)})"
+
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT for _ in range(8)]), lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1))))"
+    return f"""
+        WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, lang, {leaf("n_chars")} AS leaf, CASE WHEN xor({crc}, 4294967295::BIGINT) % 7 = 0 THEN {leaf("n_chars + 1")} END AS changed FROM documents),
+        g AS MATERIALIZED (SELECT lang, (row_number() OVER (ORDER BY lang NULLS FIRST) - 1)::BIGINT AS tree, count(*) OVER () AS trees FROM (SELECT DISTINCT lang FROM d)),
+        l AS MATERIALIZED (SELECT d.*, tree, trees, (row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1)::BIGINT AS i, count(*) OVER (PARTITION BY tree)::BIGINT AS n
+              FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang),
+        t(tree, level, i, n, node) AS (SELECT tree, 0, i, n, leaf FROM l UNION ALL
+              SELECT tree, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY tree, level, i // 2, n),
+        nodes AS MATERIALIZED (SELECT * FROM t),
+        sub AS MATERIALIZED (SELECT tree, level AS h, node AS subroot FROM nodes WHERE n = 1),
+        u(level, i, n, node) AS (SELECT 0, tree, (SELECT count(*) FROM g)::BIGINT, subroot FROM sub UNION ALL
+              SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, i // 2, n),
+        tops AS MATERIALIZED (SELECT * FROM u),
+        steps AS (SELECT l.doc_id, l.tree, l.i, s.level AS step, (l.i >> s.level::INT) & 1 AS odd, x.node FROM l JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) s ON s.tree = l.tree
+              LEFT JOIN nodes x ON x.tree = l.tree AND x.level = s.level AND x.i = xor(l.i >> s.level::INT, 1)
+              UNION ALL SELECT l.doc_id, l.tree, l.i, 64 + s.level, (l.tree >> s.level::INT) & 1, x.node FROM l, (SELECT DISTINCT level FROM tops WHERE n > 1) s
+              LEFT JOIN tops x ON x.level = s.level AND x.i = xor(l.tree >> s.level::INT, 1)),
+        path AS (SELECT tree, i, list(struct_pack(odd := odd, node := coalesce(node, '')) ORDER BY step) AS path, string_agg(node, '' ORDER BY step) AS proof FROM steps GROUP BY 1, 2),
+        done AS (SELECT doc_id, leaf, subroot, (SELECT node FROM tops WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+              list_reduce(list_prepend(struct_pack(odd := 0::BIGINT, node := coalesce(changed, leaf)), coalesce(path, [])),
+                lambda a, b: struct_pack(odd := 0::BIGINT, node := sha256(CASE WHEN b.odd = 1 THEN b.node || a.node ELSE a.node || b.node END))).node AS folded_root
+              FROM l JOIN sub USING (tree) LEFT JOIN path ON path.tree = l.tree AND path.i = l.i)
+        SELECT *, folded_root = root AS verified FROM done"""
+
+
 _WORDS = "regexp_extract_all({}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
 
 ORACLE_SQL = {
@@ -163,4 +211,32 @@ ORACLE_SQL = {
         c(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT u.y, c.root FROM c JOIN u ON u.x = c.doc_id WHERE u.y > c.root),
         r AS (SELECT doc_id, min(root) AS root FROM c GROUP BY 1)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, doc_id = root AS kept FROM r LEFT JOIN n USING (doc_id)""",
+    "op11_mixing": """
+        WITH d AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+              md5('mix:' || coalesce(doc_id::VARCHAR, '-') || ':' || coalesce(text, '')) AS key FROM documents),
+        s0 AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY 1),
+        s1 AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w, sum(total) OVER () AS words FROM s0),
+        s2 AS (SELECT *, sum(2 * total) OVER o AS caps, sum(w) OVER () - sum(w) OVER o AS rest FROM s1 WINDOW o AS (ORDER BY total / w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        level AS (SELECT (1.5 * words::DOUBLE - coalesce(caps, 0)::DOUBLE) AS over, coalesce(rest, (SELECT sum(w) FROM s1))::DOUBLE AS weight FROM s2
+              WHERE w * (1.5 * words::DOUBLE - coalesce(caps, 0)::DOUBLE) <= 2.0 * total * coalesce(rest, (SELECT sum(w) FROM s1)) ORDER BY total / w LIMIT 1),
+        t AS (SELECT source, total, CASE WHEN w * over > 2.0 * total * weight THEN 2.0 * total ELSE w * over / weight END::DOUBLE AS target FROM s1, level),
+        p AS (SELECT d.*, total, target, floor(target)::BIGINT AS budget, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        e AS (SELECT *, CASE WHEN total > 0 THEN budget // total ELSE 0 END AS epochs FROM p)
+        SELECT doc_id, source, size, total AS source_size, target, (epochs * size + least(greatest(budget - epochs * total - before, 0), size))::BIGINT AS taken, epochs FROM e""",
+    "op12_collocations": f"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex({LOWER}, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM documents),
+        g AS (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
+        f AS MATERIALIZED (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+        n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY 1),
+        c AS MATERIALIZED (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+        k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+        cut AS (SELECT k.lang, k.phrase, k.m, k.w, a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score FROM k JOIN n USING (lang)
+              JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k + 1:], ' ')),
+        best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (SELECT DISTINCT s.lang, s.phrase FROM (SELECT lang, a, w, m, unnest(range(2, m)) AS short FROM c) x, unnest(range(1, 5)) AS t(i), c s
+              WHERE i <= x.m - short + 1 AND s.lang = x.lang AND s.phrase = array_to_string(x.w[i:i + short - 1], ' ') AND 100 * x.a >= 100 * s.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM best ANTI JOIN inside USING (lang, phrase) QUALIFY rank <= 2000""",
+    "op13_merkle": _merkle_sql(),
 }
