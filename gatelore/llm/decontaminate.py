@@ -8,7 +8,8 @@ be removed.
 
 Only suffixes whose first ``window`` words are all linked by word pairs that some test window has can match, so others
 are dropped before the sort: an exact filter, which leaves a small share of the corpus to sort. Suffixes are ordered to
-the depth of the window; how far a match goes on is read off its diagonal.
+the depth of the window; how far a match goes on is read off its diagonal, of which only both ends are laid out, so a
+text and an item that repeat one word cost their words, not the product.
 
 Scale: documents are never shuffled; each shard is searched where it was read. The benchmark is read in blocks of at most
 ``block_chars`` characters (or one item). One block, the usual case, takes one pass. More blocks take one pass each, whose
@@ -34,8 +35,6 @@ from gatelore.llm.common import sliced, stage
 
 #: bytes.translate table: A-Z to a-z, all that is not part of a word to a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Pairs of a document place and an item place that are laid out at once.
-PAIRS = 1 << 21
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -67,7 +66,40 @@ class TestSuffixes:
             rows = np.array(list(windows), dtype=np.int64).reshape(-1, m)
             pairs = np.unique((rows[:, :-1] << 32 | rows[:, 1:]).ravel()) if m > 1 else np.unique(rows)
             counts = np.array([len(q) for q in windows.values()])
-            self.groups.append((m, pairs, _keys(rows), np.cumsum(counts) - counts, counts, np.array([q for v in windows.values() for q in v])))
+            where = np.array([q for v in windows.values() for q in v])
+            self.groups.append((m, pairs, _keys(rows), Places(counts, where, -1), Places(counts, where, 1)))
+
+
+class Places:
+    """Where each window lies in the items, sorted by window and by the window that lies beside it (``step`` -1: before, 1: behind)."""
+
+    def __init__(self, counts: np.ndarray, where: np.ndarray, step: int):
+        self.step, self.counts, self.first = step, counts, np.cumsum(counts) - counts
+        window = np.repeat(np.arange(len(counts)), counts)
+        by_place = np.argsort(where)
+        at = np.minimum(np.searchsorted(where[by_place], where + step), len(where) - 1)
+        beside = np.where(where[by_place][at] == where + step, window[by_place][at], -1)
+        key = self._key(window, beside)
+        order = np.argsort(key, kind="stable")
+        self.keys, self.where = key[order], where[order]
+
+    def _key(self, window: np.ndarray, beside: np.ndarray) -> np.ndarray:
+        return window * (len(self.counts) + 1) + beside + 1
+
+    def ends(self, places: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a place in the shard and a place in the items that hold one window, and whose neighbours differ or are missing: where matches begin (or end). By diagonal and place."""
+        near = np.roll(places, -self.step) == places + self.step
+        near[-1 if self.step > 0 else 0] = False
+        beside = np.where(near, np.roll(windows, -self.step), -1)
+        low, high = self.first[windows], self.first[windows] + self.counts[windows]
+        key = self._key(windows, beside)
+        same, past = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        same, past = np.where(near, same, high), np.where(near, past, high)
+        low, n = np.concatenate([low, past]), np.concatenate([same - low, high - past])
+        p = np.repeat(np.concatenate([places, places]), n)
+        q = self.where[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+        order = np.lexsort((p, q - p))
+        return p[order], q[order]
 
 
 def _keys(rows: np.ndarray) -> np.ndarray:
@@ -107,28 +139,14 @@ def search_shard(shard: np.ndarray, tests: TestSuffixes) -> Iterator[tuple[int,
             yield m, starts[at], np.repeat(found, n), tuple(places)
 
 
-def _diagonals(places: np.ndarray, windows: np.ndarray, occurrences: tuple, m: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Matches that can't be prolonged by a neighbouring one: place in the shard, place in the items, length in words.
+def _diagonals(places: np.ndarray, windows: np.ndarray, before: Places, behind: Places, m: int) -> tuple[np.ndarray, ...]:
+    """Matches that can't be prolonged by a neighbouring one: place in the shard, place in the items, length in words. ``places`` rise.
 
-    ``places`` rise. They are taken in stretches without gaps, so that no match is cut.
+    Only where matches begin and end is laid out, not what lies between: on one diagonal these take turns.
     """
-    first, counts, where = occurrences
-    total = np.cumsum(counts[windows])
-    gaps = np.append(np.flatnonzero(np.diff(places) > 1) + 1, len(places))
-    k = 0
-    while k < len(places):
-        base = total[k - 1] if k else 0
-        far = np.searchsorted(total, base + PAIRS, "right")
-        fits = gaps[(gaps > k) & (gaps <= far)]
-        end = int(fits[-1]) if len(fits) else int(gaps[np.searchsorted(gaps, k, "right")])
-        n = counts[windows[k:end]]
-        p = np.repeat(places[k:end], n)
-        q = where[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[windows[k:end]], n)]
-        order = np.lexsort((p, q - p))
-        p, q = p[order], q[order]
-        new = np.flatnonzero(np.concatenate([[True], (q - p)[1:] != (q - p)[:-1]]) | np.concatenate([[True], p[1:] != p[:-1] + 1]))
-        yield p[new], q[new], np.diff(np.append(new, len(p))) + m - 1
-        k = end
+    p, q = before.ends(places, windows)
+    last, _ = behind.ends(places, windows)
+    return p, q, last - p + m
 
 
 class Found:
@@ -156,12 +174,12 @@ def _scan_texts(texts: list[str | None], tests: TestSuffixes) -> list[Found]:
         docs = np.searchsorted(begins, places, "right") - 1
         for d, p in zip(docs.tolist(), (places - begins[docs]).tolist()):
             found[d].spans.append((p, p + m))
-        for p, q, n in _diagonals(places, windows, occurrences, m):
-            docs, items = np.searchsorted(begins, p, "right") - 1, np.searchsorted(starts, q, "right") - 1
-            for d, x, i, y, k in zip(docs.tolist(), (p - begins[docs]).tolist(), items.tolist(), (q - starts[items]).tolist(), n.tolist()):
-                found[d].matches.append((x, tests.ids[i], y, k))
-                if tests.ids[i] is not None:
-                    found[d].items.add(tests.ids[i])
+        p, q, n = _diagonals(places, windows, *occurrences, m)
+        docs, items = np.searchsorted(begins, p, "right") - 1, np.searchsorted(starts, q, "right") - 1
+        for d, x, i, y, k in zip(docs.tolist(), (p - begins[docs]).tolist(), items.tolist(), (q - starts[items]).tolist(), n.tolist()):
+            found[d].matches.append((x, tests.ids[i], y, k))
+            if tests.ids[i] is not None:
+                found[d].items.add(tests.ids[i])
     return found
 
 
