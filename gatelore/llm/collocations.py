@@ -11,7 +11,7 @@ keys are made of its words' in order. A task counts keys in tiles and sends each
 frequent phrase is a row a task. Which phrases were proposed is told to tasks by bitmaps of the keys, one for each length,
 of a size that ``filter_bits`` bounds: a wrong bit only makes a task count one phrase more, and results stay exact.
 
-Scale: a few passes over the texts (the sample, one full pass, one for each failure of the border, one that names the
+Scale: a few passes over the texts (the sample, one full pass, one for each failure of the border, two that name the
 phrases); what is shuffled are counted keys, 25 bytes for each distinct one in a task. Only bitmaps reach the driver.
 
 Defined results: null text has no words, a null language is ``und``; an empty table gives an empty result; rows with the
@@ -36,9 +36,11 @@ SAMPLE_SHARE = 0.25
 #: A phrase is proposed from this share of what the sample would hold of it at the threshold.
 LOWERED = 0.4
 FILTER_BITS = 26
-TILE = 1 << 20
+TILE = 256 << 10
 #: Counted keys that a task holds before it sends them.
 HELD = 1 << 20
+#: Phrases are named by one in so many of their occurrences first.
+NAMED_BY = 32
 #: Words of more bytes get their keys from a digest.
 LONG_WORD = 64
 COUNTED = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("m", pa.int32()), ("n", pa.int64())])
@@ -221,16 +223,17 @@ class Counts:
 
     def full(self) -> bool:
         if self.size > 2 * HELD:
-            self.held = {m: [_summed(*map(np.concatenate, zip(*rows)))] for m, rows in self.held.items()}
+            for m in list(self.held):
+                self.held[m] = [_summed(*map(np.concatenate, zip(*self.held.pop(m))))]
             self.size = sum(len(rows[0][0]) for rows in self.held.values())
         return self.size > HELD
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        for m, rows in self.held.items():
-            k1, k2, n = _summed(*map(np.concatenate, zip(*rows)))
+        for m in list(self.held):
+            k1, k2, n = _summed(*map(np.concatenate, zip(*self.held.pop(m))))
             columns = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.full(len(n), m, np.int32)), pa.array(n)]
             yield from pa.Table.from_arrays(columns, schema=COUNTED).to_batches(max_chunksize=1 << 16)
-        self.held, self.size = {}, 0
+        self.size = 0
 
 
 def _count(batches: Iterator[pa.RecordBatch], told, before, lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
@@ -282,15 +285,22 @@ def _sampled(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(tile.langs), pa.array(out, pa.binary()).cast(pa.string())], names=["lang", "text"])
 
 
-def _name(batches: Iterator[pa.RecordBatch], told) -> Iterator[pa.RecordBatch]:
-    """k1, k2, lang and phrase of phrases of two words or more whose keys are told, once for each (or again, where a task meets very many)."""
-    told, seen = told.value, set()
+def _naming(told, wanted, one_in: int):
+    return lambda batches: _name(batches, told, wanted, one_in)
+
+
+def _name(batches: Iterator[pa.RecordBatch], told, wanted, one_in: int) -> Iterator[pa.RecordBatch]:
+    """k1, k2, lang and phrase of phrases of two words or more that are wanted, from one in so many occurrences; a phrase is a row a task, or more where a task meets very many."""
+    told, wanted, seen = told.value, wanted.value, set()
     for tile in _tiles(batches):
         rows = []
         for m, places, keys in _levels(tile, told[:-1]):
             if m == 1:
                 continue
-            good = np.flatnonzero(_has(told[m - 1], keys[0]))
+            good = _has(wanted[m - 1], keys[0])
+            if one_in > 1:
+                good &= _mix(keys[0] ^ places.astype(np.uint64)) % np.uint64(one_in) == 0
+            good = np.flatnonzero(good)
             _, firsts = np.unique(keys[0][good], return_index=True)
             for k in good[firsts].tolist():
                 key = keys[0][k].item(), keys[1][k].item()
@@ -304,6 +314,24 @@ def _name(batches: Iterator[pa.RecordBatch], told) -> Iterator[pa.RecordBatch]:
             seen = set()
 
 
+def named(texts: DataFrame, frequent: DataFrame, told: list[np.ndarray]) -> DataFrame:
+    """k1, k2, m, a, lang, phrase of all frequent phrases of two words or more, staged.
+
+    Most are named by a few of their occurrences; a second pass looks at all occurrences of those that are left.
+    """
+    phrases = frequent.filter("m > 1").select("k1", "k2", "m", F.col("n").alias("a"))
+    bits, share = (len(told[0]) * 8).bit_length() - 1, texts.sparkSession.sparkContext.broadcast
+    known, out, left = share(told), [], phrases
+    for one_in in (NAMED_BY, 1):
+        wanted = share([bitmap(left.filter(F.col("m") == m), bits) for m in range(1, LONGEST + 1)])
+        names = texts.mapInArrow(_naming(known, wanted, one_in), "k1 long, k2 long, lang string, phrase string").distinct()
+        out.append(stage(left.join(names, ["k1", "k2"]), "named"))
+        left = stage(left.join(out[-1].select("k1", "k2"), ["k1", "k2"], "left_anti"), "unnamed")
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.union, out)
+
+
 CUTS_SQL = "k1 long, k2 long, s1 long, s2 long, m int, a long, k int, l1 long, l2 long, r1 long, r2 long"
 
 
@@ -331,9 +359,9 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_phrases(docs: DataFrame, least: int = 100, share: float = SAMPLE_SHARE, lowered: float = LOWERED, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, list[np.ndarray], int]:
     """All phrases of 1 to LONGEST words with at least ``least`` occurrences (k1, k2, m, n; m = 0: a language's words), bitmaps of them by length, and the number of full passes."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    texts = named.select("lang", "text")
-    sample = stage(named.mapInArrow(lambda it: _sampled(it, share), "lang string, text string"), "sample")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    texts = rows.select("lang", "text")
+    sample = stage(rows.mapInArrow(lambda it: _sampled(it, share), "lang string, text string"), "sample")
     lowest = max(1, int(least * share * lowered))
     proposed, told, bits = [], [], 16
     for m in range(1, LONGEST):
@@ -355,14 +383,9 @@ def frequent_phrases(docs: DataFrame, least: int = 100, share: float = SAMPLE_SH
 
 def collocations(docs: DataFrame, least: int = 100, best: int = 2000, **mining) -> DataFrame:
     """Each language's ``best`` phrases: lang, rank, phrase, a, l, r, n, score."""
-    spark = docs.sparkSession
     frequent, told, _ = frequent_phrases(docs, least, **mining)
-    shared = spark.sparkContext.broadcast(told)
-    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    names = texts.mapInArrow(lambda it: _name(it, shared), "k1 long, k2 long, lang string, phrase string").distinct()
-    phrases = frequent.filter("m > 1").select("k1", "k2", "m", F.col("n").alias("a"))
-    named = stage(phrases.join(names, ["k1", "k2"]), "named")
-    cuts = named.mapInArrow(_cuts, CUTS_SQL)
+    phrases = named(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), frequent, told)
+    cuts = phrases.mapInArrow(_cuts, CUTS_SQL)
     left = frequent.filter("m > 0").select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("n").alias("l"))
     right = left.toDF("r1", "r2", "r")
     totals = frequent.filter("m = 0").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "n")
@@ -372,7 +395,7 @@ def collocations(docs: DataFrame, least: int = 100, best: int = 2000, **mining)
     lowest = whole.groupBy("k1", "k2").agg(F.min(F.struct(F.expr(exact).alias("score"), "k", "l", "r", "n")).alias("cut"))
     inside = whole.filter("k = m - 1 AND l <= a").select(F.col("l1").alias("k1"), F.col("l2").alias("k2"))
     inside = inside.union(whole.filter("k = 1 AND r <= a").select("r1", "r2")).distinct()
-    kept = named.join(lowest, ["k1", "k2"]).join(inside, ["k1", "k2"], "left_anti").select("lang", "phrase", "a", "cut.l", "cut.r", "cut.n", "cut.score", F.pmod("k1", F.lit(64)).alias("salt"))
+    kept = phrases.join(lowest, ["k1", "k2"]).join(inside, ["k1", "k2"], "left_anti").select("lang", "phrase", "a", "cut.l", "cut.r", "cut.n", "cut.score", F.pmod("k1", F.lit(64)).alias("salt"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     first = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= best)
     last = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= best)

@@ -51,8 +51,8 @@ BLOCK = pa.schema(
     ]
 )
 BLOCK_SQL = "shard int, block int, start_in_shard long, n_ids long, keys binary, no_id int, bounds binary, width int, payload binary"
-BUCKET = pa.schema([("bucket", pa.int64()), ("level_bits", pa.list_(pa.int64())), ("levels", pa.binary()), ("fingerprints", pa.binary()), ("places", pa.binary())])
-BUCKET_SQL = "bucket long, level_bits array<long>, levels binary, fingerprints binary, places binary"
+BUCKET = pa.schema([("bucket", pa.int64()), ("level_bits", pa.list_(pa.int64())), ("levels", pa.binary()), ("fingerprints", pa.binary()), ("places", pa.binary()), ("copies", pa.int32())])
+BUCKET_SQL = "bucket long, level_bits array<long>, levels binary, fingerprints binary, places binary, copies int"
 #: The odd constants of a 64-bit mixing function.
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -72,6 +72,25 @@ def key_hashes(ids: np.ndarray, repeats: np.ndarray, no_id: int = 0) -> np.ndarr
     return h
 
 
+def told_apart(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, int]:
+    """Keys of one bucket with equal ones told apart: of documents that share a key the first by place keeps it, the others get keys of their own.
+
+    Also the most documents of a key. Different doc_ids never share a key unless one of them repeats or is missing.
+    """
+    order = np.lexsort((*places.T[::-1], keys))
+    same = np.append(False, keys[order][1:] == keys[order][:-1])
+    if not same.any():
+        return keys, 1
+    begins = np.flatnonzero(~same)
+    copy = np.empty(len(keys), np.int64)
+    copy[order] = np.arange(len(keys)) - np.repeat(begins, np.diff(np.append(begins, len(keys))))
+    return copy_key(keys, copy), int(copy.max()) + 1
+
+
+def copy_key(keys: np.ndarray, copy: np.ndarray) -> np.ndarray:
+    return np.where(copy == 0, keys, _mix(keys ^ _mix(copy.astype(np.uint64), 6), 7))
+
+
 class PerfectHash:
     """A minimal perfect hash over distinct 64-bit keys."""
 
@@ -176,11 +195,12 @@ def _key_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
 
 
 def _bucket(number: int, keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    keys, copies = told_apart(keys, places)
     mph = PerfectHash.build(keys)
     slot = mph.slots(keys)
     prints, table = np.zeros(len(keys), "<u4"), np.zeros((len(keys), 4), "<i8")
     prints[slot], table[slot] = _fingerprint(keys), places
-    row = number, mph.level_bits, np.packbits(mph.bits).tobytes(), prints.tobytes(), table.tobytes()
+    row = number, mph.level_bits, np.packbits(mph.bits).tobytes(), prints.tobytes(), table.tobytes(), copies
     return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, BUCKET)], schema=BUCKET)
 
 
@@ -255,12 +275,12 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(b.num_rows):
             row = {n: b.column(n)[k].as_py() for n in ("doc_id", "hash", *BUCKET.names[1:])}
-            asked = np.array(row["hash"], np.int64).view(np.uint64)
-            slot, prints, places = _probe(row, asked)
-            hit = (slot >= 0) & (prints[slot] == _fingerprint(asked))
-            places = places[slot[hit]]
-            doc_ids = np.array(row["doc_id"], np.int64)[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (doc_ids, *places.T)], names=["doc_id", "shard", "block", "begin", "end"])
+            for copy in range(row["copies"]):
+                asked = copy_key(np.array(row["hash"], np.int64).view(np.uint64), np.full(len(row["hash"]), copy))
+                slot, prints, table = _probe(row, asked)
+                hit = (slot >= 0) & (prints[slot] == _fingerprint(asked))
+                doc_ids = np.array(row["doc_id"], np.int64)[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (doc_ids, *table[slot[hit]].T)], names=["doc_id", "shard", "block", "begin", "end"])
 
 
 def _hashed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -270,7 +290,10 @@ def _hashed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
 
 
 def find(store: Store, keys: DataFrame) -> DataFrame:
-    """Where the documents in ``keys`` (column doc_id; null is no key) lie: doc_id, shard, block, begin, end. Unknown keys give no row."""
+    """Where the documents in ``keys`` (column doc_id; null is no key) may lie: doc_id, shard, block, begin, end.
+
+    Unknown keys give no row, but for one in 2**32; a key that another document shares gives a row for each: :func:`lookup` holds places against the blocks' doc_ids.
+    """
     buckets = store.buckets
     asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().mapInArrow(lambda it: _hashed(it, buckets), "doc_id long, hash long, bucket long")
     lists = asked.groupBy("bucket").agg(F.collect_list("doc_id").alias("doc_id"), F.collect_list("hash").alias("hash"))
@@ -280,7 +303,8 @@ def find(store: Store, keys: DataFrame) -> DataFrame:
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(b.num_rows):
-            places = b.column("places")[k].as_py()
+            stored = {(int(x), int(y)): (int(i), j >= b.column("no_id")[k].as_py()) for j, ((i, _), (x, y)) in enumerate(zip(np.frombuffer(b.column("keys")[k].as_py(), "<i8").reshape(-1, 2), np.frombuffer(b.column("bounds")[k].as_py(), "<i8").reshape(-1, 2)))}
+            places = [p for p in b.column("places")[k].as_py() if stored.get((p["begin"], p["end"])) == (p["doc_id"], True)]
             payload = np.frombuffer(b.column("payload")[k].as_py(), f"<u{b.column('width')[k].as_py()}")
             ids = [payload[p["begin"] : p["end"]].astype(np.int64) for p in places]
             yield pa.RecordBatch.from_arrays([pa.array([p["doc_id"] for p in places], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
@@ -289,7 +313,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lookup(store: Store, keys: DataFrame) -> DataFrame:
     """The ids of the documents in ``keys`` (column doc_id): doc_id, ids. Of rows that repeat a doc_id the first is found."""
     places = find(store, keys).groupBy("shard", "block").agg(F.collect_list(F.struct("doc_id", "begin", "end")).alias("places"))
-    return places.join(store.blocks, ["shard", "block"]).select("places", "width", "payload").mapInArrow(_slices, "doc_id long, ids array<long>")
+    return places.join(store.blocks, ["shard", "block"]).select("places", "keys", "no_id", "bounds", "width", "payload").mapInArrow(_slices, "doc_id long, ids array<long>")
 
 
 ROW = ("hash", "doc_id", "block_start", "ids_crc32", "shard", "block", "begin", "end")
@@ -326,8 +350,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs = b.column("docs")[k].values
             read = {n: docs.field(n) for n in ROW}
             keys = read["hash"].to_numpy(zero_copy_only=False).view(np.uint64)
-            slot, prints, places = _probe(row, keys)
             want = np.stack([read[n].to_numpy(zero_copy_only=False) for n in ROW[4:]], axis=1)
+            keys, _ = told_apart(keys, want)
+            slot, prints, places = _probe(row, keys)
             if (prints[slot] != _fingerprint(keys)).any() or (places[slot] != want).any():
                 raise ValueError("the index and the blocks of the store differ")
             begin, end = places[slot, 2], places[slot, 3]

@@ -552,6 +552,36 @@ def test_store_of_one_repeated_id(spark):
     assert [(r.doc_id, r.ids) for r in found] == [(9, ids_of("nine").tolist())]
 
 
+def test_token_store_with_equal_keys(spark, monkeypatch):
+    """Forced, within this process: only two bits of every key are left, so most documents share theirs with others."""
+    rows = [(k, f"text {k} " * (k % 4)) for k in range(40)] + [(7, "again"), (7, "and again"), (None, "no id"), (None, None)]
+    docs = docs_of(spark, rows).coalesce(1)
+    plain = sorted(map(tuple, token_store.read_digests(token_store.write_store(docs, block_ids=20)).collect()), key=repr)
+    blocks = token_store.write_blocks(docs, block_ids=20)
+    table = blocks.join(token_store.shard_starts(blocks), "shard").toArrow()
+    once = token_store.key_hashes
+    monkeypatch.setattr(token_store, "key_hashes", lambda *a: once(*a) & np.uint64(3))
+    named = table.select(["shard", "block", "keys", "no_id", "bounds", "first_doc", "first_repeat"])
+    keys = pa.Table.from_batches(token_store._key_rows(named.to_batches(), 1))
+    (index,) = token_store._buckets(keys.to_batches())
+    assert index.column("copies")[0].as_py() > 5
+    read = pa.Table.from_batches(token_store._read(table.to_batches(), 1)).drop_columns(["bucket"]).to_pylist()
+    beside = pa.array([read], pa.list_(pa.struct([(n, pa.int64()) for n in token_store.ROW])))
+    joined = pa.RecordBatch.from_arrays([beside, *index.columns[1:]], names=["docs", *index.schema.names[1:]])
+    got = pa.Table.from_batches(token_store._digests(iter([joined]))).to_pylist()
+    assert sorted((tuple(r.values()) for r in got), key=repr) == plain
+    wanted = [3, 39, 100]
+    asked = pa.RecordBatch.from_arrays([pa.array([wanted]), pa.array([token_store.key_hashes(np.array(wanted), np.zeros(3, np.int64)).view(np.int64).tolist()]), *index.columns[1:]], names=["doc_id", "hash", *index.schema.names[1:]])
+    places = pa.Table.from_batches(token_store._find(iter([asked]))).to_pylist()
+    by_block = {(r["shard"], r["block"]): r for r in table.to_pylist()}
+    found = {}
+    for p in places:
+        r = by_block[p["shard"], p["block"]]
+        row = pa.RecordBatch.from_pylist([{"places": [p], **{c: r[c] for c in ("keys", "no_id", "bounds", "width", "payload")}}])
+        found.update({x["doc_id"]: x["ids"] for x in pa.Table.from_batches(token_store._slices(iter([row]))).to_pylist()})
+    assert found == {3: ids_of("text 3 " * 3).tolist(), 39: ids_of("text 39 " * 3).tolist()}
+
+
 def test_perfect_hash_is_minimal():
     keys = token_store.key_hashes(np.arange(5000), np.zeros(5000, np.int64))
     slots = token_store.PerfectHash.build(keys).slots(keys)
