@@ -34,17 +34,20 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 #: Tags that hold article text, and tags that never do.
 MAIN_TAGS = frozenset(["article", "main"])
 SIDE_TAGS = frozenset("nav footer aside form menu dialog header".split())
-#: Words in class, id or role that name a region of a page.
-SIDE_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|sidebar|side|aside|cookies?|consent|notice|"
-    r"popup|modal|newsletter|subscribe|share|social|related|comments?|reply|replies|respond|disqus|login|signup|search|toolbar|widget|copyright)(?:[^a-z]|$)"
+#: Words in class, id or role that name a side region, words that may stand beside them, and words of an article, which may stand beside some.
+SIDE_WORD = re.compile(
+    r"ads?|advert\w*|adsense|adsbygoogle|banners?|sponsor\w*|promo\w{0,6}|nav\w*|menus?|breadcrumbs?|footers?|headers?|masthead|sidebars?|side|aside|complementary|cookies?|consent|gdpr|notices?|"
+    r"popups?|modal|newsletters?|subscribe|subscription|share|sharing|social|related\w{0,6}|recommend\w{0,6}|comments?(?:list|form|area|box)?|reply|replies|respond|disqus|discussions?|login|signup|search|toolbars?|widgets?|copyright"
 )
-MAIN_WORDS = re.compile(r"(?:^|[^a-z])(?:article|content|main|post|entry|story|body)(?:[^a-z]|$)")
+BESIDE = re.compile(
+    r"\d+(?:x\d+)?|list|box|links?|buttons?|btn|items?|posts?|block|section|container|wrap(?:per)?|bar|area|form|slot|unit|icons?|inner|outer|page|site|top|bottom|left|right|main|primary|secondary|global|local|"
+    r"holder|panel|region|group|module|component|thread|stories|articles|tags?|google|fixed|sticky|mobile|desktop|js|id|col|row|small|large|text|title|heading|body"
+)
+MAIN_WORD = re.compile(r"article|content|main|post|entry|story|body")
+BESIDE_MAIN = re.compile(r"headers?|sidebars?|side")
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*(?:[\s/]+|=|[^\s/>=]+(?:\s*=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)?)*+(?:>|\Z)", re.S)
-#: Words that say what a block has ("has-sidebar", "page-with-header"), the header of an article, and names of regions whose articles are no main text.
-HAS_WORDS = re.compile(r"(?:^|[^a-z])(?:has|with|without|no)(?:[^a-z]|$)")
-OWN_HEADER = re.compile(r"(?:^|[^a-z])(?:article|entry|post|story)[-_]+header(?:[^a-z]|$)")
-CLOSED_WORDS = re.compile(r"(?:^|[^a-z])(?:comments?|reply|replies|respond|disqus|related|popup|modal|cookies?|consent)(?:[^a-z]|$)")
+#: Names of regions whose articles are no main text.
+CLOSED_WORD = re.compile(r"comments?\w*|reply|replies|respond|disqus|discussions?|related\w*|popups?|modal|cookies?|consent")
 #: An end tag may be left out; a new tag of the second set closes an open one of the first, up to a tag of the third.
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -57,58 +60,205 @@ IMPLIED = {
 #: What an implied end never crosses, and block tags that leave an open p open.
 SCOPE = frozenset("article main section body html table".split())
 IN_P = frozenset("body head html title legend option select".split())
-#: Silent tags that a missing end tag does not carry over an article.
-BROKEN_BY_MAIN = frozenset("svg math object canvas select button".split())
+#: Silent tags that may hold their like; of the others a second one shows that the first has no end tag.
+NESTED_TAGS = frozenset("svg math object canvas".split())
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+(?:x\d+)?")
+SILENT = re.compile(rf"<(/?)({'|'.join(sorted(SILENT_TAGS))})(?=[\s/>])", re.I)
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
-#: The labelled table. words, link density, words and link density before, words and link density after, region (1 article, 0 none, -1 side) | label.
+#: The labelled table: blocks of three of the given pages, of the same without their article tag, and of pages written by hand.
+#: words, link density, words and link density before, words and link density after, region (1 article, 0 unknown, -1 side) | label.
 LABELLED = """
-8 0.0 1 1.0 9 0.0 1 | 1
-9 0.0 8 0.0 60 0.0 1 | 1
-60 0.0 9 0.0 45 0.0 1 | 1
-45 0.0 60 0.0 1 0.0 1 | 1
-1 0.0 45 0.0 80 0.0 1 | 1
-80 0.0 1 0.0 3 0.0 1 | 1
-3 0.0 80 0.0 7 0.0 1 | 1
-120 0.05 50 0.0 30 0.1 1 | 1
-30 0.1 120 0.05 2 0.0 1 | 1
-2 0.0 30 0.1 12 0.0 1 | 1
-25 0.4 40 0.0 35 0.0 1 | 1
-4 1.0 40 0.0 35 0.0 1 | 1
-15 0.0 7 0.0 0 0.0 1 | 1
-6 0.0 0 0.0 0 0.0 1 | 1
-1 1.0 0 0.0 1 1.0 -1 | 0
-1 1.0 1 1.0 1 1.0 -1 | 0
-1 1.0 1 1.0 12 0.0 -1 | 0
-12 0.0 1 1.0 8 0.0 -1 | 0
-9 0.0 1 1.0 8 0.0 -1 | 0
-14 0.0 70 0.0 0 0.0 -1 | 0
-40 0.0 70 0.0 0 0.0 -1 | 0
-60 0.0 45 0.0 50 0.0 -1 | 0
-50 0.0 60 0.0 9 0.0 -1 | 0
-5 0.6 3 1.0 4 1.0 -1 | 0
-20 0.3 4 1.0 30 0.0 -1 | 0
-30 0.0 20 0.3 2 1.0 -1 | 0
-70 0.0 65 0.0 90 0.0 0 | 1
-65 0.02 90 0.0 70 0.0 0 | 1
-90 0.0 12 0.0 65 0.0 0 | 1
-40 0.0 55 0.0 30 0.0 0 | 1
-28 0.05 40 0.0 33 0.0 0 | 1
-18 0.0 60 0.0 75 0.0 0 | 1
-7 0.0 50 0.0 85 0.0 0 | 1
-22 0.0 2 1.0 45 0.0 0 | 1
-35 0.0 3 1.0 2 1.0 0 | 1
-16 0.0 0 0.0 0 0.0 0 | 1
-3 1.0 2 1.0 4 1.0 0 | 0
-2 1.0 3 1.0 50 0.0 0 | 0
-6 0.9 5 1.0 7 0.8 0 | 0
-10 0.7 50 0.0 4 1.0 0 | 0
-24 0.8 10 0.9 12 0.9 0 | 0
-4 0.0 1 1.0 2 1.0 0 | 0
-5 0.0 2 1.0 3 1.0 0 | 0
-8 0.5 3 1.0 3 1.0 0 | 0
-3 0.0 3 1.0 0 0.0 0 | 0
+1 1 0 0 1 1 -1 | 0
+1 1 1 1 1 1 -1 | 0
+1 1 1 1 8 0 -1 | 0
+8 0 1 1 10 0 -1 | 0
+10 0 8 0 51 0 1 | 1
+51 0 10 0 8 0 1 | 1
+8 0 51 0 11 0 1 | 1
+11 0 8 0 36 0 1 | 1
+36 0 11 0 32 0 1 | 1
+32 0 36 0 52 0 1 | 1
+52 0 32 0 25 0 1 | 1
+25 0 52 0 11 0 1 | 1
+11 0 25 0 0 0 -1 | 0
+10 0 8 0 51 0 0 | 1
+51 0 10 0 8 0 0 | 1
+8 0 51 0 11 0 0 | 1
+11 0 8 0 36 0 0 | 1
+36 0 11 0 32 0 0 | 1
+32 0 36 0 52 0 0 | 1
+52 0 32 0 25 0 0 | 1
+25 0 52 0 11 0 0 | 1
+8 0 1 1 9 0 -1 | 0
+9 0 8 0 12 0 1 | 1
+12 0 9 0 9 0 1 | 1
+9 0 12 0 39 0 1 | 1
+39 0 9 0 8 0 1 | 1
+8 0 39 0 20 0 1 | 1
+20 0 8 0 8 0 1 | 1
+8 0 20 0 8 0 1 | 1
+8 0 8 0 0 0 -1 | 0
+9 0 8 0 12 0 0 | 1
+12 0 9 0 9 0 0 | 1
+9 0 12 0 39 0 0 | 1
+39 0 9 0 8 0 0 | 1
+8 0 39 0 20 0 0 | 1
+20 0 8 0 8 0 0 | 1
+8 0 20 0 8 0 0 | 1
+1 1 1 1 5 0 -1 | 0
+5 0 1 1 2 0 -1 | 0
+2 0 5 0 2 0 1 | 1
+2 0 2 0 11 0 1 | 1
+11 0 2 0 0 0 -1 | 0
+2 0 5 0 2 0 0 | 1
+2 0 2 0 11 0 0 | 1
+1 1 1 1 2 1 -1 | 0
+2 1 1 1 6 0 -1 | 0
+6 0 2 1 2 1 1 | 1
+2 1 6 0 1 0 1 | 1
+1 0 2 1 21 0 1 | 1
+21 0 1 0 12 1 1 | 1
+12 1 21 0 25 0 1 | 1
+25 0 12 1 2 1 1 | 1
+2 1 25 0 1 1 1 | 1
+1 1 2 1 3 1 1 | 1
+3 1 1 1 2 0 1 | 1
+2 0 3 1 48 0.19 1 | 1
+48 0.19 2 0 9 0.44 1 | 1
+9 0.44 48 0.19 3 0 1 | 1
+3 0 9 0.44 5 1 -1 | 0
+5 1 3 0 6 1 -1 | 0
+6 1 5 1 9 0.11 -1 | 0
+9 0.11 6 1 0 0 -1 | 0
+1 1 0 0 1 1 0 | 0
+1 1 1 1 1 1 0 | 0
+1 1 1 1 2 1 0 | 0
+2 1 1 1 7 0 0 | 0
+7 0 2 1 65 0 0 | 1
+65 0 7 0 40 0.05 0 | 1
+40 0.05 65 0 18 0 0 | 1
+18 0 40 0.05 90 0 0 | 1
+90 0 18 0 33 0 0 | 1
+33 0 90 0 28 0.07 0 | 1
+28 0.07 33 0 70 0 0 | 1
+70 0 28 0.07 6 1 0 | 1
+6 1 70 0 7 1 0 | 0
+7 1 6 1 5 1 0 | 0
+5 1 7 1 4 0.75 0 | 0
+4 0.75 5 1 3 0 0 | 0
+3 0 4 0.75 0 0 0 | 0
+3 0.67 0 0 2 1 0 | 0
+2 1 3 0.67 3 1 0 | 0
+3 1 2 1 5 0 0 | 0
+5 0 3 1 22 0 0 | 1
+22 0 5 0 45 0 0 | 1
+45 0 22 0 16 0 0 | 1
+16 0 45 0 35 0 0 | 1
+35 0 16 0 10 0.7 0 | 1
+10 0.7 35 0 24 0.79 0 | 0
+24 0.79 10 0.7 12 1 0 | 0
+12 1 24 0.79 3 1 0 | 0
+3 1 12 1 5 0 0 | 0
+5 0 3 1 0 0 0 | 0
+30 0.07 0 0 6 0 -1 | 0
+6 0 30 0.07 2 1 -1 | 0
+2 1 6 0 3 1 -1 | 0
+3 1 2 1 3 1 -1 | 0
+3 1 3 1 14 0 -1 | 0
+14 0 3 1 3 1 1 | 1
+3 1 14 0 40 0 1 | 1
+40 0 3 1 60 0.02 -1 | 0
+60 0.02 40 0 12 0 -1 | 0
+12 0 60 0.02 2 1 -1 | 0
+2 1 12 0 2 1 -1 | 0
+2 1 2 1 1 1 -1 | 0
+1 1 2 1 14 0 -1 | 0
+14 0 1 1 0 0 -1 | 0
+1 0 0 0 30 0 1 | 1
+30 0 1 0 0 0 1 | 1
+2 0 0 0 2 1 1 | 1
+2 1 2 0 1 1 1 | 1
+1 1 2 1 1 1 1 | 1
+1 1 1 1 2 0 1 | 1
+2 0 1 1 0 0 1 | 1
+12 1 0 0 0 0 1 | 1
+60 0 0 0 4 1 1 | 1
+4 1 60 0 0 0 1 | 1
+21 0 0 0 2 1 1 | 1
+2 1 21 0 25 0 1 | 1
+25 0 2 1 0 0 1 | 1
+1 1 0 0 2 1 0 | 0
+2 1 1 1 1 1 0 | 0
+1 1 2 1 3 1 0 | 0
+3 1 1 1 2 1 0 | 0
+2 1 3 1 4 1 0 | 0
+4 1 2 1 5 0 0 | 0
+5 0 4 1 6 1 0 | 0
+6 1 5 0 5 1 0 | 0
+5 1 6 1 7 1 0 | 0
+7 1 5 1 8 1 0 | 0
+8 1 7 1 6 1 0 | 0
+6 1 8 1 9 0.33 0 | 0
+9 0.33 6 1 11 0.73 0 | 0
+11 0.73 9 0.33 9 1 0 | 0
+9 1 11 0.73 12 1 0 | 0
+12 1 9 1 10 1 0 | 0
+10 1 12 1 2 0 0 | 0
+2 0 10 1 0 0 0 | 0
+4 0 0 0 3 1 0 | 0
+3 1 4 0 2 1 0 | 0
+2 1 3 1 6 0.67 0 | 0
+6 0.67 2 1 7 0.14 0 | 0
+7 0.14 6 0.67 2 1 0 | 0
+2 1 7 0.14 2 1 0 | 0
+2 1 2 1 2 1 0 | 0
+2 1 2 1 13 0.69 0 | 0
+13 0.69 2 1 3 0.33 0 | 0
+3 0.33 13 0.69 8 0.75 0 | 0
+8 0.75 3 0.33 0 0 0 | 0
+1 1 1 1 6 0 0 | 0
+6 0 1 1 4 1 0 | 0
+4 1 6 0 3 1 0 | 0
+3 1 4 1 4 0 0 | 0
+4 0 3 1 60 0 0 | 1
+60 0 4 0 70 0 0 | 1
+70 0 60 0 5 1 0 | 1
+5 1 70 0 5 1 0 | 0
+5 1 5 1 7 0.71 0 | 0
+7 0.71 5 1 0 0 0 | 0
+60 0 0 0 70 0 0 | 1
+70 0 60 0 0 0 0 | 1
+50 0 0 0 0 0 0 | 1
+16 0 0 0 0 0 0 | 1
+25 0 0 0 33 0 0 | 1
+33 0 25 0 19 0 0 | 1
+19 0 33 0 0 0 0 | 1
+2 1 1 1 80 0 0 | 0
+80 0 2 1 45 0 0 | 1
+45 0 80 0 30 0 0 | 1
+30 0 45 0 0 0 0 | 1
+35 0 0 0 55 0 0 | 1
+55 0 35 0 4 0 0 | 1
+4 0 55 0 0 0 0 | 0
+2 1 0 0 2 1 0 | 0
+2 1 2 1 1 1 0 | 0
+1 1 2 1 6 0 0 | 0
+6 0 1 1 42 0 0 | 1
+42 0 6 0 27 0 0 | 1
+27 0 42 0 3 0.67 0 | 1
+3 0.67 27 0 0 0 0 | 0
+1 1 1 1 90 0 0 | 0
+90 0 1 1 17 0 0 | 1
+17 0 90 0 3 1 0 | 1
+3 1 17 0 2 1 0 | 0
+2 1 3 1 0 0 0 | 0
+38 0 0 0 20 0.15 0 | 1
+20 0.15 38 0 2 1 0 | 1
+2 1 20 0.15 2 1 0 | 0
+2 1 2 1 4 0.25 0 | 0
+4 0.25 2 1 0 0 0 | 0
 """
 
 
@@ -149,32 +299,65 @@ def train_tree(table: str = LABELLED) -> Tree:
     return Tree(np.array([[float(x) for x in a.split()] for a, _ in pairs]), np.array([int(b) for _, b in pairs]))
 
 
+#: Regions: of an article's own tag, of its name, none, and side regions: one that an article or its name can end (a form), one that only an article's tag can, one that nothing ends.
+TAGGED, NAMED, NOWHERE, FORM, SIDE, CLOSED = 2, 1, 0, -1, -2, -3
+
+
+def _side_words(name: str) -> list[str]:
+    """The side words of a class, id or role, if it has nothing but them and words that go with them."""
+    words = [w.lower() for w in NAME_WORD.findall(name)]
+    side = [w for w in words if SIDE_WORD.fullmatch(w)]
+    rest = [w for w in words if not SIDE_WORD.fullmatch(w) and not BESIDE.fullmatch(w)]
+    if any(not MAIN_WORD.fullmatch(w) for w in rest) or any(MAIN_WORD.fullmatch(w) for w in words) and any(BESIDE_MAIN.fullmatch(w) for w in side):
+        return []
+    return side
+
+
 def _region(name: str, tag: str, above: int) -> int:
-    """1 in an article, 0 nowhere, -1 in a side region that an article inside can end (a form, or by its name), -2 in one that it can't."""
-    if above == -2:
+    if above == CLOSED:
         return above
-    named = " ".join(a.strip("\"'") for a in ATTRIBUTE.findall(tag)).lower().split() if "=" in tag else []
+    named = " ".join(a.strip("\"'") for a in ATTRIBUTE.findall(tag)).split() if "=" in tag else []
+    side = [w for x in named for w in _side_words(x)]
+    closed = any(CLOSED_WORD.fullmatch(w) for w in side)
+    if name in MAIN_TAGS:
+        return CLOSED if closed and name == "article" else TAGGED
     if name in SIDE_TAGS:
         # a header inside an article holds its title
-        return above if name == "header" and above > 0 else min(above, -1) if name == "form" else -2
+        return above if name == "header" and above > 0 else min(above, FORM) if name == "form" else CLOSED
     if name in ("body", "html"):
         return above
-    side = [w for w in named if SIDE_WORDS.search(w) and not HAS_WORDS.search(w) and not OWN_HEADER.search(w)]
-    if side and name != "main":
-        return -2 if any(CLOSED_WORDS.search(w) for w in side) else -1
-    if name in MAIN_TAGS or any(MAIN_WORDS.search(w) and not SIDE_WORDS.search(w) or OWN_HEADER.search(w) for w in named):
-        return 1
+    if side:
+        return CLOSED if closed else min(above, SIDE)
+    if NOWHERE >= above > SIDE and any(MAIN_WORD.fullmatch(w.lower()) for x in named for w in NAME_WORD.findall(x)):
+        return NAMED
     return above
 
 
+def _unclosed(page: str) -> set[int]:
+    """Where silent tags begin that have no end tag of their own."""
+    open_: dict[str, list[int]] = {}
+    out: set[int] = set()
+    for m in SILENT.finditer(page):
+        name = m.group(2).lower()
+        stack = open_.setdefault(name, [])
+        if m.group(1):
+            if stack:
+                stack.pop()
+        else:
+            if stack and name not in NESTED_TAGS:
+                out.add(stack.pop())
+            stack.append(m.start())
+    return out.union(*open_.values())
+
+
 def blocks(page: str) -> list[tuple[str, int, float, int]]:
-    """The text blocks of a page: text, words, link density, region."""
+    """The text blocks of a page: text, words, link density, region (1 in the article, 0 unknown, -1 beside it)."""
     out: list[tuple[str, int, float, int]] = []
     held: list[str] = []
     words = linked = in_link = 0
     open_tags: list[tuple[str, int]] = []
-    region, silent, at = 0, "", 0
-    inside: list[str] = []  # blocks opened in a silent tag
+    region, silent, depth, at = NOWHERE, "", 0, 0
+    unclosed = _unclosed(page)
 
     def text(part: str) -> None:
         nonlocal words, linked
@@ -188,7 +371,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
         nonlocal words, linked
         whole = " ".join("".join(held).split())
         if whole:
-            out.append((whole, words, linked / words if words else 0.0, max(region, -1)))
+            out.append((whole, words, linked / words if words else 0.0, region))
         held.clear()
         words = linked = 0
 
@@ -219,27 +402,16 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
             at = stop.end() if stop else len(page)
             continue
         if silent:
-            # a head without an end tag ends where the body begins
-            if (ends and name == silent) or (silent == "head" and name == "body"):
-                silent = ""
-                continue
-            if not ends and name in MAIN_TAGS and silent in BROKEN_BY_MAIN:
-                silent = ""
-            elif name not in BLOCK_TAGS or name in VOID_TAGS:
-                continue
-            elif not ends:
-                inside.append(name)
+            if name == silent and depth:
+                depth += -1 if ends else not tag.endswith("/>")
+                silent = silent if depth else ""
                 continue
-            elif name in inside:
-                del inside[len(inside) - 1 - inside[::-1].index(name) :]
-                continue
-            elif any(name == k for k, _ in open_tags):
-                silent = ""  # its end tag is missing: it ends with the block around it
-            else:
+            # one without an end tag of its own ends at the next block, or with the one around it; a head where the body begins
+            if depth or (name not in BLOCK_TAGS - {"option"} if silent != "head" else name != "body"):
                 continue
+            silent = ""
         if not ends and name in SILENT_TAGS and not tag.endswith("/>"):
-            silent = name
-            inside.clear()
+            silent, depth = name, 0 if m.start() in unclosed else 1
             continue
         if name == "br":
             held.append(" ")
@@ -267,7 +439,9 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
     if not silent and at < len(page):
         text(page[at:])
     close()
-    return out
+    # where an article is tagged, what lies outside of it is beside it
+    least = NAMED if any(b[3] == TAGGED for b in out) else NOWHERE
+    return [(t, n, d, 1 if r > 0 else 0 if r >= least else -1) for t, n, d, r in out]
 
 
 def main_text(page: str | None, tree: Tree) -> str:

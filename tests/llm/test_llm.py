@@ -355,6 +355,49 @@ def test_html_text_keeps_whole_articles(page, want):
     assert html_text.main_text(page, html_text.train_tree()) == want
 
 
+def words(n, c="w"):
+    return " ".join(f"{c}{k}" for k in range(n))
+
+
+PLAIN_ARTICLE = f"<h1>Head</h1><p>{words(30)}</p>"
+PLAIN_TEXT = f"Head\n\n{words(30)}"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><p>{words(21)}</p><p><a>{words(12, 'l')}</a></p><p>{words(25, 'z')}</p></article>", f"{words(21)}\n\n{words(12, 'l')}\n\n{words(25, 'z')}"),
+        (f"<article><h1>{words(3)}</h1><p><a>by line</a></p><p>{words(25, 'z')}</p></article>", f"{words(3)}\n\nby line\n\n{words(25, 'z')}"),
+        ("<article><p>a b</p><ul><li><a>x y</a></li><li><a>z</a></li><li><a>q</a></li></ul><p>c d</p></article>", "a b\n\nx y\n\nz\n\nq\n\nc d"),
+        *[(f"<{tag}>{PLAIN_ARTICLE}</article>", PLAIN_TEXT) for tag in ("article class='post comments-open'", "article class='entry-search'", "article id='reply-to-critics'", "article class='promo-video-review post'")],
+        (f"<div class='post share-your-story'>{PLAIN_ARTICLE}</div>", PLAIN_TEXT),
+        (f"<div class='comments-enabled'><article>{PLAIN_ARTICLE}</article></div>", PLAIN_TEXT),
+        (f"<article>{PLAIN_ARTICLE}<ul class='social-history'><li>one two</ul><section class='newsletter-history'><p>x y</section><section class='related-work'><p>r w</section></article>", PLAIN_TEXT + "\n\none two\n\nx y\n\nr w"),
+        (f"<article><button>Press{PLAIN_ARTICLE}</article>", PLAIN_TEXT),
+        (f"<article><button>Press{PLAIN_ARTICLE}</article><button>later</button>", PLAIN_TEXT),
+        (f"<article><select><option>a{PLAIN_ARTICLE}</article>", PLAIN_TEXT),
+        (f"<article>{PLAIN_ARTICLE}<svg><svg><text>junk</text></svg><text>junk</text></svg><p>end</article>", PLAIN_TEXT + "\n\nend"),
+        (f"<article>{PLAIN_ARTICLE}</article><div class='commentlist'><p>{words(40, 'c')}</p></div>", PLAIN_TEXT),
+        (f"<article>{PLAIN_ARTICLE}</article><section class='discussion'><article><p>{words(40, 'c')}</p></article></section>", PLAIN_TEXT),
+        (f"<article>{PLAIN_ARTICLE}</article><p>{words(60, 'c')}</p>", PLAIN_TEXT),
+        (f"<article class='comment'><p>{words(30, 'c')}</p></article><main>{PLAIN_ARTICLE}</main>", PLAIN_TEXT),
+        (f"<div class='content-sidebar-wrap'><div class='content'>{PLAIN_ARTICLE}</div><div class='sidebar'><div class='content'><p>{words(30, 's')}</p></div></div></div>", PLAIN_TEXT),
+        (f"<div class='siteHeader'>{words(20)}</div><div id='main-content'>{PLAIN_ARTICLE}</div><div class='page-footer'><p>{words(20, 'f')}</p></div>", PLAIN_TEXT),
+        (f"<p>{words(60)}</p><p>{words(70, 'b')}</p>", f"{words(60)}\n\n{words(70, 'b')}"),
+    ],
+)
+def test_html_text_of_named_regions_links_and_open_tags(page, want):
+    assert html_text.main_text(page, html_text.train_tree()) == want
+
+
+def test_tree_keeps_articles_whole_whatever_is_beside_a_block():
+    tree, rng = html_text.train_tree(), np.random.default_rng(0)
+    for _ in range(2000):
+        n, d = rng.integers(0, 100, 3), rng.random(3).round(1)
+        sides = (int(n[0]), d[0], int(n[1]), d[1], int(n[2]), d[2])
+        assert tree.says((*sides, 1)) and not tree.says((*sides, -1))
+
+
 def test_html_text_of_given_pages(spark):
     import html
 
