@@ -42,9 +42,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _with_ids_in(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``kept``; a null doc_id matches a null doc_id."""
-    ids = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """Rows of ``docs`` whose doc_id is in ``kept``, and all rows without doc_id, which take no part in the join."""
+    ids = stage(kept.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct(), "kept-ids")
+    return docs.join(ids, F.col("doc_id") == F.col("_kept_id"), "left_semi").union(docs.filter("doc_id IS NULL"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of near duplicates, and documents without doc_id, which link with nothing."""
     _in_small_batches(spark)
-    return _with_ids_in(docs, near_duplicates(docs).filter("kept OR doc_id IS NULL"))
+    return _with_ids_in(docs, near_duplicates(docs).filter("kept"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
