@@ -38,7 +38,7 @@ LOWERED = 0.4
 FILTER_BITS = 26
 TILE = 256 << 10
 #: Counted keys that a task holds before it sends them.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Phrases are named by one in so many of their occurrences first.
 NAMED_BY = 32
 #: Words of more bytes get their keys from a digest.
