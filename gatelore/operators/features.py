@@ -40,8 +40,16 @@ def masked(features: DataFrame, off: list[str] | None = None, on: list[str] | No
     return features.select(*KEY, *[(F.lit(0.0) if c in dark else F.col(c)).alias(c) for c in FEATURES])
 
 
+def scaled_columns(off: list[str] | None = None, on: list[str] | None = None, unscaled: list[str] | None = None, only: list[str] | None = None) -> list[str]:
+    """The columns that are scaled: those that can be and that the mask leaves on (``off`` and ``on`` as in :func:`masked`), without ``unscaled``, or those of ``only``."""
+    dark = set(FEATURES) - set(on) if on is not None else set(MASKED if off is None else off)
+    can = {"level", "in_type_cnt", "out_type_cnt", *DISTANCE_COLUMNS, *COUNT_COLUMNS, *TALLY_COLUMNS}
+    wanted = can - set(unscaled or ()) if only is None else can & set(only)
+    return [c for c in FEATURES if c in wanted and c not in dark]
+
+
 def scaled(features: DataFrame, columns: list[str], vectors: int = 1000) -> DataFrame:
-    """Scale the given columns within each design: counts by min-max, distances by their peak (-1 stays), the level by its largest, type counts by nine, tallies by the vectors applied."""
+    """Scale the given columns within each design: counts by min-max, distances by their peak (-1 stays), the level by its largest, type counts by nine, rises and falls by the steps between vectors, other tallies by the vectors applied."""
     design = Window.partitionBy("design_id")
 
     def by_family(c: str) -> Column:
@@ -58,7 +66,7 @@ def scaled(features: DataFrame, columns: list[str], vectors: int = 1000) -> Data
         if c in ("in_type_cnt", "out_type_cnt"):
             return x / 9.0
         if c in TALLY_COLUMNS:
-            return x / float(max(vectors, 1))
+            return x / float(max(vectors - (c in ("num_1to0", "num_0to1")), 1))
         return x
 
     return features.select(*KEY, *[(by_family(c) if c in columns else F.col(c)).alias(c) for c in features.columns if c not in KEY])

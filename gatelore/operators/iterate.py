@@ -6,11 +6,15 @@ round shuffles the frontier and its neighbours only; rounds grow with a circuit'
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelore.operators.edges import KEY, combinational
-from gatelore.sources.staging import staged
+from gatelore.sources.staging import Layers, staged
 
 
 def levels(gates: DataFrame, comb: DataFrame) -> DataFrame:
@@ -70,20 +74,20 @@ def _longest(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest distances over ``edges`` (design_id, way, src, dst, src_rank, dst_rank), each gate passing its distances on once.
 
     Ranks rise along every edge whose source passes on, so when a rank's turn comes all that can reach it has arrived.
-    What is pushed waits side by side by the rank it is for; a gate without rank receives and never sends.
+    Edges are laid out by the rank they leave, distances by the rank they are for: a round reads its own rank's rows alone,
+    so all rounds together read every edge and every distance once. A gate without rank receives and never sends.
     """
-    on = ["design_id", "gid", "family", "way"]
-    edges = staged(edges)
-    ranks = edges.select("design_id", "way", F.col("src").alias("gid"), F.col("src_rank").alias("rank")).distinct()
-    waiting = [staged(seeds.join(ranks, ["design_id", "way", "gid"], "left").select(*on, "dist", "rank"))]
-    last = edges.agg(F.max("src_rank")).first()[0]
+    spark, on = edges.sparkSession, ["design_id", "gid", "family", "way"]
+    laid, waiting = Layers(spark, "src_rank"), Layers(spark, "rank")
+    laid.add(edges.select("design_id", "way", "src", "dst", "src_rank", F.coalesce("dst_rank", F.lit(-1)).alias("rank")))
+    ranks = laid.all().select("design_id", "way", F.col("src").alias("gid"), F.col("src_rank").alias("rank")).distinct()
+    waiting.add(seeds.join(ranks, ["design_id", "way", "gid"], "left").select(*on, "dist", F.coalesce("rank", F.lit(-1)).alias("rank")))
+    last = laid.all().agg(F.max("src_rank")).first()[0]
     for rank in range(0, (-1 if last is None else last) + 1):
-        now = _together(waiting).filter(F.col("rank") == rank).groupBy(on).agg(F.max("dist").alias("dist"))
-        sent = now.withColumnRenamed("gid", "src").join(edges.filter(F.col("src_rank") == rank), ["design_id", "way", "src"])
-        waiting.append(staged(sent.groupBy("design_id", F.col("dst").alias("gid"), "family", "way", F.col("dst_rank").alias("rank")).agg((F.max("dist") + 1).alias("dist")).select(*on, "dist", "rank")))
-        if len(waiting) > SIDE_BY_SIDE:
-            waiting[:] = [staged(_together(waiting))]
-    return _together(waiting).groupBy(on).agg(F.max("dist").alias("dist"))
+        now = waiting.at(rank).groupBy(on).agg(F.max("dist").alias("dist"))
+        sent = now.withColumnRenamed("gid", "src").join(laid.at(rank), ["design_id", "way", "src"])
+        waiting.add(sent.groupBy("design_id", F.col("dst").alias("gid"), "family", "way", "rank").agg((F.max("dist") + 1).alias("dist")).select(*on, "dist", "rank"))
+    return waiting.all().groupBy(on).agg(F.max("dist").alias("dist"))
 
 
 #: For each family of seeds the way it is followed, its column name and the first distance of longest paths.
@@ -151,25 +155,92 @@ def context(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return _relax(start, both, hops=hops).select(*KEY, F.col("dist").alias("hop"))
 
 
-def component_roots(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """design_id, gid, root (smallest gid of its component): least labels of neighbours, then a jump to the label's label."""
-    both = staged(pairs.select("design_id", F.col("low").alias("gid"), F.col("high").alias("other")).union(pairs.select("design_id", "high", "low")))
-    labels = staged(nodes.select(*KEY, F.col("gid").alias("root")))
+def _spread(x: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit numbers that order nodes as if at random (the finaliser of splitmix64)."""
+    x = x.astype(np.int64).view(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _contracted(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    """Of a task's pairs (design_id, low, high) each node beside one chosen node of its component: as if drawn, so that a node whose pairs lie in several tasks is rarely chosen in all."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    codes = t.column("design_id").combine_chunks().dictionary_encode()
+    design = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.stack([np.tile(design, 2), np.concatenate([t.column(c).to_numpy() for c in ("low", "high")])], axis=1)
+    nodes, at = np.unique(ends, axis=0, return_inverse=True)
+    low, high = at.reshape(2, -1)
+    order = np.argsort(_spread(nodes[:, 1], seed), kind="stable")
+    label = np.empty(len(nodes), np.int64)
+    label[order] = np.arange(len(nodes))
     while True:
-        near = both.join(labels.select("design_id", F.col("gid").alias("other"), "root"), ["design_id", "other"]).groupBy(KEY).agg(F.min("root").alias("near"))
-        hooked = labels.join(near, KEY, "left").select(*KEY, "root", F.least("root", F.coalesce("near", "root")).alias("next"))
-        jump = labels.select("design_id", F.col("gid").alias("next"), F.col("root").alias("jump"))
-        moved = staged(hooked.join(jump, ["design_id", "next"], "left").select(*KEY, "root", F.least("next", F.coalesce("jump", "next")).alias("new")))
-        changed = not moved.filter("new <> root").isEmpty()
-        labels = moved.select(*KEY, F.col("new").alias("root"))
-        if not changed:
-            return labels
+        new = label.copy()
+        least = np.minimum(label[low], label[high])
+        np.minimum.at(new, order[label[low]], least)
+        np.minimum.at(new, order[label[high]], least)
+        np.minimum.at(new, low, least)
+        np.minimum.at(new, high, least)
+        new = new[order[new]]
+        if (new == label).all():
+            break
+        label = new
+    columns = [codes.dictionary.take(pa.array(nodes[:, 0])), pa.array(nodes[:, 1]), pa.array(nodes[order[label], 1])]
+    yield pa.RecordBatch.from_arrays(columns, names=["design_id", "gid", "top"])
+
+
+def _tops(pairs: DataFrame, seed: int = 0) -> DataFrame:
+    """design_id, gid, top for the nodes of ``pairs`` (design_id, low, high): one node of each component.
+
+    Tasks contract the pairs that they hold, whole designs where these fit. What is left are pairs of chosen nodes, where a
+    node lay in several tasks; they are contracted in turn, and there are fewer in each round.
+    """
+    kind = pairs.schema["design_id"].dataType.simpleString()
+    dealt = pairs.select("design_id", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high")).hint("rebalance", "design_id")
+    local = staged(dealt.mapInArrow(lambda it: _contracted(it, seed), f"design_id {kind}, gid long, top long"))
+    chosen = staged(local.groupBy(KEY).agg(F.max("top").alias("top"), F.min("top").alias("least")))
+    # a node that was chosen in one task and not in another is among these, too: it lies beside itself in the first
+    several = local.join(chosen.filter("top <> least").select(*KEY, F.col("top").alias("high")), KEY).filter("top <> high").select("design_id", F.col("top").alias("low"), "high")
+    open_ = staged(several.distinct())
+    if open_.isEmpty():
+        return chosen.select(*KEY, "top")
+    higher = _tops(open_, seed + 1).select("design_id", F.col("gid").alias("top"), F.col("top").alias("final"))
+    return chosen.join(higher, ["design_id", "top"], "left").select(*KEY, F.coalesce("final", "top").alias("top"))
+
+
+def component_roots(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """design_id, gid, root (smallest gid of its component). A node without pairs is its own root."""
+    tops = _tops(pairs.select("design_id", "low", "high").filter("low <> high"))
+    least = tops.groupBy("design_id", "top").agg(F.min("gid").alias("root"))
+    roots = staged(tops.join(least, ["design_id", "top"]).select(*KEY, "root"))
+    return nodes.select(KEY).join(roots, KEY, "left").select(*KEY, F.coalesce("root", F.col("gid").cast("long")).alias("root"))
+
+
+def merged_roots(roots: DataFrame, new_pairs: DataFrame) -> DataFrame:
+    """Stored roots (design_id, gid, root) after more pairs have come: only the components that they touch are merged.
+
+    The pairs (design_id, low, high) are between nodes that ``roots`` has; what is worked on are pairs of roots.
+    """
+    of = lambda end: roots.select("design_id", F.col("gid").alias(end), F.col("root").alias(f"{end}_root"))
+    touched = new_pairs.select("design_id", "low", "high").distinct().join(of("low"), ["design_id", "low"]).join(of("high"), ["design_id", "high"])
+    pairs = staged(touched.filter("low_root <> high_root").select("design_id", F.least("low_root", "high_root").alias("low"), F.greatest("low_root", "high_root").alias("high")).distinct())
+    tops = _tops(pairs)
+    least = tops.groupBy("design_id", "top").agg(F.min("gid").alias("new"))
+    moved = staged(tops.join(least, ["design_id", "top"]).select("design_id", F.col("gid").alias("root"), "new"))
+    return roots.join(moved, ["design_id", "root"], "left").select(*KEY, F.coalesce("new", "root").alias("root"))
 
 
 def components(gates: DataFrame, comb: DataFrame) -> DataFrame:
     """design_id, gid, component_id: weak components of the combinational view, numbered by their smallest gate."""
     pairs = comb.select("design_id", F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")).distinct()
-    roots = component_roots(gates, pairs)
+    return numbered_components(component_roots(gates, pairs))
+
+
+def numbered_components(roots: DataFrame) -> DataFrame:
+    """design_id, gid, component_id: each design's components in order of their smallest gate."""
     number = F.dense_rank().over(Window.partitionBy("design_id").orderBy("root")) - 1
     return roots.select(*KEY, number.cast("long").alias("component_id"))
 

@@ -133,17 +133,18 @@ def check_rules(spark: SparkSession) -> DataFrame:
     return rows.select("gtype", "rule_id", "a", "b", want.alias("want"), got.alias("got"))
 
 
-def equivalence_words(gates: DataFrame, pins_of: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
+def equivalence_words(gates: DataFrame, pins_of: DataFrame, keys: list[str], seed: int = 0, salt: list[str] | None = None) -> DataFrame:
     """keys, net, word: 64 random vectors packed in one long per net, settled round by round through combinational gates.
 
     ``gates``: keys, gate_name, gtype, out_net; ``pins_of``: keys, gate_name, net. Nets that no combinational gate drives
     (ports, constants, flip-flop outputs) are drawn by name, so equal names get equal vectors in two versions of a design.
+    ``salt`` names keys that the vectors hang on, too: with a key that numbers words there are as many words of a net.
     """
     comb = gates.filter("gtype <> 'dff'")
     driven = comb.join(pins_of.select(*keys, "gate_name"), [*keys, "gate_name"], "left_semi").select(*keys, F.col("out_net").alias("net"))
     nets = pins_of.select(*keys, "net").union(gates.select(*keys, "out_net")).distinct()
     design = keys[0]
-    word = F.when(F.col("net") == "1'b0", F.lit(0)).when(F.col("net") == "1'b1", F.lit(-1)).otherwise(F.xxhash64(F.lit(seed), design, "net")).cast("long")
+    word = F.when(F.col("net") == "1'b0", F.lit(0)).when(F.col("net") == "1'b1", F.lit(-1)).otherwise(F.xxhash64(F.lit(seed), design, "net", *(salt or []))).cast("long")
     known = staged(nets.join(driven, [*keys, "net"], "left_anti").select(*keys, "net", word.alias("word")))
     pins_of, comb = staged(pins_of.select(*keys, "gate_name", "net")), staged(comb.select(*keys, "gate_name", "gtype", "out_net"))
     # how many input nets each gate still waits for: every net reaches its gates once, in the round that settles it
@@ -190,6 +191,32 @@ def equivalent_outputs(before: DataFrame, after: DataFrame, outputs: DataFrame)
     return after.join(want, ["design_id", "net"]).groupBy("design_id", "variant").agg(F.count("*").alias("nets"), F.count_if(F.col("word") != F.col("want")).alias("differing"))
 
 
+def first_differing(before: DataFrame, after: DataFrame, gates: DataFrame, pins_of: DataFrame, same: list[str], keys: list[str]) -> DataFrame:
+    """keys, net: where a version begins to differ from its source: nets with other words whose driver's inputs all have the same ones.
+
+    ``before``: same, net, word; ``after``: keys (``same`` and others), net, word; ``gates`` and ``pins_of``: the version's,
+    as in :func:`equivalence_words`. Nets that the source lacks are seen through: what feeds them stands for them, step by
+    step back along the cone.
+    """
+    want = staged(before.select(*same, "net", F.col("word").alias("want")))
+    differ = staged(after.join(want, [*same, "net"]).filter("word <> want").select(*keys, "net").distinct())
+    fed = gates.filter("gtype <> 'dff'").select(*keys, "gate_name", F.col("out_net").alias("net")).join(pins_of.select(*keys, "gate_name", F.col("net").alias("input")), [*keys, "gate_name"]).select(*keys, "net", "input").distinct()
+    fed = staged(fed)
+    named = want.select(*same, F.col("net").alias("input")).distinct()
+    found, open_ = [], fed
+    while True:
+        found.append(staged(open_.join(named, [*same, "input"], "left_semi").select(*keys, "net", "input")))
+        fresh = open_.join(named, [*same, "input"], "left_anti").select(*keys, "net", F.col("input").alias("through"))
+        further = fresh.join(fed.select(*keys, F.col("net").alias("through"), "input"), [*keys, "through"]).select(*keys, "net", "input").distinct()
+        open_ = staged(further if len(found) == 1 else further.join(seen, [*keys, "net", "input"], "left_anti"))
+        if open_.isEmpty():
+            break
+        # a loop of fresh nets ends where nothing new comes up
+        seen = open_ if len(found) == 1 else staged(seen.union(open_))
+    behind = _together(found).join(differ.select(*keys, F.col("net").alias("input")), [*keys, "input"], "left_semi").select(*keys, "net")
+    return differ.join(behind, [*keys, "net"], "left_anti")
+
+
 def missing_names(labels: DataFrame, gates: DataFrame) -> DataFrame:
     """Labelled names that are no gate: empty when the labels are sound."""
     return labels.select("design_id", "gate_name").distinct().join(gates.select("design_id", "gate_name"), ["design_id", "gate_name"], "left_anti")

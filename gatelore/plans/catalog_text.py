@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from gatelore.functions.columns import DISTANCE_COLUMNS, FEATURES, MASKED, base_net, is_port_name
 from gatelore.operators import corpus as C
+from gatelore.operators import detect as D
 from gatelore.operators import edges as E
 from gatelore.operators import features as X
 from gatelore.operators import iterate as I
 from gatelore.operators import learn as L
+from gatelore.operators import network as W
 from gatelore.operators import rewrite as R
 from gatelore.operators import score as S
 from gatelore.operators import simulate as M
 from gatelore.plans.catalog import BFS, CASES, COMPONENTS, FAR, FILTERS, HOODS, IO, LEVELS, SEEDS, TWO_HOP, circuit_query, comb_of, edges_of, longs, register, rounded
 from gatelore.plans.testview import Circuit, circuit
+from gatelore.sources import graph_store as G
 from gatelore.sources import labels as Y
 from gatelore.sources import netlists as N
-from gatelore.sources.staging import staged
+from gatelore.sources.staging import new_folder, staged
 
 # --- text -----------------------------------------------------------------------------------------------------------------
 
@@ -174,7 +177,7 @@ circuit_query("gate_with_descriptor", DESCRIPTORS + " SELECT design_id, gid, com
 
 # --- probability and simulation -------------------------------------------------------------------------------------------
 
-circuit_query("signal_probability", """si AS (SELECT design_id, dst AS gid, list(src ORDER BY pin_pos) AS srcs FROM edges GROUP BY ALL),
+PROBABILITY = """si AS (SELECT design_id, dst AS gid, list(src ORDER BY pin_pos) AS srcs FROM edges GROUP BY ALL),
 gi AS (SELECT g.design_id, g.gid, gtype, srcs, d.d FROM gates g LEFT JOIN si USING (design_id, gid) LEFT JOIN (SELECT design_id, gid, max(driver) AS d FROM pins WHERE gtype = 'dff' AND pin = 'D' GROUP BY ALL) d USING (design_id, gid)),
 sw(design_id, gid, st) AS (SELECT DISTINCT design_id, -1::BIGINT, []::DOUBLE[] FROM gates UNION ALL SELECT sw.design_id, gi.gid, list_append(st, CASE WHEN gtype = 'dff' OR srcs IS NULL THEN 0.5
  WHEN gtype = 'not' THEN 1 - st[srcs[1] + 1] WHEN gtype = 'buf' THEN st[srcs[1] + 1] WHEN gtype = 'and' THEN list_product(list_transform(srcs, lambda s: st[s + 1])) WHEN gtype = 'nand' THEN 1 - list_product(list_transform(srcs, lambda s: st[s + 1]))
@@ -185,9 +188,47 @@ whole AS (SELECT sw.design_id, st FROM sw JOIN (SELECT DISTINCT design_id, n_gat
 df AS (SELECT *, row_number() OVER (PARTITION BY design_id ORDER BY gid) AS k FROM gi WHERE gtype = 'dff'),
 se(design_id, k, st) AS (SELECT design_id, 0::BIGINT, st FROM whole UNION ALL SELECT se.design_id, df.k, list_concat(list_concat(st[1:df.gid], [CASE WHEN d IS NOT NULL THEN st[d + 1] WHEN srcs IS NOT NULL THEN list_avg(list_transform(srcs, lambda s: st[s + 1])) ELSE 0.5 END]), st[df.gid + 2:])
  FROM se JOIN df ON df.design_id = se.design_id AND df.k = se.k + 1),
-fin AS (SELECT design_id, arg_max(st, k) AS st FROM se GROUP BY 1)
+fin AS (SELECT design_id, arg_max(st, k) AS st FROM se GROUP BY 1)"""
+circuit_query("signal_probability", PROBABILITY + """
 SELECT design_id, gid, round(st[gid + 1], 6) AS p1 FROM fin JOIN gates USING (design_id)""")(lambda c: rounded(M.signal_probability(c.gates, c.pins, edges_of(c), staged(I.levels(c.gates, comb_of(c)))), "p1"))
-circuit_query("random_simulation")(lambda c: M.random_simulation(c.gates, c.pins, edges_of(c), staged(I.levels(c.gates, comb_of(c)))))
+#: All 48 columns before the mask: those that FEATURE_PARTS leaves 0 are worked out; tallies stay 0 without a simulation.
+_UNMASKED = {c: f"CASE WHEN gtype = 'dff' AND {'DFF' in c} THEN 0 ELSE coalesce(dw.{c}, -1) END" for c in DISTANCE_COLUMNS} | {"fanin_same_type": "coalesce(sm.same, 0)", "p_is_1": "st[g.gid + 1]"}
+RAW = f"""{FEATURE_PARTS}, {PROBABILITY},
+sm AS (SELECT e.design_id, e.dst AS gid, avg((a.gtype = b.gtype)::INT) AS same FROM edges e JOIN gates a ON a.design_id = e.design_id AND a.gid = e.src JOIN gates b ON b.design_id = e.design_id AND b.gid = e.dst GROUP BY ALL),
+raw AS MATERIALIZED (SELECT g.design_id, g.gid, g.gate_name, y, {", ".join(f'({_UNMASKED[c]})::DOUBLE AS "{c}"' if c in _UNMASKED else f'feat."{c}"' for c in FEATURES)}
+FROM gates g JOIN feat USING (design_id, gid) JOIN fin ON fin.design_id = g.design_id LEFT JOIN dw ON dw.design_id = g.design_id AND dw.gid = g.gid LEFT JOIN sm ON sm.design_id = g.design_id AND sm.gid = g.gid)"""
+
+
+def _scaled_sql(c: str, table: str) -> str:
+    x = f'{table}."{c}"'
+    if c in DISTANCE_COLUMNS:
+        return f"CASE WHEN {x} < 0 THEN -1.0 ELSE coalesce({x} / nullif(max({x}) OVER d, 0), 0) END"
+    if c == "level":
+        return f"coalesce({x} / nullif(max({x}) OVER d, 0), 0)"
+    if c in ("in_type_cnt", "out_type_cnt"):
+        return f"{x} / 9.0"
+    return x if c in M.TALLY_COLUMNS else f"coalesce(({x} - min({x}) OVER d) / nullif(max({x}) OVER d - min({x}) OVER d, 0), 0)"
+
+
+def unmasked_features(c: Circuit) -> DataFrame:
+    return X.raw_features(c.gates, c.pins, c.ports)
+
+
+def audit_all(c: Circuit) -> DataFrame:
+    """The whole audit table: every raw column, and every column that can be scaled and is on under the default mask."""
+    raw = staged(unmasked_features(c))
+    on = X.scaled_columns()
+    return rounded(N.audit_gates(c.gates, c.gates, raw, X.scaled(raw, on), on), "raw__p_is_1", "raw__fanin_same_type", *[f"norm__{x}" for x in on])
+
+
+circuit_query("unmasked_features", RAW + " SELECT design_id, gid, " + ", ".join(f'round("{c}", 6) AS "{c}"' if c in ("p_is_1", "fanin_same_type") else f'"{c}"' for c in FEATURES) + " FROM raw")(lambda c: rounded(unmasked_features(c), "p_is_1", "fanin_same_type"))
+circuit_query("audit_all_gates", RAW + " SELECT design_id, gid, gate_name, y, " + ", ".join(f'round("{c}", 6) AS "raw__{c}"' if c in ("p_is_1", "fanin_same_type") else f'"{c}" AS "raw__{c}"' for c in FEATURES) + ", "
+    + ", ".join(f'round({_scaled_sql(c, "raw")}, 6) AS "norm__{c}"' for c in X.scaled_columns()) + " FROM raw WINDOW d AS (PARTITION BY design_id)")(audit_all)
+circuit_query("audit_ports", "SELECT design_id, coalesce(string_agg(DISTINCT net, chr(10) ORDER BY net) FILTER (direction = 'in'), '') AS inputs, coalesce(string_agg(DISTINCT net, chr(10) ORDER BY net) FILTER (direction = 'out'), '') AS outputs FROM ports GROUP BY 1")(lambda c: N.audit_ports(c.ports))
+circuit_query("scaled_all_features", FEATURE_PARTS + " SELECT design_id, gid, " + ", ".join(f'round({_scaled_sql(c, "feat")}, 6) AS "{c}"' if c in X.scaled_columns() else f'"{c}"' for c in FEATURES) + " FROM feat WINDOW d AS (PARTITION BY design_id)")(
+    lambda c: rounded(X.scaled(masked_features(c), X.scaled_columns()), *X.scaled_columns())
+)
+circuit_query("random_simulation")(lambda c: M.random_simulation(c.gates, c.pins, edges_of(c)))
 
 STIMULUS_CYCLES = 4
 WAVE = f"""si AS (SELECT design_id, dst AS gid, list(src ORDER BY pin_pos) AS srcs FROM edges GROUP BY ALL),
@@ -205,7 +246,7 @@ SELECT r.design_id, r.cycle + (r.phase = 2 AND r.gid = r.n - 1)::INT, CASE WHEN
 FROM run r JOIN gi ON gi.design_id = r.design_id AND gi.gid = (r.gid + 1) % r.n WHERE NOT (r.cycle = {STIMULUS_CYCLES - 1} AND r.phase = 2 AND r.gid = r.n - 1))"""
 circuit_query("waveform_of_stimulus", WAVE + " SELECT run.design_id, g.gid, cycle, run.st[g.gid + 1] AS bit FROM run JOIN gates g ON g.design_id = run.design_id WHERE phase = 2 AND run.gid = n - 1")(
     lambda c: M.random_simulation(
-        c.gates, c.pins, edges_of(c), staged(I.levels(c.gates, comb_of(c))), cycles=STIMULUS_CYCLES, wave=True,
+        c.gates, c.pins, edges_of(c), cycles=STIMULUS_CYCLES, wave=True,
         stimulus=c.gates.select("design_id", "gid", F.explode(F.sequence(F.lit(0), F.lit(STIMULUS_CYCLES - 1))).alias("cycle")).withColumn("bit", F.expr("cast((gid * 7 + cycle * 3 + design_id) % 2 AS int)")),
     )
 )
@@ -287,6 +328,23 @@ def inequivalent_outputs(c: Circuit) -> DataFrame:
     return R.equivalent_outputs(before, after, c.ports.filter("direction = 'out'").select("design_id", "net").distinct())
 
 
+PLANTED = "planted AS (SELECT design_id, min(gid) AS gid FROM gates g WHERE gtype <> 'dff' AND gid >= 7 AND EXISTS (SELECT 1 FROM pins p WHERE p.design_id = g.design_id AND p.gid = g.gid) GROUP BY 1)"
+
+
+@circuit_query("first_differing_nets", PLANTED + " SELECT design_id, w::BIGINT AS w, 'n' || gid AS net FROM planted, (VALUES (0), (1)) t(w)")
+def first_differing_nets(c: Circuit) -> DataFrame:
+    """One gate of each design is inverted; of all nets that differ, in two words of 64 vectors each, its own is the first."""
+    named = c.pins.join(c.gates.select("design_id", "gid", "gate_name"), ["design_id", "gid"]).select("design_id", "gate_name", "net")
+    flip = F.create_map(*[F.lit(x) for pair in INVERSE.items() for x in pair])
+    fault = c.gates.filter("gtype <> 'dff' AND gid >= 7").join(c.pins.select("design_id", "gid"), ["design_id", "gid"], "left_semi").groupBy("design_id").agg(F.min("gid").alias("gid")).withColumn("fault", F.lit(True))
+    word = F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("w")
+    gates, pins = staged(c.gates.select("design_id", word, "gid", "gate_name", "gtype", "out_net")), staged(named.select("design_id", word, "gate_name", "net"))
+    wrong = staged(gates.join(fault, ["design_id", "gid"], "left").withColumn("gtype", F.when(F.col("fault"), flip[F.col("gtype")]).otherwise(F.col("gtype"))).select(*gates.columns))
+    keys = ["design_id", "w"]
+    before, after = (R.equivalence_words(g, pins, keys, salt=["w"]) for g in (gates, wrong))
+    return R.first_differing(before, after, wrong, pins, keys, keys)
+
+
 # --- corpus ---------------------------------------------------------------------------------------------------------------
 
 PROVENANCE = """st AS (SELECT DISTINCT design_id, CASE design_id % 4 WHEN 0 THEN 'top1_trojan' || (design_id % 5) || '_' || design_id || '_netlist' WHEN 1 THEN 'trojan' || (design_id % 5) || '_' || design_id || '_g_netlist'
@@ -324,6 +382,55 @@ circuit_query("solved_by_content", TEXT + """, lib AS (SELECT content, bool_or(y
     lambda c: (lambda t: C.solved_by_content(t, t.filter("design_id % 2 = 0").join(c.gates.groupBy("design_id").agg((F.max("y") == 1).alias("is_trojaned")), "design_id").select("content", "is_trojaned")))(staged(text_of(c)))
 )
 
+# --- kept graphs, and detection from end to end ---------------------------------------------------------------------------
+
+
+def store_of(c: Circuit, with_features: bool = False) -> G.GraphStore:
+    e = staged(edges_of(c))
+    extra = {"features": staged(masked_features(c)), "components": I.components(c.gates, E.combinational(e, c.gates))} if with_features else {}
+    return G.write_store(new_folder(c.gates.sparkSession, "stores"), c.gates, e, buckets=8, **extra)
+
+
+circuit_query("stored_degrees", """so AS (SELECT design_id, src AS gid, count(*) AS n, count(*) - count(DISTINCT dst) AS p FROM edges GROUP BY ALL), st AS (SELECT design_id, dst AS gid, count(*) AS n FROM edges GROUP BY ALL)
+SELECT design_id, gid, gtype, coalesce(so.n, 0) AS loads, coalesce(so.p, 0) AS parallel, coalesce(st.n, 0) AS drivers FROM gates LEFT JOIN so USING (design_id, gid) LEFT JOIN st USING (design_id, gid)""")(lambda c: G.stored_degrees(store_of(c)))
+circuit_query("stored_examples", f"{FEATURE_PARTS}, {COMPONENTS} SELECT design_id, gid, gate_name, y::INT AS y, component_id, " + ", ".join(f'feat."{c}"' for c in FEATURES) + " FROM gates JOIN feat USING (design_id, gid) JOIN component USING (design_id, gid)")(
+    lambda c: G.stored_examples(store_of(c, with_features=True))
+)
+
+
+def updated_components(c: Circuit) -> DataFrame:
+    """Components of the edges into first pins, stored, and then merged along the edges into other pins."""
+    e = staged(edges_of(c))
+    pairs = lambda some: E.undirected_pairs(E.combinational(some, c.gates))
+    stored = staged(I.component_roots(c.gates, pairs(e.filter("pin_pos = 0"))))
+    return I.numbered_components(I.merged_roots(stored, pairs(e.filter("pin_pos > 0"))))
+
+
+circuit_query("updated_components", COMPONENTS + " SELECT design_id, gid, component_id FROM component")(updated_components)
+
+
+def rule_score(features: DataFrame) -> DataFrame:
+    """A made-up rule over the features, for the query: a half and more where its whole-number sum reaches 0."""
+    z = 4 * F.col("is_xor") + 3 * F.col("is_nand") + F.col("in_type_cnt") - F.col("out_type_cnt") + F.col("is_PI") - 2
+    return features.select("design_id", "gid", (1 / (1 + F.exp(-z))).alias("p"))
+
+
+def detected(c: Circuit) -> DataFrame:
+    """Verdicts over the rendered texts; every fifth design's answer is known by its content, and one text in seven has no gates."""
+    texts = staged(text_of(c))
+    answers = c.gates.groupBy("design_id").agg((F.max("y") == 1).alias("is_trojaned"), F.collect_list(F.when(F.col("y") == 1, F.col("gate_name"))).alias("gate_names"))
+    library = staged(texts.filter("design_id % 5 = 0").join(answers, "design_id").select(F.sha2("content", 256).alias("digest"), "is_trojaned", "gate_names"))
+    given = texts.union(texts.filter("design_id % 7 = 0").select(F.col("design_id") + 1000, F.concat(F.lit("module e"), F.col("design_id"), F.lit("();\nendmodule"))))
+    done = D.detect(given, new_folder(c.gates.sparkSession, "detected"), rule_score, library)
+    return done.drop("digest")
+
+
+RULE = FILTERS.replace("FROM gates WHERE p >= 0.5", 'FROM feat WHERE design_id % 5 <> 0 AND 4 * is_xor + 3 * is_nand + in_type_cnt - out_type_cnt + "is_PI" - 2 >= 0')
+circuit_query("detect_verdicts", f"""{FEATURE_PARTS}, {RULE}, n AS (SELECT design_id, count(*) AS gates, sum(y)::BIGINT AS y FROM gates GROUP BY 1), m AS (SELECT design_id, count(*) AS flagged FROM f3 GROUP BY 1)
+SELECT design_id, CASE WHEN design_id % 5 = 0 THEN 'lookup' ELSE 'model' END AS source, gates, CASE WHEN design_id % 5 = 0 THEN y ELSE coalesce(flagged, 0) END AS flagged,
+CASE WHEN design_id % 5 = 0 THEN y > 0 ELSE coalesce(flagged, 0) > 0 END AS trojaned, NULL::VARCHAR AS reason FROM n LEFT JOIN m USING (design_id)
+UNION ALL SELECT design_id + 1000, 'rejected', 0, 0, NULL, 'no gates' FROM n WHERE design_id % 7 = 0""")(detected)
+
 # --- learning -------------------------------------------------------------------------------------------------------------
 
 circuit_query("class_balance", "SELECT count(*) AS gates, sum(y)::BIGINT AS positives, round(avg(y), 6) AS rate, CASE WHEN avg(y) < 0.2 THEN 0.8 ELSE 0.5 END::DOUBLE AS alpha FROM gates")(lambda c: rounded(L.class_balance(c.gates), "rate"))
@@ -370,3 +477,72 @@ def trained_classifier(c: Circuit) -> DataFrame:
     rows = staged(L.propagate(edges_of(c), c.gates, ["p"], 2).join(c.gates.select("design_id", "gid", "y"), ["design_id", "gid"]))
     scored = L.train_classifier(rows, ["p", "p_fw1", "p_bw1", "p_fw2", "p_bw2"])[1]
     return L.best_threshold(S.corpus_metrics(scored, scored, [0.1, 0.3, 0.5, 0.7, 0.9]))
+
+
+#: A made-up network for the query: three inputs, three hops of two outputs, two numbers of a component, a head of three.
+NETWORK = {f"conv{k}.{x}": (3 if k == 0 else 2, 2) for k in range(3) for x in ("fw", "bw")} | {f"conv{k}.join": (4, 2) for k in range(3)} | {"part.0": (2, 2), "part.1": (2, 2), "head.0": (8, 3), "head.1": (3, 2)}
+NETWORK_WEIGHTS = {name: [[((3 * i + 5 * j + 6 * k + i * j) % 7 - 2) / 6 for j in range(n)] for i in range(m + 1)] for k, (name, (m, n)) in enumerate(sorted(NETWORK.items()))}
+INPUTS = ["p", "is_dff", "is_xor"]
+
+
+def _outputs(layer: str, columns: list[str]) -> list[str]:
+    bias, *rows = NETWORK_WEIGHTS[layer]
+    return [f"({b} + {' + '.join(f'({w[j]}) * {c}' for w, c in zip(rows, columns))})" for j, b in enumerate(bias)]
+
+
+def _relu(layer: str, columns: list[str]) -> list[str]:
+    return [f"greatest(0, {x})" for x in _outputs(layer, columns)]
+
+
+def _named(values: list[str], name: str) -> str:
+    return ", ".join(f"{x} AS {name}{k}" for k, x in enumerate(values))
+
+
+def _network_sql() -> str:
+    ways = "el AS (SELECT design_id, src, dst FROM edges UNION ALL SELECT design_id, gid, gid FROM gates)"
+    for way, (a, z) in (("fw", ("src", "dst")), ("bw", ("dst", "src"))):
+        ways += f", d{way} AS (SELECT design_id, {z} AS gid, count(*) AS d FROM el GROUP BY 1, 2), w{way} AS MATERIALIZED (SELECT e.design_id, e.{a} AS src, e.{z} AS dst, 1 / sqrt(s.d * t.d) AS w FROM el e "
+        ways += f"JOIN d{way} s ON s.design_id = e.design_id AND s.gid = e.{a} JOIN d{way} t ON t.design_id = e.design_id AND t.gid = e.{z})"
+    sql = f"{COMPONENTS}, {ways}, h0 AS (SELECT design_id, gid, p AS x0, (gtype = 'dff')::DOUBLE AS x1, (gtype = 'xor')::DOUBLE AS x2 FROM gates)"
+    wide = 3
+    for k in range(3):
+        for way in ("fw", "bw"):
+            sql += f", {way}{k} AS (SELECT w.design_id, w.dst AS gid, {', '.join(f'sum(w.w * h.x{i}) AS {way[0]}{i}' for i in range(wide))} FROM w{way} w JOIN h{k} h ON h.design_id = w.design_id AND h.gid = w.src GROUP BY 1, 2)"
+        both = [*_outputs(f"conv{k}.fw", [f"f{i}" for i in range(wide)]), *_outputs(f"conv{k}.bw", [f"b{i}" for i in range(wide)])]
+        sql += f", c{k} AS (SELECT design_id, gid, {_named(both, 'c')} FROM fw{k} JOIN bw{k} USING (design_id, gid)), h{k + 1} AS MATERIALIZED (SELECT design_id, gid, {_named(_relu(f'conv{k}.join', [f'c{i}' for i in range(4)]), 'x')} FROM c{k})"
+        wide = 2
+    sql += ", d0 AS (SELECT design_id, component_id, count(*) / 100.0 AS n0, avg(p) AS n1 FROM component JOIN gates USING (design_id, gid) GROUP BY 1, 2)"
+    sql += f", d1 AS (SELECT design_id, component_id, {_named(_relu('part.0', ['n0', 'n1']), 'm')} FROM d0), d2 AS (SELECT design_id, component_id, {_named(_outputs('part.1', ['m0', 'm1']), 'z')} FROM d1)"
+    hops = [f"h{k + 1}.x{i}" for k in range(3) for i in range(2)]
+    head = _relu("head.0", [*hops, "z0", "z1"])
+    sql += f", e0 AS (SELECT design_id, gid, {_named(head, 'q')} FROM component JOIN d2 USING (design_id, component_id) JOIN h1 USING (design_id, gid) JOIN h2 USING (design_id, gid) JOIN h3 USING (design_id, gid))"
+    sql += f", e1 AS (SELECT design_id, gid, {_named(_outputs('head.1', ['q0', 'q1', 'q2']), 'r')} FROM e0)"
+    return sql + " SELECT design_id, gid, round(1 / (1 + exp(r0 - r1)), 6) AS p FROM e1"
+
+
+def whole_network(c: Circuit) -> DataFrame:
+    e = staged(edges_of(c))
+    parts = staged(I.components(c.gates, E.combinational(e, c.gates)))
+    descriptors = parts.join(c.gates.select("design_id", "gid", "p"), ["design_id", "gid"]).groupBy("design_id", "component_id").agg((F.count("*") / 100.0).alias("n0"), F.avg("p").alias("n1"))
+    inputs = c.gates.select("design_id", "gid", "p", (F.col("gtype") == "dff").cast("double").alias("is_dff"), (F.col("gtype") == "xor").cast("double").alias("is_xor"))
+    return W.network_scores(inputs, INPUTS, e, parts, descriptors, ["n0", "n1"], W.weight_table(c.gates.sparkSession, NETWORK_WEIGHTS))
+
+
+circuit_query("network_scores", _network_sql())(lambda c: rounded(whole_network(c), "p"))
+
+GRID = [0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7]
+circuit_query("threshold_by_fold", f"""t(threshold) AS (SELECT unnest({GRID})::DOUBLE), m AS (SELECT design_id % 3 AS fold, threshold, count(*) FILTER (p > threshold AND y = 1) AS tp, count(*) FILTER (p > threshold AND y = 0) AS fp, count(*) FILTER (p <= threshold AND y = 1) AS fn FROM gates, t GROUP BY 1, 2),
+o AS (SELECT a.*, (SELECT sum(tp) FROM m b WHERE b.threshold = a.threshold AND b.fold <> a.fold) AS ot, (SELECT sum(fp) FROM m b WHERE b.threshold = a.threshold AND b.fold <> a.fold) AS op, (SELECT sum(fn) FROM m b WHERE b.threshold = a.threshold AND b.fold <> a.fold) AS ofn FROM m a)
+SELECT fold, threshold, tp, fp, fn, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 1), 6) AS f1 FROM o QUALIFY row_number() OVER (PARTITION BY fold ORDER BY coalesce(2 * ot / nullif(2 * ot + op + ofn, 0), 1) DESC, threshold DESC) = 1""")(
+    lambda c: rounded(W.chosen_by_fold(c.gates.select("design_id", "gid", "y", "p", (F.col("design_id") % 3).alias("fold")), GRID), "f1")
+)
+
+
+@circuit_query("trained_network")
+def trained_network(c: Circuit) -> DataFrame:
+    """fold, epoch, loss, threshold, tp, fp, fn, f1: each fold's best epoch, and its metrics at the threshold that the other folds' designs choose."""
+    rows = staged(L.propagate(edges_of(c), c.gates, ["p"], 2).join(c.gates.select("design_id", "gid", "y"), ["design_id", "gid"]))
+    alpha = L.class_balance(rows.select("y")).first().alpha
+    scores, logs = W.out_of_fold_scores(rows, ["p", "p_fw1", "p_bw1", "p_fw2", "p_bw2"], alpha, epochs=25, patience=10)
+    best = L.best_epochs(logs).select(F.substring("run", 5, 1).cast("int").alias("fold"), "epoch", "loss")
+    return best.join(W.chosen_by_fold(scores, GRID), "fold")

@@ -108,6 +108,12 @@ def audit_edges(gates: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.select("design_id", "src", "dst", "net").join(a, ["design_id", "src"]).join(b, ["design_id", "dst"])
 
 
+def audit_ports(ports: DataFrame) -> DataFrame:
+    """design_id, inputs, outputs: each design's ports by name, one to a line."""
+    names = lambda d: F.array_join(F.array_sort(F.collect_set(F.when(F.col("direction") == d, F.col("net")))), "\n")
+    return ports.groupBy("design_id").agg(names("in").alias("inputs"), names("out").alias("outputs"))
+
+
 def fold_instances(lines: DataFrame) -> DataFrame:
     """design_id, number, text: instances that span several lines as one record each, numbered. A line that ends with ';' closes its record."""
     before = Window.partitionBy("design_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)

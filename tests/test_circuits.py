@@ -146,7 +146,6 @@ def test_random_simulation(spark, given):
         nets = [f"n{x}" for x in src] or ["a", "b"]
         lines.append(f"dff g{g}(.D({nets[0]}), .Q(n{g}));" if t == "dff" else f"{t} g{g}(n{g}, {', '.join(nets)});")
     d = Design(spark, "\n".join(lines))
-    level = staged(iterate.levels(d.gates, d.comb))
     d_of = [ins[g][0] if gates[g] == "dff" else -1 for g in range(40)]
     cycles = 25
     if given:
@@ -157,9 +156,9 @@ def test_random_simulation(spark, given):
         table = [{g: r.getrandbits(1) for g in range(4)} for _ in range(cycles)]
         draw, stimulus = (lambda c, g: table[c][g]), None
     want = brute_simulation(gates, ins, d_of, cycles, draw)
-    wave = simulate.random_simulation(d.gates, d.pins, d.edges, level, cycles=cycles, stimulus=stimulus, wave=True)
+    wave = simulate.random_simulation(d.gates, d.pins, d.edges, cycles=cycles, stimulus=stimulus, wave=True)
     assert {(r.gid, r.cycle): r.bit for r in wave.collect()} == {(g, c): want[c][g] for c in range(cycles) for g in range(40)}
-    tallies = {r.gid: r[2:] for r in simulate.random_simulation(d.gates, d.pins, d.edges, level, cycles=cycles, stimulus=stimulus).collect()}
+    tallies = {r.gid: r[2:] for r in simulate.random_simulation(d.gates, d.pins, d.edges, cycles=cycles, stimulus=stimulus).collect()}
     from_series = {r.gid: r[2:] for r in simulate.switching_tallies(wave, ["design_id", "gid"], ["cycle"]).collect()}
     assert tallies == from_series
     for g in range(40):
@@ -168,11 +167,75 @@ def test_random_simulation(spark, given):
         assert tallies[g] == (sum(a > b for a, b in zip(bits, bits[1:])), sum(a < b for a, b in zip(bits, bits[1:])), longest(1), longest(0), sum(bits))
 
 
-def test_simulation_leaves_giant_designs_out(spark):
-    d = Design(spark, EXAMPLE)
-    got = simulate.random_simulation(d.gates, d.pins, d.edges, iterate.levels(d.gates, d.comb), cycles=2, max_gates_per_group=2)
-    assert got.count() == 0
-    assert [r.reason for r in simulate.oversize_designs(d.gates, 2).collect()] == ["3 gates"]
+@pytest.mark.parametrize("commit", ["in_order", "two_phase"])
+def test_loops_of_registers(spark, commit):
+    """Random circuits with loops through flip-flops, loops without, and what lies before and behind; two designs at 1,000 vectors."""
+    cycles, texts, made = 1000, [], []
+    for design in range(2):
+        rng = random.Random(design)
+        gates, ins, lines = [], [], []
+        for g in range(60):
+            t = "and" if g < 5 else rng.choice(["and", "or", "nand", "nor", "xor", "xnor", "not", "buf", "dff", "dff"])
+            k = 0 if g < 5 else 1 if t in ("not", "buf", "dff") else rng.choice([2, 3])
+            # a flip-flop takes any gate's value, so loops arise; the last gates hang on none of them
+            src = [rng.randrange(60 if t == "dff" and g < 45 else 5 if g < 20 else g) for _ in range(k)]
+            gates.append(t)
+            ins.append(src)
+            nets = [f"n{x}" for x in src] or ["a", "b"]
+            lines.append(f"dff g{g}(.D({nets[0]}), .Q(n{g}));" if t == "dff" else f"{t} g{g}(n{g}, {', '.join(nets)});")
+        # gates 60 and 61 feed each other without a flip-flop and never settle, nor does 62 behind them
+        lines += ["and g60(n60, n61, n0);", "or g61(n61, n60, n1);", "not g62(n62, n61);"]
+        texts.append((design, "\n".join(lines)))
+        made.append((gates, ins))
+    parsed = netlists.parse_gates(spark.createDataFrame(texts, "design_id long, content string"))
+    pins = netlists.parse_pins(parsed)
+    outs = pins.filter("direction = 'out'").select("design_id", "gid", F.col("net").alias("out_net"))
+    g, p = staged(parsed.join(outs, ["design_id", "gid"]).select("design_id", "gid", "gate_name", "gtype", "out_net")), staged(pins.filter("direction = 'in'"))
+    bits = simulate.waveforms(g, p, staged(edges.build_edges(g, p)), cycles=cycles, commit=commit)
+    got = {(r.design_id, r.gid): [r.bits[c // 64] >> c % 64 & 1 for c in range(cycles)] for r in bits.collect()}
+    for design, (gates, ins) in enumerate(made):
+        draw, state, want = random.Random(0), [0] * 60, []
+        for _ in range(cycles):
+            for k in range(60):
+                if gates[k] != "dff":
+                    b = [state[x] for x in ins[k]]
+                    v = draw.getrandbits(1) if not b else {"and": min(b), "nand": 1 - min(b), "or": max(b), "nor": 1 - max(b), "xor": sum(b) % 2, "xnor": 1 - sum(b) % 2, "not": 1 - b[0], "buf": b[0]}[gates[k]]
+                    state[k] = v
+            before = list(state)
+            for k in range(60):
+                if gates[k] == "dff":
+                    state[k] = state[ins[k][0]] if commit == "in_order" else before[ins[k][0]]
+            want.append(list(state))
+        for k in range(60):
+            assert got[design, k] == [w[k] for w in want], (design, k, gates[k], ins[k])
+        assert all(not any(got[design, k]) for k in (60, 61, 62))
+
+
+def test_components_of_dealt_out_pairs(spark, monkeypatch):
+    """Pairs that lie in many tasks: a long path, a star and random pairs, contracted in rounds, and merged with more pairs later."""
+    rng = random.Random(3)
+    pairs = [(0, i, i + 1) for i in range(0, 300)] + [(1, 0, i) for i in range(1, 100)] + [(2, *sorted(rng.sample(range(400), 2))) for _ in range(300)]
+    nodes = spark.createDataFrame(sorted({(d, x) for d, a, b in pairs for x in (a, b)} | {(3, 7)}), "design_id long, gid long")
+
+    def brute(some):
+        root = {(r.design_id, r.gid): r.gid for r in nodes.collect()}
+        for _ in range(400):
+            for d, a, b in some:
+                root[d, a] = root[d, b] = min(root[d, a], root[d, b])
+        return root
+
+    df = spark.createDataFrame(pairs, "design_id long, low long, high long")
+    found = lambda rows: {(r.design_id, r.gid): r.root for r in rows.collect()}
+    want = brute(pairs)
+    assert found(iterate.component_roots(nodes, df)) == want
+    once = iterate._contracted
+    # every pair in a call of its own: nothing is contracted within a task, as for a design far larger than one
+    monkeypatch.setattr(iterate, "_contracted", lambda it, seed: (x for b in it for k in range(b.num_rows) for x in once(iter([b.slice(k, 1)]), seed)))
+    assert found(iterate.component_roots(nodes, df)) == want
+    monkeypatch.undo()
+    first = staged(iterate.component_roots(nodes, df.limit(350)))
+    rest = df.join(df.limit(350), ["design_id", "low", "high"], "left_anti")
+    assert found(iterate.merged_roots(first, rest)) == want
 
 
 def flags_of(spark, on, n):
@@ -299,6 +362,127 @@ def test_propagation_and_dense_scores(spark):
         learn.dense_scores(x, ["x", "gid"], weights)
 
 
+def test_network_takes_only_weights_that_fit(spark):
+    from gatelore.operators import network
+
+    layers = {"conv0.fw": (1, 2), "conv0.bw": (1, 2), "conv0.join": (4, 2), "part.0": (1, 2), "part.1": (2, 1), "head.0": (3, 2), "head.1": (2, 2)}
+    made = {k: np.ones((m + 1, n)) for k, (m, n) in layers.items()}
+    assert network.checked(made, 1, 1) == 1
+    assert {k: v.tolist() for k, v in network.layers_of(network.weight_table(spark, made)).items()} == {k: v.tolist() for k, v in made.items()}
+    for wrong in ({**made, "head.0": np.ones((5, 2))}, {k: v for k, v in made.items() if k != "part.1"}, {**made, "conv2.fw": np.ones((2, 2))}, {**made, "head.1": np.ones((3, 3))}):
+        with pytest.raises(ValueError):
+            network.checked(wrong, 1, 1)
+    with pytest.raises(ValueError):
+        network.checked(made, 2, 1)
+
+
+def test_training_with_focal_loss(spark):
+    """The loss falls by epoch, scores of held-out designs reach a floor, the log feeds the choice of epochs."""
+    from gatelore.operators import network
+
+    rng = np.random.default_rng(0)
+    rows = []
+    for design in range(12):
+        for g in range(200):
+            a, b, c = rng.normal(size=3)
+            rows.append((design, g, int(a * b > 0.6), float(a), float(b), float(c)))
+    df = spark.createDataFrame(rows, "design_id long, gid long, y int, a double, b double, c double").repartition(3)
+    scores, logs = network.out_of_fold_scores(df, ["a", "b", "c"], alpha=0.5, folds=2, epochs=40, rate=0.1, patience=40)
+    assert scores.count() == len(rows) and scores.groupBy("design_id").agg(F.count_distinct("fold").alias("n")).filter("n > 1").isEmpty()
+    for run in ("fold0", "fold1"):
+        loss = [r.loss for r in logs.filter(F.col("run") == run).orderBy("epoch").collect()]
+        assert len(loss) == 40 and loss[-1] < 0.5 * loss[0] and sum(x > y for x, y in zip(loss, loss[1:])) > 30
+    best = {r.run: r for r in learn.best_epochs(logs).collect()}
+    assert len(best) == 2 and learn.staleness(logs).count() == logs.count()
+    chosen = network.chosen_by_fold(scores, [0.3, 0.4, 0.5, 0.6]).collect()
+    assert len(chosen) == 2 and all(r.f1 > 0.8 for r in chosen)
+
+
+def test_files_over_several_splits(spark, tmp_path):
+    """Lines dealt out over many splits give the gates of the whole text, comments over lines and splits included."""
+    from gatelore.sources import lines
+
+    rng = random.Random(5)
+    odd = ["/* one", "two */ and gx(a, b);", "// and gy(a, b);", "/*/ still open", "*/", "or g(a,b) ; // /* open", "xor h(a, /* in */ b);", "  nand\ti(a, b);\r", "", "input a, b;", "not k(c", "buf /*/ x */ l(a, b);"]
+    for k in range(6):
+        body = [rng.choice(odd) if rng.random() < 0.5 else f"nor g{j}(n{j}, a, b);" for j in range(60)]
+        (tmp_path / f"d{k}.v").write_text("\n".join(["module top(a);", *body, *(["/* never closed", "and last(a, b);"] if k % 2 else []), "endmodule"]))
+    (tmp_path / "e.v").write_text("")
+    want = netlists.parse_gates(netlists.read_netlists(spark, str(tmp_path))).collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert lines.netlist_lines(spark, str(tmp_path)).select("file", "split").distinct().count() > 40
+        got = lines.parse_gate_lines(spark, str(tmp_path)).select("design_id", "gid", "gate_name", "gtype", "args").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(want) > 150 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_graph_store(spark, tmp_path):
+    """Round trip, refusals, and a join of stored tables without an exchange."""
+    from gatelore.sources import graph_store
+
+    d = Design(spark, EXAMPLE)
+    full = staged(features.raw_features(d.gates, d.pins, d.ports))
+    parts = staged(iterate.components(d.gates, d.comb))
+    where = f"file://{tmp_path}/store"
+    graph_store.write_store(where, d.gates, d.edges, full, parts, buckets=4)
+    store = graph_store.open_store(spark, where, check_rows=True)
+    assert store.rows == {"gates": 3, "edges_out": 2, "edges_in": 2, "features": 3, "components": 3}
+    assert sorted(map(tuple, store.edges_in.select("src", "dst").collect())) == [(0, 1), (1, 2)]
+    assert sorted(map(tuple, store.features.select(full.columns).collect())) == sorted(map(tuple, full.collect()))
+    for df in (graph_store.stored_degrees(store), graph_store.stored_examples(store)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan, plan
+    assert {(r.gid, r.loads, r.drivers) for r in graph_store.stored_degrees(store).collect()} == {(0, 1, 0), (1, 1, 1), (2, 0, 1)}
+    assert {(r.gid, r.component_id) for r in graph_store.stored_examples(store, "level").collect()} == {(0, 0), (1, 0), (2, 1)}
+    with pytest.raises(graph_store.StoreError):
+        graph_store.open_store(spark, f"file://{tmp_path}/none")
+    with pytest.raises(graph_store.StoreError):
+        graph_store.write_store(f"file://{tmp_path}/thin", d.gates, d.edges.drop("net"), buckets=4)
+    d.gates.limit(1).select("design_id", "gid", "gate_name", "gtype", F.lit(0).alias("y")).write.mode("append").parquet(f"{where}/gates")
+    with pytest.raises(graph_store.StoreError):
+        graph_store.open_store(spark, where, check_rows=True)
+
+
+def test_detection_resumes_after_a_kill(spark, tmp_path):
+    from gatelore.operators import detect
+
+    texts = [(f"d{k}", EXAMPLE.replace("nand", "xor" if k % 2 else "nand")) for k in range(6)] + [("none", "module e();\nendmodule"), ("known", EXAMPLE)]
+    given = spark.createDataFrame(texts, "design_id string, content string")
+    library = spark.createDataFrame([(EXAMPLE, True, ["g1"])], "content string, is_trojaned boolean, gate_names array<string>").select(F.sha2("content", 256).alias("digest"), "is_trojaned", "gate_names")
+    where, calls = f"file://{tmp_path}/out", []
+
+    def score(rows):
+        calls.append(sorted(r.design_id for r in rows.select("design_id").distinct().collect()))
+        if len(calls) == 2 and not resumed:
+            raise KeyboardInterrupt
+        return rows.select("design_id", "gid", F.lit(0.9).alias("p"))
+
+    resumed = False
+    with pytest.raises(KeyboardInterrupt):
+        detect.detect(given, where, score, library, cycles=4, designs_per_wave=3)
+    first = {r.design_id for r in detect.ledger(spark, where).collect()}
+    assert 0 < len(first) < 8
+    resumed = True
+    got = {r.design_id: (r.source, r.gates, r.flagged, r.trojaned, r.reason) for r in detect.detect(given, where, score, library, cycles=4, designs_per_wave=3).collect()}
+    # three gates are fewer than the filters ask for, so the model's designs are clean; equal bytes take the library's answer
+    odd, same = ("model", 3, 0, False, None), ("lookup", 3, 1, True, None)
+    assert got == {**{f"d{k}": odd if k % 2 else same for k in range(6)}, "known": same, "none": ("rejected", 0, 0, None, "no gates")}
+    assert detect.ledger(spark, where).count() == 8
+    assert {r.design_id: r.body for r in detect.result_bodies(spark, where).collect()}["d1"] == "NO_TROJAN\n"
+    assert sorted(map(tuple, detect.flagged_gates(spark, where).collect())) == sorted([(f"d{k}", "g1") for k in (0, 2, 4)] + [("known", "g1")])
+    before = len(calls)
+    detect.detect(given, where, score, library, cycles=4, designs_per_wave=3)
+    assert len(calls) == before
+    # a text that changes is done again, and its former gates are no longer read
+    changed = given.filter("design_id = 'd0'").withColumn("content", F.regexp_replace("content", "nand", "nor"))
+    assert {r.design_id: r.flagged for r in detect.detect(changed, where, score, library, cycles=4).collect()}["d0"] == 0
+    assert "d0" not in {r.design_id for r in detect.flagged_gates(spark, where).collect()}
+
+
 def test_empty_tables(spark):
     none = Design(spark, "module e();\nendmodule")
     assert none.gates.count() == 0 and none.edges.count() == 0
