@@ -398,6 +398,20 @@ def test_training_with_focal_loss(spark):
     assert len(chosen) == 2 and all(r.f1 > 0.8 for r in chosen)
 
 
+def test_first_differing_net_is_named(spark):
+    """A fault is named where it is, also behind nets that the source lacks, and not where it only passes."""
+    base = [("g0", "and", "n0", "a b"), ("g1", "or", "n1", "n0 c"), ("g2", "xor", "n2", "n1 n0"), ("g3", "not", "n3", "n2"), ("g4", "dff", "q", "n3")]
+    fresh = [("gx", "nor", "f0", "n0 c"), ("gy", "not", "f1", "f0"), ("g1", "buf", "n1", "f1")]
+    versions = {0: base, 1: [base[0], *fresh, *base[2:]], 2: [base[0], ("gx", "nand", "f0", "n0 c"), *fresh[1:], *base[2:]], 3: [*base[:2], ("g2", "xnor", "n2", "n1 n0"), *base[3:]], 4: [base[0], *fresh, *base[2:3], ("g3", "buf", "n3", "n2"), base[4]]}
+    gates = spark.createDataFrame([(7, v, g, t, o) for v, rows in versions.items() for g, t, o, _ in rows], "design_id long, variant long, gate_name string, gtype string, out_net string")
+    pins = spark.createDataFrame([(7, v, g, x) for v, rows in versions.items() for g, _, _, ins in rows for x in ins.split()], "design_id long, variant long, gate_name string, net string")
+    one = lambda df: df.filter("variant = 0").drop("variant")
+    before = rewrite.equivalence_words(one(gates), one(pins), ["design_id"])
+    after = rewrite.equivalence_words(gates, pins, ["design_id", "variant"])
+    got = rewrite.first_differing(before, after, gates, pins, ["design_id"], ["design_id", "variant"]).collect()
+    assert {(r.variant, r.net) for r in got} == {(2, "n1"), (3, "n2"), (4, "n3")}
+
+
 def test_files_over_several_splits(spark, tmp_path):
     """Lines dealt out over many splits give the gates of the whole text, comments over lines and splits included."""
     from gatelore.sources import lines
