@@ -87,7 +87,10 @@ def _longest(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         now = waiting.at(rank).groupBy(on).agg(F.max("dist").alias("dist"))
         sent = now.withColumnRenamed("gid", "src").join(laid.at(rank), ["design_id", "way", "src"])
         waiting.add(sent.groupBy("design_id", F.col("dst").alias("gid"), "family", "way", "rank").agg((F.max("dist") + 1).alias("dist")).select(*on, "dist", "rank"))
-    return waiting.all().groupBy(on).agg(F.max("dist").alias("dist"))
+    out = staged(waiting.all().groupBy(on).agg(F.max("dist").alias("dist")))
+    laid.discard()
+    waiting.discard()
+    return out
 
 
 #: For each family of seeds the way it is followed, its column name and the first distance of longest paths.
