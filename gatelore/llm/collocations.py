@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatelore.llm.common import LOWER_BYTES, discard, kept_by_worker, stage
+from gatelore.llm.common import LOWER_BYTES, discard, kept_by_worker, small_batches, stage
 
 LONGEST = 5
 SAMPLE_SHARE = 0.25
@@ -383,8 +383,9 @@ def frequent_phrases(docs: DataFrame, least: int = 100, share: float = SAMPLE_SH
 
 def collocations(docs: DataFrame, least: int = 100, best: int = 2000, **mining) -> DataFrame:
     """Each language's ``best`` phrases: lang, rank, phrase, a, l, r, n, score."""
-    frequent, told, _ = frequent_phrases(docs, least, **mining)
-    phrases = named(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), frequent, told)
+    with small_batches(docs.sparkSession):
+        frequent, told, _ = frequent_phrases(docs, least, **mining)
+        phrases = named(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), frequent, told)
     cuts = phrases.mapInArrow(_cuts, CUTS_SQL)
     left = frequent.filter("m > 0").select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("n").alias("l"))
     right = left.toDF("r1", "r2", "r")

@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,6 +83,23 @@ def kept_by_worker(name: str, make: Callable[[], object]) -> object:
     return _KEPT[name]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs run within send that many rows of whole texts to Python at once, where the session sets no number of its own.
+
+    Spark's 10,000 rows are held outside the heap, in full, by the executor and by its Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
     """Batches in slices, so that few texts are Python objects at once."""
     for b in batches:
