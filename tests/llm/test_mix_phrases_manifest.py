@@ -228,9 +228,10 @@ def test_manifest(spark, frame, rows, levels):
     assert sorted(r[0] for r in got if not r[6]) == sorted(tampered) and tampered
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 8, 9])
-def test_small_trees(spark, n):
-    rows = [(k, f"t{k}", "ab"[k % 2] if n != 3 else "a", None, k) for k in range(n)]
+@pytest.mark.parametrize("sizes", [[], [1], [5], [1, 2, 3, 4, 8, 9, 17]])
+def test_small_trees(spark, sizes):
+    """Trees of many sizes side by side, tiers of one level."""
+    rows = [(100 * j + k, f"t{k}", f"l{j}", None, k) for j, n in enumerate(sizes) for k in range(n)]
     got = [tuple(r) for r in merkle.prove_all(docs_of(spark, rows), levels=1).collect()]
     untampered = [(*r[:5], r[3], True) for r in brute_manifest(rows)] if rows else []
     assert sorted(got) == sorted(untampered)
