@@ -1,4 +1,8 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table, by alternating large and small stars.
+
+Defined results: an edge from a node to itself, or given twice or both ways, adds nothing; a node without another's edge is
+not in the result; an empty table gives an empty result; nulls are not nodes and are for the caller to leave out.
+"""
 
 from __future__ import annotations
 

@@ -645,3 +645,12 @@ def test_empty_tables(spark):
     assert packing.best_fit_pack(empty).count() == 0
     assert token_store.read_digests(token_store.write_store(empty)).count() == 0
     assert decontaminate.contamination(docs_of(spark, [(1, "one two")]), bench).collect()[0].n_hit == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(k, " ".join(f"w{j % (7 + k % 3)}" for j in range(120 + k % 3))) for k in range(12)] + [(3, "again"), (None, None)]
+    plain = docs_of(spark, rows)
+    names = ("rank", "_h", "dk", "who", "hash", "bucket", "task", "ordinal", "shard", "block", "base", "n", "length", "key", "keys", "set", "node", "component", "u", "v", "at", "grp", "left", "text_sha256")
+    extra = plain.withColumns({c: F.lit("clash") for c in names})
+    for run in (near_dedup.near_duplicates, substring_dedup.remove_repeats, lambda d: token_store.read_digests(token_store.write_store(d)), lambda d: packing.best_fit_pack(d).drop("sequence_id", "offset")):
+        assert sorted(map(tuple, run(extra).collect()), key=repr) == sorted(map(tuple, run(plain).collect()), key=repr)
