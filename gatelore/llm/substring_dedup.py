@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelore.llm.common import batches_of, discard, sliced, stage
+from gatelore.llm.common import batches_of, begin_step, discard, sliced, small_batches, stage
 
 
 class Unit(NamedTuple):
@@ -56,8 +56,8 @@ BYTES = Unit("bytes", 400, 200, 16, True)
 WORDS = Unit("words", 51, 26, 8, False)
 #: Tokens handled at once (they and their sums stay in a processor's cache); texts beyond it are read in overlapping parts.
 TILE = 1 << 16
-#: Tokens whose sums are held at once when members of a long text are compared.
-STRETCH = 1 << 20
+#: Tokens whose sums are held at once when members of texts are compared.
+STRETCH = 1 << 17
 PLACE = np.uint64((1 << 20) - 1)
 #: Bits of a filter for each key, and of any filter at most (16 MB).
 BITS_A_KEY, MOST_BITS = 16, 27
@@ -184,6 +184,7 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
 
 
 def _leads(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
+    begin_step("leaders of windows")
     for b in sliced(batches, 2048):
         who = b.column("who").to_numpy(zero_copy_only=False)
         found = [(lead, who[text]) for text, lead, *_ in leaders(*_tokens(b.column("text"), unit), unit, keys=False)]
@@ -195,6 +196,7 @@ RUNS = "dk binary, who long, lead long, run1 long, run2 long, at long, far long,
 
 
 def _runs(batches: Iterator[pa.RecordBatch], unit: Unit, bitmap) -> Iterator[pa.RecordBatch]:
+    begin_step("runs of windows")
     bits = bitmap.value
     mask = np.int64(8 * len(bits) - 1)
     for b in sliced(batches, 2048):
@@ -242,18 +244,19 @@ MEMBER = ["lead", "at", "far", "near", "n", "low", "high", "done"]
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], unit: Unit, columns: list[str]) -> Iterator[tuple]:
-    """Members of each text in stretches of it: the text's digest, the members' columns, two sums and the leaders' places in them."""
+    """Members in stretches of their texts, which lie side by side: the texts' digests, the members' columns, two sums and the leaders' places in them."""
     for b in sliced(batches):
-        for k in range(b.num_rows):
-            tokens, _ = _tokens(b.column("text")[k : k + 1] if isinstance(b.column("text"), pa.ChunkedArray) else b.column("text").slice(k, 1), unit)
-            members = b.column("members").slice(k, 1).flatten()
-            rows = {c: members.field(c).to_numpy(zero_copy_only=False) for c in columns}
-            of = rows["at"] // STRETCH
-            for s in np.unique(of).tolist():
-                some = {c: v[of == s] for c, v in rows.items()}
-                first = max(0, s * STRETCH - unit.threshold)
-                part = tokens[first : (s + 1) * STRETCH + unit.leader + unit.threshold]
-                yield b.column("dk")[k].as_py(), some, Sums(part), Sums(part, 1), some["at"] - first
+        tokens, bounds = _tokens(b.column("text"), unit)
+        text = np.repeat(np.arange(b.num_rows), b.column("members").value_lengths().to_numpy(zero_copy_only=False))
+        members = b.column("members").flatten()
+        rows = {c: members.field(c).to_numpy(zero_copy_only=False) for c in columns}
+        at = rows["at"] + bounds[text]
+        of = at // STRETCH
+        for s in np.unique(of).tolist():
+            some = np.flatnonzero(of == s)
+            first = max(0, s * STRETCH - unit.threshold)
+            part = tokens[first : (s + 1) * STRETCH + unit.leader + unit.threshold]
+            yield b.column("dk").take(pa.array(text[some])), {c: v[some] for c, v in rows.items()}, Sums(part), Sums(part, 1), at[some] - first
 
 
 def _many(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,6 +271,7 @@ BLOCKS = "dk binary, lead long, at long, far long, near long, n long, low long,
 
 def _blocks(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
     """For each block of window places of each member: hashes of what its windows share, and of all they cover (where the block is ``full``)."""
+    begin_step("blocks of windows")
     size = unit.block
     for dk, rows, one, two, a in _stretches(batches, unit, MEMBER):
         of, block = _many(rows["near"] // size, rows["far"] // size)
@@ -277,18 +281,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.Record
         share = a - low, np.maximum(a + unit.leader, a - high + unit.threshold)
         cover = np.where(full, a - high, a), np.where(full, a - low + unit.threshold, a)
         keys = [_combine(lead, block, kind, s.of(*ends)).view(np.int64) for kind, ends in ((1, share), (2, cover)) for s in (one, two)]
-        yield _batch("dk " + " ".join(MEMBER) + " block part1 part2 whole1 whole2 full", pa.array([dk] * len(of), pa.binary()), *(rows[c][of] for c in MEMBER), block, *keys, full)
+        yield _batch("dk " + " ".join(MEMBER) + " block part1 part2 whole1 whole2 full", dk.take(pa.array(of)), *(rows[c][of] for c in MEMBER), block, *keys, full)
 
 
 WINDOWS = "dk binary, s long, n long, low long, high long, done boolean, key1 long, key2 long"
 
 
 def _windows(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
+    begin_step("single windows")
     for dk, rows, one, two, a in _stretches(batches, unit, [*MEMBER, "block"]):
         of, d = _many(np.maximum(rows["near"], rows["block"] * unit.block), np.minimum(rows["far"], rows["block"] * unit.block + unit.block - 1))
         lead, start = rows["lead"][of].view(np.uint64), a[of] - d
         keys = [_combine(lead, d, 3, s.of(start, start + unit.threshold)).view(np.int64) for s in (one, two)]
-        yield _batch("dk s n low high done key1 key2", pa.array([dk] * len(of), pa.binary()), rows["at"][of] - d, *(rows[c][of] for c in ("n", "low", "high", "done")), *keys)
+        yield _batch("dk s n low high done key1 key2", dk.take(pa.array(of)), rows["at"][of] - d, *(rows[c][of] for c in ("n", "low", "high", "done")), *keys)
 
 
 def _with_texts(texts: DataFrame, members: DataFrame) -> DataFrame:
@@ -345,6 +350,8 @@ REMOVED = pa.schema([("dk", pa.binary()), ("doc_id", pa.int64()), ("n_bytes", pa
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of intervals as maximal runs."""
+    if not len(starts):
+        return starts, ends
     order = np.argsort(starts, kind="stable")
     s, e = starts[order], np.maximum.accumulate(ends[order])
     new = np.concatenate([[True], s[1:] > e[:-1]])
@@ -353,6 +360,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    begin_step("removed bytes")
     for b in sliced(batches):
         for k, (dk, doc_id, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("dk", "doc_id", "text")))):
             s, e = merged(*(b.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in ("starts", "ends")))
@@ -365,6 +373,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin_step("passages")
     for b in batches:
         runs = [merged(*(b.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in ("starts", "ends"))) for k in range(b.num_rows)]
         yield _batch("dk n_passage_words n_passages", b.column("dk"), np.array([int((e - s).sum()) for s, e in runs], np.int64), np.array([len(s) for s, _ in runs], np.int64))
@@ -379,13 +388,13 @@ def remove_repeats(docs: DataFrame, unit: Unit = BYTES, passages: Unit = WORDS)
     long = lambda n: F.lit(n).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("dk", F.unhex(F.md5("text")))
     texts = rows.select("dk", F.coalesce("doc_id", F.xxhash64("dk")).alias("who"), "text")
-    shared = stage(_lists(repeated_spans(texts, passages)).mapInArrow(_passages, "dk binary, n_passage_words long, n_passages long"), "passages")
-    lists = stage(_lists(repeated_spans(texts, unit)), "lists")
-    split = marked(rows, lists, "dk")
+    with small_batches(docs.sparkSession):
+        shared = stage(_lists(repeated_spans(texts, passages)).mapInArrow(_passages, "dk binary, n_passage_words long, n_passages long"), "passages")
+        lists = stage(_lists(repeated_spans(texts, unit)), "lists")
+        split = marked(rows, lists, "dk")
+        # what the bitmap let through by chance has no spans and loses nothing
+        cut = split.filter("_in").join(lists, "dk", "left").select("dk", "doc_id", "text", "starts", "ends")
+        changed = stage(cut.mapInArrow(lambda it: batches_of(_removed(it), REMOVED), "dk binary, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "cut")
     untouched = "dk", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), long(0).alias("n_removed"), long(0).alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")
-    cut = split.filter("_in").join(lists, "dk", "left")
-    changed = cut.filter("starts IS NOT NULL").select("dk", "doc_id", "text", "starts", "ends").mapInArrow(
-        lambda it: batches_of(_removed(it), REMOVED), "dk binary, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    )
-    out = changed.union(split.filter("NOT _in").select(*untouched)).union(cut.filter("starts IS NULL").select(*untouched))
+    out = changed.union(split.filter("NOT _in").select(*untouched))
     return out.join(shared, "dk", "left").na.fill(0, ["n_passage_words", "n_passages"]).drop("dk")

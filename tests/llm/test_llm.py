@@ -290,6 +290,38 @@ def test_words_are_told_apart_by_texts(monkeypatch):
         assert len({(w, h) for w, h in zip(words, of)}) == len(set(words)) == len(set(of))
 
 
+def test_members_of_many_texts_are_compared_side_by_side(monkeypatch):
+    """Many short texts make one batch, with the keys that each makes alone, wherever stretches end."""
+    rng = np.random.default_rng(3)
+    names, unit = ("lead", "at", "far", "near", "n", "low", "high", "done", "block"), substring_dedup.BYTES
+    texts = [rng.integers(97, 100, 500 + 3 * k).astype(np.uint8).tobytes() for k in range(100)]
+    member = lambda k, at: dict(zip(names, (k, at, min(at, 200), max(0, at - 100 - 3 * k), 1, k, k, False, min(at, 200) // 16)))
+    lists = [[member(k, at) for at in (150, 290)] for k in range(100)]
+    types = pa.list_(pa.struct([(c, pa.bool_() if c == "done" else pa.int64()) for c in names]))
+    batch = pa.RecordBatch.from_arrays([pa.array([b"%d" % k for k in range(100)], pa.binary()), pa.array(texts, pa.binary()), pa.array(lists, types)], names=["dk", "text", "members"])
+    rows = lambda batches: sorted(tuple(r.values()) for b in batches for r in b.to_pylist())
+    for run in (substring_dedup._blocks, substring_dedup._windows):
+        out = list(run(iter([batch]), unit))
+        assert len(out) == 1
+        alone = [x for k in range(100) for x in run(iter([batch.slice(k, 1)]), unit)]
+        with monkeypatch.context() as m:
+            m.setattr(substring_dedup, "STRETCH", 700)
+            short = list(run(iter([batch]), unit))
+        assert len(short) > 1 and rows(out) == rows(alone) == rows(short)
+
+
+def test_substring_dedup_sends_few_texts_to_python_at_once(spark, monkeypatch):
+    key, sent = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    real, before = substring_dedup.stage, spark.conf.get(key, None)
+    monkeypatch.setattr(substring_dedup, "stage", lambda df, name: (sent.append(spark.conf.get(key, None)), real(df, name))[1])
+    spark.conf.unset(key)
+    try:
+        assert substring_dedup.remove_repeats(docs_of(spark, [(1, "a" * 500), (2, "b")])).count() == 2
+        assert set(sent) == {"1000"} and spark.conf.get(key, None) in (None, "10000")
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_passages(spark):
     """Runs of more than 50 words under two doc_ids count, repeats inside one document don't."""
     rng = np.random.default_rng(8)
