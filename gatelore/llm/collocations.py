@@ -3,16 +3,17 @@
 A sample of pieces (a fixed share, drawn piece by piece) proposes phrases level by level: those that reach a lowered
 threshold in the sample. A full pass then counts exactly what was proposed together with its negative border: every
 phrase that wasn't proposed although its first words and its last words were; for single words the border is all other
-words. A border phrase that turns out frequent was missed by the sample; it joins the proposed ones and a further full
-pass counts what that adds to the border, until no new phrase is frequent. Then every frequent phrase has been counted.
+words. A border phrase that turns out frequent was missed by the sample; it joins the proposed ones and one further full
+pass counts what that adds to the border, and what that adds in turn: there a phrase counts as proposed as soon as it is
+counted. All of them hold a missed phrase, so they are few. Then every frequent phrase has been counted.
 
 Texts are handled as numpy arrays inside tasks: every word has two 64-bit keys, seeded by its language, and a phrase's
 keys are made of its words' in order. A task counts keys in tiles and sends each key once with its number, so that one
 frequent phrase is a row a task. Which phrases were proposed is told to tasks by bitmaps of the keys, one for each length,
 of a size that ``filter_bits`` bounds: a wrong bit only makes a task count one phrase more, and results stay exact.
 
-Scale: a few passes over the texts (the sample, one full pass, one for each failure of the border, two that name the
-phrases); what is shuffled are counted keys, 25 bytes for each distinct one in a task. Only bitmaps reach the driver.
+Scale: a few passes over the texts (the sample, one full pass, one if the border failed, one that names the phrases that a
+look at the sample left unnamed); what is shuffled are counted keys, 25 bytes for each distinct one in a task. Only bitmaps reach the driver.
 
 Defined results: null text has no words, a null language is ``und``; an empty table gives an empty result; rows with the
 same or no doc_id count like others; extra columns are ignored.
@@ -39,8 +40,8 @@ FILTER_BITS = 26
 TILE = 256 << 10
 #: Counted keys that a task holds before it sends them.
 HELD = 1 << 19
-#: Phrases are named by one in so many of their occurrences first.
-NAMED_BY = 32
+#: Phrases are named by one in so many of their occurrences in the sample first.
+NAMED_BY = 8
 #: Words of more bytes get their keys from a digest.
 LONG_WORD = 64
 COUNTED = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("m", pa.int32()), ("n", pa.int64())])
@@ -177,7 +178,7 @@ def _levels(tile: Tile, told: list[np.ndarray], before: list[np.ndarray] | None
     """For every length: where a phrase begins that is to be counted, and its keys.
 
     That is a phrase whose first words and last words are both ``told``; with ``before``, only what wasn't counted when
-    that was told. Yields lengths from 1 to one more than is told.
+    that was told, where what is counted now is as good as told. Yields lengths from 1 to one more than is told.
     """
     words = tile.keys()
     n = len(words[0])
@@ -189,6 +190,7 @@ def _levels(tile: Tile, told: list[np.ndarray], before: list[np.ndarray] | None
             old_good = np.zeros(n + 1, bool)
             if before is not None:
                 old_good[places[old & _has(before[m - 2], keys[0])]] = True
+                good[places[~old]] = True
             starts = np.flatnonzero(good[:-1] & good[1:] & np.append(tile.joined[1:], False))
             back = np.searchsorted(places, starts)
             keys = [lane.longer(k[back], w[starts + m - 1]) for lane, k, w in zip(lanes(), keys, words)]
@@ -314,17 +316,17 @@ def _name(batches: Iterator[pa.RecordBatch], told, wanted, one_in: int) -> Itera
             seen = set()
 
 
-def named(texts: DataFrame, frequent: DataFrame, told: list[np.ndarray]) -> DataFrame:
+def named(texts: DataFrame, sample: DataFrame, frequent: DataFrame, told: list[np.ndarray]) -> DataFrame:
     """k1, k2, m, a, lang, phrase of all frequent phrases of two words or more, staged.
 
-    Most are named by a few of their occurrences; a second pass looks at all occurrences of those that are left.
+    Most are named by a few of their occurrences in the sample; a pass over the texts looks at all occurrences of those that are left.
     """
     phrases = frequent.filter("m > 1").select("k1", "k2", "m", F.col("n").alias("a"))
     bits, share = (len(told[0]) * 8).bit_length() - 1, texts.sparkSession.sparkContext.broadcast
     known, out, left = share(told), [], phrases
-    for one_in in (NAMED_BY, 1):
+    for rows, one_in in ((sample, NAMED_BY), (texts, 1)):
         wanted = share([bitmap(left.filter(F.col("m") == m), bits) for m in range(1, LONGEST + 1)])
-        names = texts.mapInArrow(_naming(known, wanted, one_in), "k1 long, k2 long, lang string, phrase string").distinct()
+        names = rows.mapInArrow(_naming(known, wanted, one_in), "k1 long, k2 long, lang string, phrase string").distinct()
         out.append(stage(left.join(names, ["k1", "k2"]), "named"))
         left = stage(left.join(out[-1].select("k1", "k2"), ["k1", "k2"], "left_anti"), "unnamed")
         if left.isEmpty():
@@ -357,8 +359,8 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k1", "k2", "s1", "s2", "m", "a", "k", "l1", "l2", "r1", "r2"])
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, share: float = SAMPLE_SHARE, lowered: float = LOWERED, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, list[np.ndarray], int]:
-    """All phrases of 1 to LONGEST words with at least ``least`` occurrences (k1, k2, m, n; m = 0: a language's words), bitmaps of them by length, and the number of full passes."""
+def frequent_phrases(docs: DataFrame, least: int = 100, share: float = SAMPLE_SHARE, lowered: float = LOWERED, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, list[np.ndarray], int, DataFrame]:
+    """All phrases of 1 to LONGEST words with at least ``least`` occurrences (k1, k2, m, n; m = 0: a language's words), bitmaps of them by length, the number of full passes, and the sample."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     texts = rows.select("lang", "text")
     sample = stage(rows.mapInArrow(lambda it: _sampled(it, share), "lang string, text string"), "sample")
@@ -369,23 +371,22 @@ def frequent_phrases(docs: DataFrame, least: int = 100, share: float = SAMPLE_SH
         if m == 1:
             bits = min(filter_bits, max(bits, (64 * proposed[0].count()).bit_length()))
         told.append(bitmap(proposed[-1], bits))
-    discard(sample)
     found = [counted(texts, told, tuple(range(LONGEST + 1)), least)]
     known = reduce(DataFrame.union, proposed).select("k1", "k2", "m")
     missed = stage(found[0].filter(F.col("m").between(1, LONGEST - 1)).join(known, ["k1", "k2", "m"], "left_anti"), "missed")
-    while not missed.isEmpty():
-        before, told = told, [old | bitmap(missed.filter(F.col("m") == m + 1), bits) for m, old in enumerate(told)]
-        found.append(counted(texts, told, tuple(range(2, LONGEST + 1)), least, before))
-        missed = found[-1].filter(F.col("m") < LONGEST)  # nothing that was new to count had been proposed
+    if not missed.isEmpty():
+        more = [old | bitmap(missed.filter(F.col("m") == m + 1), bits) for m, old in enumerate(told)]
+        found.append(counted(texts, more, tuple(range(2, LONGEST + 1)), least, told))
     every = reduce(DataFrame.union, found)
-    return every, [bitmap(every.filter(F.col("m") == m), bits) for m in range(1, LONGEST + 1)], len(found)
+    return every, [bitmap(every.filter(F.col("m") == m), bits) for m in range(1, LONGEST + 1)], len(found), sample
 
 
 def collocations(docs: DataFrame, least: int = 100, best: int = 2000, **mining) -> DataFrame:
     """Each language's ``best`` phrases: lang, rank, phrase, a, l, r, n, score."""
     with small_batches(docs.sparkSession):
-        frequent, told, _ = frequent_phrases(docs, least, **mining)
-        phrases = named(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), frequent, told)
+        frequent, told, _, sample = frequent_phrases(docs, least, **mining)
+        phrases = named(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), sample, frequent, told)
+        discard(sample)
     cuts = phrases.mapInArrow(_cuts, CUTS_SQL)
     left = frequent.filter("m > 0").select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("n").alias("l"))
     right = left.toDF("r1", "r2", "r")

@@ -147,6 +147,13 @@ def test_collocations(spark, talk, rows, mining):
         assert collocations.frequent_phrases(df, 12, **mining)[2] > 1
 
 
+def test_collocations_of_a_sample_that_misses_all_take_two_full_passes(spark, talk):
+    """What the missed phrases add to the border, and what that adds in turn, is counted in one pass."""
+    df = docs_of(spark, talk)
+    assert collocations.frequent_phrases(df, 12, share=1e-12)[2] == 2
+    assert {tuple(r) for r in collocations.collocations(df, least=12, share=1e-12).collect()} == brute_collocations(talk, 12)
+
+
 def test_collocations_of_given_rows_and_the_limit(spark, frame, rows):
     assert {tuple(r) for r in collocations.collocations(frame, least=6, best=7).collect()} == brute_collocations(rows, 6, 7)
 
