@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gatelore.operators import sweep
 from gatelore.operators.edges import KEY
 from gatelore.sources.staging import staged
 
@@ -134,17 +137,94 @@ def check_rules(spark: SparkSession) -> DataFrame:
 
 
 def equivalence_words(gates: DataFrame, pins_of: DataFrame, keys: list[str], seed: int = 0, salt: list[str] | None = None) -> DataFrame:
-    """keys, net, word: 64 random vectors packed in one long per net, settled round by round through combinational gates.
+    """keys, net, word: 64 random vectors packed in one long per net, settled through combinational gates as far as loops allow.
 
     ``gates``: keys, gate_name, gtype, out_net; ``pins_of``: keys, gate_name, net. Nets that no combinational gate drives
     (ports, constants, flip-flop outputs) are drawn by name, so equal names get equal vectors in two versions of a design.
     ``salt`` names keys that the vectors hang on, too: with a key that numbers words there are as many words of a net.
     """
+    gates, pins_of = sweep.kept(gates), sweep.kept(pins_of)
+    large = sweep.too_large(keys, gates, pins_of)
+    (some, inner), rest = sweep.split(large, keys, gates, pins_of)
+    out = _words_in_tasks(some, inner, keys, seed, salt)
+    return out.unionByName(_words_by_rounds(*rest, keys, seed, salt)) if rest else out
+
+
+def _drawn_word(keys: list[str], seed: int, salt: list[str] | None) -> Column:
+    """The word of a net that no combinational gate drives."""
+    return F.when(F.col("net") == "1'b0", F.lit(0)).when(F.col("net") == "1'b1", F.lit(-1)).otherwise(F.xxhash64(F.lit(seed), keys[0], "net", *(salt or []))).cast("long")
+
+
+def _words_in_tasks(gates: DataFrame, pins_of: DataFrame, keys: list[str], seed: int, salt: list[str] | None) -> DataFrame:
+    """All nets of a version settle in one task."""
+    word = _drawn_word(keys, seed, salt)
+    kinds = [
+        gates.select(*keys, "gate_name", F.coalesce("gtype", F.lit("")).alias("t"), F.col("out_net").alias("net")).withColumn("word", word),
+        pins_of.select(*keys, "gate_name", F.lit(None).cast("string").alias("t"), "net", word.alias("word")).filter("gate_name IS NOT NULL"),
+    ]
+
+    def work(key: tuple, table: pa.Table) -> dict:
+        net = table.column("net").combine_chunks().dictionary_encode()
+        name = table.column("gate_name").combine_chunks().dictionary_encode()
+        types = table.column("t").combine_chunks().dictionary_encode()
+        number = lambda x: x.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at, of, kind = number(net), number(name), number(types)
+        is_pin = kind < 0
+        n, gates_, word = len(net.dictionary), len(name.dictionary), np.zeros(len(net.dictionary), np.int64)
+        there = at >= 0
+        word[at[there]] = table.column("word").to_numpy()[there]
+        kinds_ = np.array([str(x) for x in types.dictionary.to_pylist()] + [""])[kind]
+        comb = ~is_pin & (kinds_ != "dff") & (kinds_ != "") & (of >= 0)
+        # each input net of a gate once, and how often it is there
+        pairs, times = np.unique(of[is_pin & there] * n + at[is_pin & there], return_counts=True)
+        pin_gate, pin_net = pairs // max(n, 1), pairs % max(n, 1)
+        fed = np.bincount(pin_gate, minlength=gates_)
+        # a pin without a net keeps its gate waiting
+        nowhere = np.bincount(of[is_pin & ~there], minlength=gates_)
+        open_ = fed + nowhere
+        drives = comb & (np.append(open_, 0)[of] > 0)
+        driven = np.zeros(n, bool)
+        driven[at[drives & there]] = True
+        loads = sweep.Ways(n, pin_net, pin_gate)
+        first = np.append(0, np.cumsum(fed))
+        out_of = np.flatnonzero(drives)
+        rows = sweep.Ways(gates_, of[out_of], out_of)
+        known, now = ~driven, np.flatnonzero(~driven)
+        while len(now):
+            reached = loads.reached(now)
+            np.subtract.at(open_, reached, 1)
+            ready = np.unique(reached[open_[reached] == 0])
+            if not len(ready):
+                break
+            size = fed[ready]
+            begins = np.cumsum(size) - size
+            pins = np.arange(size.sum()) - np.repeat(begins, size) + np.repeat(first[ready], size)
+            value = word[pin_net[pins]]
+            every, any_, odd = np.bitwise_and.reduceat(value, begins), np.bitwise_or.reduceat(value, begins), np.bitwise_xor.reduceat(np.where(times[pins] % 2 == 1, value, 0), begins)
+            which = rows.reached(ready)
+            back = np.repeat(np.arange(len(ready)), rows.counts(ready))
+            every, any_, odd, t = every[back], any_[back], odd[back], kinds_[which]
+            cases = [(np.isin(t, ["and", "buf"]), every), (np.isin(t, ["nand", "not"]), ~every), (t == "or", any_), (t == "nor", ~any_), (t == "xor", odd)]
+            new = np.select([c for c, _ in cases], [x for _, x in cases], ~odd)
+            to = at[which]
+            # of several drivers of one net the first round counts, of one round the least word
+            fresh = (to >= 0) & ~known[np.maximum(to, 0)]
+            to, new = to[fresh], new[fresh]
+            order = np.lexsort((new, to))
+            to, new = to[order], new[order]
+            least = np.append(True, to[1:] != to[:-1])[: len(to)]
+            now = to[least]
+            word[now], known[now] = new[least], True
+        return {"net": net.dictionary.take(pa.array(np.flatnonzero(known))), "word": word[known]}
+
+    return sweep.in_tasks(kinds, keys, work, {"net": "string", "word": "long"})
+
+
+def _words_by_rounds(gates: DataFrame, pins_of: DataFrame, keys: list[str], seed: int, salt: list[str] | None) -> DataFrame:
     comb = gates.filter("gtype <> 'dff'")
     driven = comb.join(pins_of.select(*keys, "gate_name"), [*keys, "gate_name"], "left_semi").select(*keys, F.col("out_net").alias("net"))
     nets = pins_of.select(*keys, "net").union(gates.select(*keys, "out_net")).distinct()
-    design = keys[0]
-    word = F.when(F.col("net") == "1'b0", F.lit(0)).when(F.col("net") == "1'b1", F.lit(-1)).otherwise(F.xxhash64(F.lit(seed), design, "net", *(salt or []))).cast("long")
+    word = _drawn_word(keys, seed, salt)
     known = staged(nets.join(driven, [*keys, "net"], "left_anti").select(*keys, "net", word.alias("word")))
     pins_of, comb = staged(pins_of.select(*keys, "gate_name", "net")), staged(comb.select(*keys, "gate_name", "gtype", "out_net"))
     # how many input nets each gate still waits for: every net reaches its gates once, in the round that settles it
@@ -200,19 +280,25 @@ def first_differing(before: DataFrame, after: DataFrame, gates: DataFrame, pins_
     """
     want = staged(before.select(*same, "net", F.col("word").alias("want")))
     differ = staged(after.join(want, [*same, "net"]).filter("word <> want").select(*keys, "net").distinct())
-    fed = gates.filter("gtype <> 'dff'").select(*keys, "gate_name", F.col("out_net").alias("net")).join(pins_of.select(*keys, "gate_name", F.col("net").alias("input")), [*keys, "gate_name"]).select(*keys, "net", "input").distinct()
-    fed = staged(fed)
-    named = want.select(*same, F.col("net").alias("input")).distinct()
-    found, open_ = [], fed
+    comb = gates.filter("gtype <> 'dff'").select(*keys, "gate_name", F.col("out_net").alias("net"))
+    inputs = pins_of.select(*keys, "gate_name", F.col("net").alias("input"))
+    # the inputs of nets that differ; what the source lacks is the only other thing that is looked through
+    of_differing = comb.join(differ, [*keys, "net"], "left_semi").join(inputs, [*keys, "gate_name"]).select(*keys, "net", "input").distinct()
+    named = want.select(*same, F.col("net").alias("input"), F.lit(True).alias("named"))
+    found, open_, fed, seen = [], of_differing, None, None
     while True:
-        found.append(staged(open_.join(named, [*same, "input"], "left_semi").select(*keys, "net", "input")))
-        fresh = open_.join(named, [*same, "input"], "left_anti").select(*keys, "net", F.col("input").alias("through"))
-        further = fresh.join(fed.select(*keys, F.col("net").alias("through"), "input"), [*keys, "through"]).select(*keys, "net", "input").distinct()
-        open_ = staged(further if len(found) == 1 else further.join(seen, [*keys, "net", "input"], "left_anti"))
-        if open_.isEmpty():
+        looked = staged(open_.join(named, [*same, "input"], "left"))
+        found.append(looked.filter("named").select(*keys, "net", "input"))
+        fresh = looked.filter("named IS NULL").select(*keys, "net", F.col("input").alias("through"))
+        if fresh.isEmpty():
             break
+        if fed is None:
+            lacking = comb.join(want.select(*same, "net"), [*same, "net"], "left_anti")
+            fed = staged(lacking.join(inputs, [*keys, "gate_name"]).select(*keys, F.col("net").alias("through"), "input").distinct())
+        further = fresh.join(fed, [*keys, "through"]).select(*keys, "net", "input").distinct()
+        open_ = staged(further if seen is None else further.join(seen, [*keys, "net", "input"], "left_anti"))
         # a loop of fresh nets ends where nothing new comes up
-        seen = open_ if len(found) == 1 else staged(seen.union(open_))
+        seen = open_ if seen is None else staged(seen.union(open_))
     behind = _together(found).join(differ.select(*keys, F.col("net").alias("input")), [*keys, "input"], "left_semi").select(*keys, "net")
     return differ.join(behind, [*keys, "net"], "left_anti")
 
