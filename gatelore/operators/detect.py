@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gatelore.functions.columns import FEATURES, MASKED, TALLY_COLUMNS
 from gatelore.operators import edges as E
 from gatelore.operators import features as X
 from gatelore.operators import score as S
@@ -60,11 +61,12 @@ def result_bodies(spark: SparkSession, folder: str, design: str = "string") -> D
     return label_text(flagged_gates(spark, folder, design), verdicts(spark, folder, design).filter(F.col("source") != REJECTED))
 
 
-def scored_wave(netlists: DataFrame, score: Callable[[DataFrame], DataFrame], library: DataFrame | None, threshold: float, cycles: int) -> tuple[DataFrame, DataFrame]:
+def scored_wave(netlists: DataFrame, score: Callable[[DataFrame], DataFrame], library: DataFrame | None, threshold: float, cycles: int, reads: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Flagged gates (design_id, digest, gate_name) and verdicts of some netlists (design_id, content, digest).
 
     ``library`` has digest, is_trojaned and gate_names of solved netlists: a netlist of the same bytes takes their answer and
-    isn't scored. ``score`` turns masked features (design_id, gid, 48 columns) into design_id, gid, p.
+    isn't scored. ``score`` turns masked features (design_id, gid, 48 columns) into design_id, gid, p; ``reads`` names the
+    columns that it reads, if not all: the others are 0 then, and what only they need (the simulation, too) is left out.
     """
     parsed = staged(N.parse_gates(netlists))
     counts = staged(netlists.select("design_id", "digest").join(parsed.groupBy("design_id").agg(F.count("*").alias("gates")), "design_id", "left").na.fill(0, ["gates"]))
@@ -78,7 +80,9 @@ def scored_wave(netlists: DataFrame, score: Callable[[DataFrame], DataFrame], li
     ins = staged(pins.filter("direction = 'in'").select("design_id", "gid", "gtype", "pin", "pin_pos", "net"))
     ports = staged(N.parse_ports(netlists.join(open_, "design_id", "left_semi")))
     edges = staged(E.build_edges(gates, ins))
-    features = X.masked(X.raw_features(gates, ins, ports, random_simulation(gates, ins, edges, cycles)))
+    on = [c for c in (FEATURES if reads is None else reads) if c not in MASKED]
+    tallies = random_simulation(gates, ins, edges, cycles) if set(on) & set(TALLY_COLUMNS) else None
+    features = X.masked(X.raw_features(gates, ins, ports, tallies, on), on=on)
     flags = staged(S.filtered_flags(staged(score(features)), edges, threshold))
     by_model = flags.filter("flag = 1").join(gates.select("design_id", "gid", "gate_name"), ["design_id", "gid"]).join(counts.select("design_id", "digest"), "design_id").select("design_id", "digest", "gate_name")
     by_library = known.filter("known.is_trojaned").select("design_id", "digest", F.explode("known.gate_names").alias("gate_name"))
@@ -90,12 +94,14 @@ def scored_wave(netlists: DataFrame, score: Callable[[DataFrame], DataFrame], li
 
 
 def detect(
-    netlists: DataFrame, folder: str, score: Callable[[DataFrame], DataFrame], library: DataFrame | None = None, threshold: float = 0.5, cycles: int = 1000, designs_per_wave: int = 1000, overwrite: bool = False
+    netlists: DataFrame, folder: str, score: Callable[[DataFrame], DataFrame], library: DataFrame | None = None, threshold: float = 0.5, cycles: int = 1000, designs_per_wave: int = 1000, overwrite: bool = False,
+    reads: list[str] | None = None,
 ) -> DataFrame:
     """Give every netlist (design_id, content) a verdict and commit it to ``folder``; returns :func:`verdicts`.
 
     Netlists without gates are committed as rejected, with the reason; the others of their wave go on. What the ledger has
-    for the same content is left out, unless ``overwrite``. A wave has about ``designs_per_wave`` designs.
+    for the same content is left out, unless ``overwrite``. A wave has about ``designs_per_wave`` designs. ``reads``: the
+    columns that ``score`` reads, if not all 48.
     """
     spark, design = netlists.sparkSession, netlists.schema["design_id"].dataType.simpleString()
     given = netlists.select("design_id", F.sha2("content", 256).alias("digest"))
@@ -106,7 +112,7 @@ def detect(
     for wave in range(waves):
         now = pending.filter(F.col("wave") == wave).select("design_id", "digest")
         texts = staged(netlists.select("design_id", "content").join(now, "design_id"))
-        found, lines = scored_wave(texts, score, library, threshold, cycles)
+        found, lines = scored_wave(texts, score, library, threshold, cycles, reads)
         found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("design_id").parquet(f"{folder}/gates")
         lines.withColumn("done_at", F.lit(time.time())).coalesce(1).write.mode("append").parquet(f"{folder}/ledger")
     return verdicts(spark, folder, design)

@@ -338,7 +338,7 @@ def first_differing_nets(c: Circuit) -> DataFrame:
     """One gate of each design is inverted; of all nets that differ, in two words of 64 vectors each, its own is the first."""
     named = c.pins.join(c.gates.select("design_id", "gid", "gate_name"), ["design_id", "gid"]).select("design_id", "gate_name", "net")
     flip = F.create_map(*[F.lit(x) for pair in INVERSE.items() for x in pair])
-    fault = c.gates.filter("gtype <> 'dff' AND gid >= 7").join(c.pins.select("design_id", "gid"), ["design_id", "gid"], "left_semi").groupBy("design_id").agg(F.min("gid").alias("gid")).withColumn("fault", F.lit(True))
+    fault = c.pins.filter("gtype <> 'dff' AND gid >= 7").groupBy("design_id").agg(F.min("gid").alias("gid")).withColumn("fault", F.lit(True))
     word = F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("w")
     gates, pins = staged(c.gates.select("design_id", word, "gid", "gate_name", "gtype", "out_net")), staged(named.select("design_id", word, "gate_name", "net"))
     wrong = staged(gates.join(fault, ["design_id", "gid"], "left").withColumn("gtype", F.when(F.col("fault"), flip[F.col("gtype")]).otherwise(F.col("gtype"))).select(*gates.columns))
@@ -411,6 +411,9 @@ def updated_components(c: Circuit) -> DataFrame:
 circuit_query("updated_components", COMPONENTS + " SELECT design_id, gid, component_id FROM component")(updated_components)
 
 
+RULE_READS = ["is_xor", "is_nand", "in_type_cnt", "out_type_cnt", "is_PI"]
+
+
 def rule_score(features: DataFrame) -> DataFrame:
     """A made-up rule over the features, for the query: a half and more where its whole-number sum reaches 0."""
     z = 4 * F.col("is_xor") + 3 * F.col("is_nand") + F.col("in_type_cnt") - F.col("out_type_cnt") + F.col("is_PI") - 2
@@ -423,7 +426,7 @@ def detected(c: Circuit) -> DataFrame:
     answers = c.gates.groupBy("design_id").agg((F.max("y") == 1).alias("is_trojaned"), F.collect_list(F.when(F.col("y") == 1, F.col("gate_name"))).alias("gate_names"))
     library = staged(texts.filter("design_id % 5 = 0").join(answers, "design_id").select(F.sha2("content", 256).alias("digest"), "is_trojaned", "gate_names"))
     given = texts.union(texts.filter("design_id % 7 = 0").select(F.col("design_id") + 1000, F.concat(F.lit("module e"), F.col("design_id"), F.lit("();\nendmodule"))))
-    done = D.detect(given, new_folder(c.gates.sparkSession, "detected"), rule_score, library)
+    done = D.detect(given, new_folder(c.gates.sparkSession, "detected"), rule_score, library, reads=RULE_READS)
     return done.drop("digest")
 
 
